@@ -1,0 +1,50 @@
+"""The daily and monthly jobs as one lazily built chain over all pending periods."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logloom.operators.flatten import flatten_entries, upgrade_schema
+from logloom.operators.sessions import session_rollup
+from logloom.operators.turns import pair_turns
+from logloom.schemas import WIDE_COLUMNS
+from logloom.sources.raw import split_malformed
+from logloom.sources.tiers import tier_path, write_tier
+
+
+GRAIN = {"day": "daily", "month": "monthly"}
+
+
+def consolidate(spark: SparkSession, raw: DataFrame, root: str) -> DataFrame:
+    """Writes the three tiers for all days in `raw`; returns the quarantined lines.
+
+    All pending days go through one job, partitioned by day.  Each tier is
+    written once and the next one reads it back, so an executor lost late does
+    not cost the earlier steps.
+    """
+    good, bad = split_malformed(raw)
+    wide = flatten_entries(good.select("entry")).select(*WIDE_COLUMNS)
+    write_tier(wide, tier_path(root, "consolidated"))
+    rebuild(spark, root, "day", wide.select(F.to_date("ts").alias("log_date")).distinct())
+    return bad
+
+
+def rebuild(spark: SparkSession, root: str, scope: str = "day", periods: DataFrame | None = None) -> None:
+    """Turn and session tiers of one grain, for the given days or for everything stored.
+
+    Days and months are kept apart (`daily/`, `monthly/`): with month scope the
+    index runs across midnight and sessions are rebuilt from the turns, because
+    rows of day-scoped sessions cannot be added up.
+    """
+    grain = GRAIN[scope]
+
+    def pending(path: str) -> DataFrame:
+        table = spark.read.parquet(path)
+        return table if periods is None else table.join(periods.select("log_date"), "log_date", "left_semi")
+
+    turns = pair_turns(upgrade_schema(pending(tier_path(root, "consolidated"))).select(*WIDE_COLUMNS), scope)
+    turn_path = f"{tier_path(root, 'sessions')}/{grain}"
+    write_tier(turns, turn_path, ts="request_ts", order=("session_key", "turn_idx"))
+    rollup = session_rollup(pending(turn_path), scope)
+    write_tier(rollup, f"{tier_path(root, 'session-rollup')}/{grain}", ts="started_at", order=("started_at",))
