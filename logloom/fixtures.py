@@ -217,12 +217,13 @@ def make_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Tool-call arguments in the four states the repair has to tell apart, with the
-# expected text beside them.
+# Tool-call arguments in the states the repair has to tell apart, with the
+# expected text beside them.  `~` stands for a backslash, which the engines'
+# string literals treat differently.
 TOOL_ARGS = """
 SELECT event_id, event_type AS model,
   CASE WHEN event_id % 5 = 0 THEN concat('{"k": ', n, ', "name": "', event_type, '"}')
-       WHEN event_id % 5 = 1 THEN concat('{"k": ', n, ', "v": "<arg_key>v</arg_key> <arg_value>{\\"x\\": ', n, '}</arg_value>"}')
+       WHEN event_id % 5 = 1 THEN replace(concat('{"k": ', n, ', "v": "<arg_key>v</arg_key> <arg_value>{~"x~": ', n, '}</arg_value>"}'), '~', chr(92))
        WHEN event_id % 5 = 2 THEN concat('<arg_key>name</arg_key> <arg_value>', event_type, '</arg_value> <arg_key>k</arg_key> <arg_value>', n, '</arg_value>')
        WHEN event_id % 5 = 3 THEN concat('{"v": "<arg_value>', event_type, ' ', n, '"}')
        ELSE concat('<parameter=sql>SELECT ', n, ' FROM t</parameter>') END AS arguments,
@@ -239,11 +240,11 @@ SECRET_RECORDS = """
 SELECT event_id, event_type AS source,
   CASE WHEN event_id % 4 = 0 THEN concat('{"id": ', n, ', "note": "nothing here"}')
        WHEN event_id % 4 = 1 THEN concat('{"id": ', n, ', "api_key": "k', n, '", "list": [{"s3_key": "a', n, '", "token": 5}]}')
-       WHEN event_id % 4 = 2 THEN concat('{"calls": [{"name": "query", "arguments": "{\\"s3_secret\\": \\"z z', n, '\\", \\"n\\": ', n, '}"}]}')
+       WHEN event_id % 4 = 2 THEN replace(concat('{"calls": [{"name": "query", "arguments": "{~"s3_secret~": ~"z z', n, '~", ~"n~": ', n, '}"}]}'), '~', chr(92))
        ELSE concat('{"id": ', n, ', "text": "Authorization: Bearer b', n, ' and KEY_ID ''AK', n, '''"}') END AS entry,
   CASE WHEN event_id % 4 = 0 THEN concat('{"id": ', n, ', "note": "nothing here"}')
        WHEN event_id % 4 = 1 THEN concat('{"id": ', n, ', "api_key": "[REDACTED]", "list": [{"s3_key": "[REDACTED]", "token": 5}]}')
-       WHEN event_id % 4 = 2 THEN concat('{"calls": [{"name": "query", "arguments": "{\\"s3_secret\\": \\"[REDACTED]\\", \\"n\\": ', n, '}"}]}')
+       WHEN event_id % 4 = 2 THEN replace(concat('{"calls": [{"name": "query", "arguments": "{~"s3_secret~": ~"[REDACTED]~", ~"n~": ', n, '}"}]}'), '~', chr(92))
        ELSE concat('{"id": ', n, ', "text": "Authorization: Bearer [REDACTED] and KEY_ID ''[REDACTED]''"}') END AS expected
 FROM (SELECT event_id, event_type, cast(event_id AS varchar(20)) AS n FROM events ) e
 """

@@ -51,6 +51,11 @@ def blank_to_null(c: Column | str) -> Column:
     return F.nullif(_col(c), F.lit(""))
 
 
+def strip(c: Column | str) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+
+
 def count_if(condition: Column) -> Column:
     return F.count_if(condition).cast("bigint")
 
@@ -60,6 +65,16 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def rounded(c: Column | str, digits: int = 0) -> Column:
+    """Rounds the way analytical SQL engines do: scale, round half away, scale back.
+
+    Spark's own `round` works on the shortest decimal of a double and differs
+    from that on values such as 0.145.
+    """
+    scale = float(10**digits)
+    return F.round(_col(c) * F.lit(scale)) / F.lit(scale) if digits else F.round(_col(c))
+
+
 def asc_last(*names: str) -> list[Column]:
     return [F.col(n).asc_nulls_last() for n in names]
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.compat import count_if, ratio
+from logloom.functions.compat import count_if, ratio, rounded
 from logloom.operators.ordering import exact_percentile, rank_descending
 
 
@@ -158,7 +158,7 @@ def minmax_composite(groups: DataFrame, metrics: Sequence[str]) -> DataFrame:
         return F.coalesce(F.try_divide(F.col(m).cast("double") - low, (high - low).cast("double")), F.lit(0.0))
 
     total = sum((unit(m) for m in metrics[1:]), unit(metrics[0]))
-    return rank_descending(groups.withColumn("composite", F.round(total / len(metrics), 9)), "composite", "rank")
+    return rank_descending(groups.withColumn("composite", rounded(total / len(metrics), 9)), "composite", "rank")
 
 
 def dominant_class(cells: DataFrame, cell: str, klass: str) -> DataFrame:
@@ -194,9 +194,9 @@ def deduped_sum(rows: DataFrame, zone: str, entity: str, amount: str) -> DataFra
 def separated_totals(rows: DataFrame, zone: str, wide: Column, amount: str) -> DataFrame:
     """Totals per zone with the part common to all zones apart; rank on the local part."""
     t = rows.groupBy(zone).agg(
-        F.round(F.sum(amount), 2).alias("total"),
-        F.round(F.coalesce(F.sum(F.when(wide, F.col(amount))), F.lit(0.0)), 2).alias("wide_total"),
-        F.round(F.coalesce(F.sum(F.when(~wide, F.col(amount))), F.lit(0.0)), 2).alias("local_total"),
+        rounded(F.sum(amount), 2).alias("total"),
+        rounded(F.coalesce(F.sum(F.when(wide, F.col(amount))), F.lit(0.0)), 2).alias("wide_total"),
+        rounded(F.coalesce(F.sum(F.when(~wide, F.col(amount))), F.lit(0.0)), 2).alias("local_total"),
     )
     return rank_descending(t, "local_total", "local_rank")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.compat import rounded
+
 
 # The serving counters, by the short name used in the formulas.
 SERVING_METRICS = {
@@ -97,10 +99,10 @@ def per_call_split(calls: DataFrame) -> DataFrame:
     prompt, done, thought = known("prompt_tokens"), known("completion_tokens"), known("reasoning_tokens")
     return calls.select(
         "call_id", "model",
-        F.round(100.0 * gen / (lat + gen)).alias("decode_time_pct"),
-        F.round(100.0 * thought / done).alias("reasoning_pct"),
-        F.round(done / (gen / 1000.0), 1).alias("decode_tok_s"),
-        F.round(prompt / (lat / 1000.0)).alias("prefill_tok_s"),
+        rounded(100.0 * gen / (lat + gen)).alias("decode_time_pct"),
+        rounded(100.0 * thought / done).alias("reasoning_pct"),
+        rounded(done / (gen / 1000.0), 1).alias("decode_tok_s"),
+        rounded(prompt / (lat / 1000.0)).alias("prefill_tok_s"),
     )
 
 

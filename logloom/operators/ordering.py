@@ -61,26 +61,20 @@ def position(
     )
 
 
-def value_bucket(df: DataFrame, value: str, pieces: int = 256) -> Column:
-    """Range number of a numeric value; ranges hold about the same number of rows.
+def rank_descending(df: DataFrame, value: str, name: str, pieces: int = 256) -> DataFrame:
+    """`rank()` over the whole frame, highest value first, NULLs last; ties share a rank.
 
-    The cut points come from one mergeable quantile sketch (a scalar subquery
-    of `pieces` numbers).  They only balance the work: any cut gives the same
-    ranks.
+    Equal values are counted first.  One mergeable quantile sketch (a scalar
+    subquery of `pieces` numbers) cuts the value axis into ranges of about the
+    same size.  The cuts only balance the work: any cut gives the same ranks.
     """
-    cuts = df.agg(
-        F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 10 * pieces).alias("c")
-    ).scalar()
-    return F.size(F.filter(F.coalesce(cuts, F.array().cast("array<double>")), lambda c: c < F.col(value)))
-
-
-def rank_descending(df: DataFrame, value: str, name: str) -> DataFrame:
-    """`rank()` over the whole frame, highest value first, NULLs last; ties share a rank."""
     counted = df.groupBy(value).agg(F.count("*").alias("__n"))
-    cut = counted.withColumn(
+    number = F.col(value).cast("double")
+    sketch = df.agg(F.percentile_approx(number, [i / pieces for i in range(1, pieces)], 10 * pieces).alias("c"))
+    cut = counted.withColumn("__cuts", sketch.scalar()).withColumn(
         _BUCKET,
-        F.when(F.col(value).isNull(), F.lit(1)).otherwise(-value_bucket(df, value)),
-    )
+        F.when(F.col(value).isNull(), F.lit(1)).otherwise(-F.size(F.filter("__cuts", lambda c: c < number))),
+    ).drop("__cuts")
     window = (
         Window.partitionBy(_BUCKET)
         .orderBy(F.col(value).desc_nulls_last())

@@ -53,25 +53,27 @@ def attach_provider(df: DataFrame, routes: DataFrame, model: str = "model") -> D
     return df.join(routes.select(F.col("model").alias(model), "provider"), model, "left")
 
 
-def candidate_ids(providers: DataFrame, fetched: DataFrame, previous: DataFrame) -> DataFrame:
-    """(provider, id, status) to list: fetched ids, else the last good ones, else declared.
+def candidate_ids(providers: DataFrame, reached: DataFrame, fetched: DataFrame, previous: DataFrame) -> DataFrame:
+    """(provider, status, id) to list: fetched ids, else the last good ones, else declared.
 
-    `fetched` and `previous` are (provider, ids); a provider that could not be
-    reached has no row, or NULL ids, in `fetched`.
+    `reached` holds the providers that answered, `fetched` and `previous` one row
+    per (provider, id).
     """
-    empty = F.array().cast("array<string>")
-    old = F.when(F.size(F.coalesce(F.col("prev.ids"), empty)) > 0, F.col("prev.ids"))
-    joined = (
-        providers.alias("p")
-        .join(fetched.alias("now"), F.col("p.provider") == F.col("now.provider"), "left")
-        .join(previous.alias("prev"), F.col("p.provider") == F.col("prev.provider"), "left")
-    )
-    return joined.select(
-        F.col("p.provider").alias("provider"),
-        F.when(F.col("now.ids").isNotNull(), "ok").when(old.isNotNull(), "stale").otherwise("declared").alias("status"),
-        F.coalesce(F.col("now.ids"), old, F.col("p.models"), empty).alias("ids"),
+    answered = reached.select("provider", F.lit("ok").alias("__now")).distinct()
+    known = previous.select("provider", F.lit("stale").alias("__old")).distinct()
+    state = (
+        providers.join(answered, "provider", "left")
+        .join(known, "provider", "left")
+        .select("provider", "models", F.coalesce("__now", "__old", F.lit("declared")).alias("status"))
     )
 
+    def listed(status: str, ids: DataFrame) -> DataFrame:
+        return state.where(F.col("status") == status).join(ids, "provider").select("provider", "status", "id")
+
+    declared = state.where(F.col("status") == "declared").select("provider", "status", F.explode("models").alias("id"))
+    ids = ("provider", "id")
+    return listed("ok", fetched.select(*ids)).unionByName(listed("stale", previous.select(*ids))).unionByName(declared)
+
 
 def routable_catalog(candidates: DataFrame, providers: DataFrame, default: str | None = None) -> DataFrame:
     """Candidate ids kept only where routing sends the id to that very provider.
@@ -85,7 +87,9 @@ def routable_catalog(candidates: DataFrame, providers: DataFrame, default: str |
 
 
 def catalog_counts(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Routable ids per provider, 0 where a provider has none."""
+    """Routable ids per listed provider, 0 where none of its ids is routed to it."""
     listed = candidates.select("provider", "status").distinct()
     counts = catalog.groupBy("provider").agg(F.count("*").alias("n"))
-    return listed.join(counts, "provider", "left").select("provider", "status", F.coalesce("n", F.lit(0)).alias("routable"))
+    return listed.join(counts, "provider", "left").select(
+        "provider", "status", F.coalesce("n", F.lit(0)).cast("bigint").alias("routable")
+    )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.compat import blank_to_null, count_if, millis, ratio
+from logloom.functions.compat import blank_to_null, count_if, millis, ratio, rounded, strip
 from logloom.functions.text import app_of
 from logloom.operators.ordering import exact_percentile
 
@@ -38,7 +38,7 @@ def benchmark_sessions(entries: DataFrame) -> DataFrame:
         "session_id",
         app_of(F.col("origin")).alias("app"),
         "model", "question", "turns",
-        F.round(wall, 1).alias("wall_s"),
+        rounded(wall, 1).alias("wall_s"),
         F.when(F.col("capped"), "budget_capped").when(F.col("failed"), "error").otherwise("ok").alias("status"),
     )
 
@@ -52,8 +52,8 @@ def match_question(sessions: DataFrame, questions: DataFrame, aliases: Mapping[s
     app = F.col("app")
     for name, same_as in (aliases or {}).items():
         app = F.when(F.col("app") == name, F.lit(same_as)).otherwise(app)
-    asked = F.trim(F.coalesce(F.col("question"), F.lit("")))
-    q = questions.select(F.col("app").alias("__app"), F.trim("question").alias("__q"), "q_idx")
+    asked = strip(F.coalesce(F.col("question"), F.lit("")))
+    q = questions.select(F.col("app").alias("__app"), strip("question").alias("__q"), "q_idx")
     exact = q.groupBy("__app", "__q").agg(F.min("q_idx").alias("__exact"))
     close = (
         q.groupBy(F.col("__app").alias("__app2"), F.left("__q", F.lit(QUESTION_HEAD)).alias("__head"))
@@ -86,7 +86,7 @@ def attach_cell_grades(cells: DataFrame, grades: DataFrame) -> DataFrame:
 
 def trial_status(timed_out: Column, error: Column) -> Column:
     """Status of a trial from its summary row."""
-    text = F.trim(F.coalesce(error, F.lit("")))
+    text = strip(F.coalesce(error, F.lit("")))
     return (
         F.when((F.lower(F.coalesce(timed_out, F.lit(""))) == "true") | text.contains("timed out"), "timeout")
         .when(text.contains("502") | text.contains("500"), "api_5xx")
@@ -191,7 +191,9 @@ def matrix_cells(questions: DataFrame, models: Sequence[str], trials: int, resul
     grid = questions.select(
         "app", "question",
         F.explode(F.array(*[F.lit(m) for m in models])).alias("model"),
-    ).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))).cast("bigint"))
+    ).withColumn(
+        "trial", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(trials).cast("bigint")))
+    )
     keys = ["app", "question", "model", "trial"]
     out = grid.join(results.withColumn("__have", F.lit(True)), keys, "left")
     missing = F.col("__have").isNull()
@@ -275,7 +277,7 @@ def transcript_rollup(transcripts: DataFrame) -> DataFrame:
         total(F.filter(empty_turns, lambda t: t["type"] == "result"), lambda t: t["tool_exec_ms"]).alias("tool_total_ms"),
         total(metered, lambda f: f["usage"]["prompt_tokens"]).cast("bigint").alias("prompt_tokens_total"),
         completion.cast("bigint").alias("completion_tokens_total"),
-        F.round(F.try_divide(completion, out_ms / 1000.0), 2).alias("output_tok_per_sec"),
+        rounded(F.try_divide(completion, out_ms / 1000.0), 2).alias("output_tok_per_sec"),
     )
 
 
@@ -287,8 +289,8 @@ def trial_summary(runs: DataFrame) -> DataFrame:
     return runs.select(
         "trial", "question", "model",
         F.col("elapsed_sec").alias("elapsed_s"),
-        F.round(F.col("llm_total_ms") / 1000.0, 2).alias("llm_s"),
-        F.round(F.col("tool_total_ms") / 1000.0, 2).alias("tool_s"),
+        rounded(F.col("llm_total_ms") / 1000.0, 2).alias("llm_s"),
+        rounded(F.col("tool_total_ms") / 1000.0, 2).alias("tool_s"),
         F.col("tool_call_count").alias("tool_calls"),
         F.nullif("prompt_tokens_total", F.lit(0)).alias("prompt_tok"),
         F.nullif("completion_tokens_total", F.lit(0)).alias("completion_tok"),

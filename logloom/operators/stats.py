@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.compat import count_if, jstr, ratio, to_bigint
+from logloom.functions.compat import count_if, jstr, ratio, rounded, to_bigint
 from logloom.functions.text import classify_error
 from logloom.operators.ordering import exact_percentile, position, time_bucket
 from logloom.schemas import TOOL_CALLS
@@ -41,10 +41,10 @@ def model_stats(rollup: DataFrame) -> DataFrame:
     """Per model: sessions, calls per question, seconds, cost and share that ended well."""
     return exclude_synthetic(rollup).groupBy("model").agg(
         F.count("*").alias("sessions"),
-        F.round(F.avg("turns"), 1).alias("calls_per_question"),
-        F.round(F.avg("wall_clock_s"), 1).alias("avg_seconds"),
-        F.round(F.sum("cost_usd"), 2).alias("usd"),
-        F.round(100.0 * count_if(F.col("status") == "ok") / F.count("*"), 1).cast("double").alias("pct_ok"),
+        rounded(F.avg("turns"), 1).alias("calls_per_question"),
+        rounded(F.avg("wall_clock_s"), 1).alias("avg_seconds"),
+        rounded(F.sum("cost_usd"), 2).alias("usd"),
+        rounded(100.0 * count_if(F.col("status") == "ok") / F.count("*"), 1).cast("double").alias("pct_ok"),
     )
 
 
@@ -52,7 +52,7 @@ def experiment_grid(rollup: DataFrame) -> DataFrame:
     """Per run tag and model: sessions, calls, failures."""
     return rollup.where(F.col("run_tag").isNotNull()).groupBy("run_tag", "model").agg(
         F.count("*").alias("sessions"),
-        F.round(F.avg("turns"), 1).alias("calls"),
+        rounded(F.avg("turns"), 1).alias("calls"),
         count_if(F.col("status") != "ok").alias("failures"),
     )
 
@@ -66,7 +66,7 @@ def balance_columns(min_requests: int = 20, floor: float = 0.5) -> list[Column]:
     """ratio and alarm from the counts of a window."""
     share = ratio(F.col("responses"), F.col("requests"))
     return [
-        F.round(share, 3).alias("ratio"),
+        rounded(share, 3).alias("ratio"),
         F.coalesce((F.col("requests") >= min_requests) & (share < floor), F.lit(False)).alias("alarm"),
     ]
 
@@ -146,7 +146,7 @@ def dialect_leak_rate(responses: DataFrame) -> DataFrame:
             count_if(F.col("n") > 0).alias("repaired_responses"),
             F.sum("n").alias("repaired_args"),
         )
-        .withColumn("leak_rate", F.round(ratio(F.col("repaired_responses"), F.col("responses")), 6))
+        .withColumn("leak_rate", rounded(ratio(F.col("repaired_responses"), F.col("responses")), 6))
     )
 
 

@@ -27,6 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(use_utc(spark), sf_dir)
 
+        run.__module_of__ = fn.__module__.rpartition(".")[2]
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql

@@ -469,7 +469,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     "tool_load",
     with_ctes(
         LOG, FLAT,
-        """n AS (SELECT json_extract_string(c.value, '$.name') AS name FROM flat, json_each(tool_calls) c WHERE type = 'response' AND tool_calls IS NOT NULL)""",
+        """n AS (SELECT json_extract_string(c.value, '$.name') AS name FROM flat f, json_each(f.tool_calls) c WHERE f.type = 'response' AND f.tool_calls IS NOT NULL)""",
         body="""SELECT name, cast(sum(d) AS bigint) AS direct_calls, cast(count(*) AS bigint) AS effective_calls FROM (
           SELECT name, 1 AS d FROM n UNION ALL SELECT 'get_stac_details', 0 FROM n WHERE name = 'get_schema') x GROUP BY name""",
     ),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.compat import strip
 from logloom.schemas import GOLDEN_MANIFEST, TRANSCRIPT, TRIAL_SUMMARY
 
 _SUMMARY_FILE = r"([^/]+)\.summary\.tsv$"
@@ -45,7 +46,7 @@ def number_questions(files: DataFrame) -> DataFrame:
 
     The count is the position in the file's own line array, so no window is needed.
     """
-    lines = F.transform(F.split("text", "\n"), lambda s: F.trim(s))
+    lines = F.transform(F.split("text", "\n"), strip)
     kept = F.filter(lines, lambda s: (s != "") & ~s.startswith("#"))
     return files.select("app", F.posexplode(kept).alias("pos", "question")).select(
         "app", (F.col("pos") + 1).alias("q_idx"), "question"
