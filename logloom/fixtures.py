@@ -52,7 +52,11 @@ def written_once(spark: SparkSession, sf_dir: str, label: str, write: Callable[[
 
 
 def stored(spark: SparkSession, sf_dir: str, label: str, make: Callable[[], DataFrame]) -> DataFrame:
-    return spark.read.parquet(written_once(spark, sf_dir, label, lambda path: make().write.parquet(path)))
+    """A derived table, spread over enough files to be read in parallel."""
+    files = spark.sparkContext.defaultParallelism
+    return spark.read.parquet(
+        written_once(spark, sf_dir, label, lambda path: make().repartition(files).write.parquet(path))
+    )
 
 
 # Raw log lines: even events are requests, odd events answer the request before.

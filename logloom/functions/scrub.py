@@ -40,14 +40,28 @@ TEXT_RULES = (
 # Strings under these keys may themselves hold a JSON document.
 EMBEDDED_JSON_KEYS = ("arguments", "content")
 
-_MAY_HOLD_SECRET = rf"(?i)({SENSITIVE_KEYS})|KEY_ID"
+# Every pattern and every sensitive key holds one of these words, so text with
+# none of them needs no regular expression.
+HINTS = ("secret", "key", "passw", "token", "bearer", "aws", "authorization")
+
+
+def _hinted(c: Column) -> Column:
+    lower, hit = F.lower(c), F.lit(False)
+    for word in HINTS:
+        hit = hit | lower.contains(word)
+    return hit
 
 
 def scrub_text(c: Column) -> Column:
-    """Redact credentials written as key/value pairs, SQL literals or bearer tokens."""
+    """Redact credentials written as key/value pairs, SQL literals or bearer tokens.
+
+    Plain substring tests, several times faster than the patterns, let clean
+    text through as it is.
+    """
+    clean = c
     for pattern, replacement in TEXT_RULES:
-        c = F.regexp_replace(c, pattern, replacement.replace("{1}", "$1"))
-    return c
+        clean = F.regexp_replace(clean, pattern, replacement.replace("{1}", "$1"))
+    return F.when(_hinted(c), clean).otherwise(c)
 
 
 def _scrub_string(text: str) -> str:
@@ -116,7 +130,7 @@ def may_hold_secret(c: Column) -> Column:
 
     A key may be spelled with JSON escapes, so any backslash-u sequence counts.
     """
-    return c.rlike(_MAY_HOLD_SECRET) | c.contains("\\u")
+    return _hinted(c) | c.contains("\\u")
 
 
 def scrub_json(c: Column) -> Column:

@@ -136,3 +136,13 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, n
     high = F.max(F.when(covers(F.col("__hi")), F.col(value).cast("double")))
     share = F.max(F.col("__at") - F.col("__lo"))
     return placed.groupBy(*keys).agg((low + (high - low) * share).alias(name))
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], values: Sequence[str], p: float) -> DataFrame:
+    """The same percentile of several columns in one pass; columns keep their names."""
+    keys = list(keys)
+    stacked = df.select(
+        *keys, F.inline(F.array(*[F.struct(F.lit(v).alias("__of"), F.col(v).cast("double").alias("__val")) for v in values]))
+    )
+    found = exact_percentile(stacked, [*keys, "__of"], "__val", p, "__p")
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__of") == v, F.col("__p"))).alias(v) for v in values])

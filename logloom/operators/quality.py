@@ -24,17 +24,25 @@ def residual_secrets(df: DataFrame, column: str, by: Sequence[str], how: Scrubbe
     The test is the fixed point, not a search for key names: a redaction marker
     sits beside the same names.
     """
+    counts = _changes(df, column, by, how).groupBy(*by).agg(count_if(F.col("changed")).alias("residual_rows"))
+    return counts.where(F.col("residual_rows") > 0)
+
+
+def _changes(df: DataFrame, column: str, by: Sequence[str], how: Scrubber) -> DataFrame:
+    """Whether a scrub changes the row, computed once per row and counted, never filtered on.
+
+    A filter would be pushed below the scrub and make it run again.
+    """
     again = df.select(*by, F.col(column).alias("__was"), how(F.col(column)).alias("__now"))
-    return again.where(~F.col("__was").eqNullSafe(F.col("__now"))).groupBy(*by).agg(F.count("*").alias("residual_rows"))
+    return again.select(*by, (~F.col("__was").eqNullSafe(F.col("__now"))).alias("changed"))
 
 
 def scrub_report(df: DataFrame, column: str, by: Sequence[str], how: Scrubber = scrub_json) -> DataFrame:
     """Dry run: per group, rows, rows that would change, and whether to rewrite it."""
-    again = df.select(*by, F.col(column).alias("__was"), how(F.col(column)).alias("__now"))
-    changed = count_if(~F.col("__was").eqNullSafe(F.col("__now")))
     return (
-        again.groupBy(*by)
-        .agg(F.count("*").alias("rows_scanned"), changed.alias("rows_changed"))
+        _changes(df, column, by, how)
+        .groupBy(*by)
+        .agg(F.count("*").alias("rows_scanned"), count_if(F.col("changed")).alias("rows_changed"))
         .withColumn("needs_rewrite", F.col("rows_changed") > 0)
     )
 

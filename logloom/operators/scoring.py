@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.compat import blank_to_null, count_if, millis, ratio, rounded, strip
 from logloom.functions.text import app_of
-from logloom.operators.ordering import exact_percentile
+from logloom.operators.ordering import exact_percentile, exact_percentiles
 
 # Fixed value: questions are matched on this many leading characters when the
 # full text differs.
@@ -114,12 +114,9 @@ def cell_stats(trials: DataFrame) -> DataFrame:
         F.min(F.when(F.col("status") == "ok", F.col("elapsed_s"))).alias("lat_min"),
         F.max(F.when(F.col("status") == "ok", F.col("elapsed_s"))).alias("lat_max"),
     )
-    lat = exact_percentile(ok, keys, "elapsed_s", 0.5, "lat_med")
-    tools = exact_percentile(ok, keys, "tool_calls", 0.5, "tools_med")
-    return (
-        counts.join(lat, keys, "left")
-        .join(tools, keys, "left")
-        .withColumn("tools_med", F.coalesce("tools_med", F.lit(0.0)))
+    medians = exact_percentiles(ok, keys, ["elapsed_s", "tool_calls"], 0.5)
+    return counts.join(medians, keys, "left").select(
+        *counts.columns, F.col("elapsed_s").alias("lat_med"), F.coalesce("tool_calls", F.lit(0.0)).alias("tools_med")
     )
 
 
@@ -150,12 +147,12 @@ def model_summary(sessions: DataFrame) -> DataFrame:
         F.coalesce(F.avg(F.when(done, F.col("score"))), F.lit(0.0)).alias("accuracy"),
     )
     ok = sessions.where(done)
-    wall = exact_percentile(ok, ["model"], "wall_s", 0.5, "median_wall_s")
-    turns = exact_percentile(ok, ["model"], "turns", 0.5, "median_turns")
-    return (
-        counts.withColumn("complete_pct", F.lit(100.0) * ratio(F.col("completed"), F.col("attempts")))
-        .join(wall, "model", "left")
-        .join(turns, "model", "left")
+    medians = exact_percentiles(ok, ["model"], ["wall_s", "turns"], 0.5)
+    return counts.join(medians, "model", "left").select(
+        *counts.columns,
+        (F.lit(100.0) * ratio(F.col("completed"), F.col("attempts"))).alias("complete_pct"),
+        F.col("wall_s").alias("median_wall_s"),
+        F.col("turns").alias("median_turns"),
     )
 
 

@@ -24,14 +24,30 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(spark, sf_dir).where(F.col("type") == "response")
 
 
+def _consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide tier as the pipeline leaves it."""
+    return fx.stored(spark, sf_dir, "wide-tier", lambda: _wide(spark, sf_dir))
+
+
 def _turns(spark: SparkSession, sf_dir: str, scope: str = "month") -> DataFrame:
-    return turns.pair_turns(fx.legacy_entries(spark, sf_dir), scope)
+    return turns.pair_turns(_consolidated(spark, sf_dir), scope)
 
 
 def _rollup(spark: SparkSession, sf_dir: str, scope: str = "month") -> DataFrame:
     return sessions.session_rollup(_turns(spark, sf_dir, scope), scope)
 
 
+def _stored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turn tier as the pipeline leaves it; session reports start from it."""
+    return fx.stored(spark, sf_dir, "turn-tier", lambda: _turns(spark, sf_dir))
+
+
+def _stored_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.stored(
+        spark, sf_dir, "session-tier", lambda: sessions.session_rollup(_stored_turns(spark, sf_dir), "month")
+    )
+
+
 # ---- flattening and schema upkeep ------------------------------------------
 
 
@@ -188,6 +204,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir, "day")
 
 
+@query("turns_legacy", with_ctes(*turn_ctes("month"), body="SELECT * FROM turns"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the five-column tables, whose columns are all still inside the entry."""
+    return turns.pair_turns(fx.legacy_entries(spark, sf_dir), "month")
+
+
 @query(
     "pair_inner",
     with_ctes(
@@ -251,7 +273,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns.replay_session(_turns(spark, sf_dir), "s7")
+    return turns.replay_session(_stored_turns(spark, sf_dir), "s7")
 
 
 @query(
@@ -262,7 +284,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns.find_sessions(_turns(spark, sf_dir), 20)
+    return turns.find_sessions(_stored_turns(spark, sf_dir), 20)
 
 
 # ---- sessions --------------------------------------------------------------
@@ -283,12 +305,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_ctes(*rollup_ctes("month"), body="SELECT status, count(*) AS sessions, cast(sum(turns) AS bigint) AS turns FROM rollup GROUP BY status"),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rollup(spark, sf_dir).groupBy("status").agg(F.count("*").alias("sessions"), F.sum("turns").alias("turns"))
+    return _stored_rollup(spark, sf_dir).groupBy("status").agg(F.count("*").alias("sessions"), F.sum("turns").alias("turns"))
 
 
 @query("final_answer", with_ctes(*rollup_ctes("month"), body="SELECT session_key, final_answer, final_error FROM rollup"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rollup(spark, sf_dir).select("session_key", "final_answer", "final_error")
+    return _stored_rollup(spark, sf_dir).select("session_key", "final_answer", "final_error")
 
 
 @query(
@@ -302,7 +324,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("prompt_tokens", "completion_tokens", "cached_tokens", "total_tokens", "cost_usd", "cost_turns")
-    return _rollup(spark, sf_dir).groupBy("provider").agg(*[F.sum(n).alias(n) for n in names])
+    return _stored_rollup(spark, sf_dir).groupBy("provider").agg(*[F.sum(n).alias(n) for n in names])
 
 
 @query(
@@ -333,7 +355,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.lit("2024-01-14").cast("timestamp_ntz")
-    recent = stats.in_window(_rollup(spark, sf_dir), end - F.expr("INTERVAL 14 DAYS"), end, ts="started_at")
+    recent = stats.in_window(_stored_rollup(spark, sf_dir), end - F.expr("INTERVAL 14 DAYS"), end, ts="started_at")
     return stats.model_stats(recent)
 
 
@@ -346,7 +368,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.experiment_grid(_rollup(spark, sf_dir))
+    return stats.experiment_grid(_stored_rollup(spark, sf_dir))
 
 
 @query(
@@ -374,7 +396,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_ctes(*rollup_ctes("month"), body="SELECT session_key, turns, wall_clock_s FROM rollup WHERE NOT session_key_synthetic"),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.exclude_synthetic(_rollup(spark, sf_dir)).select("session_key", "turns", "wall_clock_s")
+    return stats.exclude_synthetic(_stored_rollup(spark, sf_dir)).select("session_key", "turns", "wall_clock_s")
 
 
 @query(
@@ -498,7 +520,7 @@ _THINKING_SQL = """SELECT model, coalesce(cast(enable_thinking AS varchar), 'uns
 
 @query("thinking_matrix", with_ctes(*turn_ctes("month"), body=_THINKING_SQL))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.thinking_matrix(_turns(spark, sf_dir))
+    return stats.thinking_matrix(_stored_turns(spark, sf_dir))
 
 
 @query(
@@ -510,7 +532,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.reasoning_effect(stats.thinking_matrix(_turns(spark, sf_dir)))
+    return stats.reasoning_effect(stats.thinking_matrix(_stored_turns(spark, sf_dir)))
 
 
 @query(

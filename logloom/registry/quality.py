@@ -9,8 +9,9 @@ from logloom import fixtures as fx
 from logloom.functions.scrub import scrub_json, scrub_text
 from logloom.operators import quality
 from logloom.plans import lifecycle
-from logloom.registry.base import query, with_ctes, written_once
+from logloom.registry.base import query, with_ctes
 from logloom.registry.capture import scrub_sql
+from logloom.session import shared_dir
 from logloom.sources import raw, tiers
 
 _CLEAN = scrub_sql("text")
@@ -60,17 +61,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw chunks of 28 days, each line scrubbed; reports lines and changed lines per day."""
     day = F.concat(F.lit("2024-01-"), F.lpad((F.col("event_id") % 28 + 1).cast("string"), 2, "0"))
     lines = _secrets(spark, sf_dir).select("entry", F.concat(day, F.lit("/14-00-00-host-1-a.jsonl")).alias("path"))
-    reports = {}
-
-    def write(path: str) -> None:
-        reports["r"] = tiers.rewrite_jsonl(lines, scrub_json, path)
-
-    written_once(spark, sf_dir, "scrubbed-chunks", write)
-    report = reports.get("r")
-    if report is None:
-        report = quality.scrub_report(lines, "entry", ["path"]).select(
-            "path", F.col("rows_scanned").alias("lines"), F.col("rows_changed").alias("changed_lines")
-        )
+    report = tiers.rewrite_jsonl(spark, lines, scrub_json, shared_dir(spark, "scrubbed-chunks"))
     return report.select(F.left("path", F.lit(10)).alias("day"), "lines", "changed_lines")
 
 

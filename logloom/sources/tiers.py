@@ -89,20 +89,30 @@ def rewrite_in_place(
     return after
 
 
-def rewrite_jsonl(raw: DataFrame, how: Callable[[Column], Column], out: str) -> DataFrame:
+def rewrite_jsonl(spark: SparkSession, raw: DataFrame, how: Callable[[Column], Column], out: str) -> DataFrame:
     """Raw chunks with every line rewritten, written only where a line changed.
 
     `raw` is (entry, path, ...).  New chunks go below `out`, one folder per source
     chunk; the sources stay as they are.  Returns (path, lines, changed_lines).
+
+    The first pass counts changes per chunk and stores the counts; the second
+    rewrites the lines of changed chunks only, usually a small part.  A chunk of
+    any size is written by several tasks.
     """
-    done = raw.select("path", F.col("entry").alias("__was"), how(F.col("entry")).alias("value"))
-    changed = F.count_if(~F.col("__was").eqNullSafe(F.col("value")))
-    report = done.groupBy("path").agg(F.count("*").alias("lines"), changed.alias("changed_lines"))
+    tested = raw.select("path", F.col("entry").alias("__was"), how(F.col("entry")).alias("__now"))
+    changed = F.count_if(~F.col("__was").eqNullSafe(F.col("__now")))
+    counts = shared_dir(spark, "chunk-counts")
+    tested.groupBy("path").agg(F.count("*").alias("lines"), changed.alias("changed_lines")).write.parquet(counts)
+    report = spark.read.parquet(counts)
+
     touched = report.where(F.col("changed_lines") > 0).select("path")
-    chunk = F.regexp_extract("path", r"([^/]+/[^/]+)\.jsonl$", 1)
+    chunk = F.replace(F.regexp_extract("path", r"([^/]+/[^/]+)\.jsonl$", 1), F.lit("/"), F.lit("_"))
+    name = F.coalesce(F.nullif(chunk, F.lit("")), F.xxhash64("path").cast("string"))
     (
-        done.join(touched, "path", "left_semi")
-        .select("value", F.coalesce(F.nullif(F.replace(chunk, F.lit("/"), F.lit("_")), F.lit("")), F.xxhash64("path").cast("string")).alias("chunk"))
+        raw.join(touched, "path", "left_semi")
+        .select("entry", name.alias("chunk"))
+        .repartitionByRange(F.col("chunk"), F.xxhash64("entry"))
+        .select(how(F.col("entry")).alias("value"), "chunk")
         .write.mode("errorifexists")
         .partitionBy("chunk")
         .text(out)
