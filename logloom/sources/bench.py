@@ -54,7 +54,7 @@ def number_questions(files: DataFrame) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True)
     app = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
     return number_questions(files.select(app.alias("app"), F.col("value").alias("text")))
 
