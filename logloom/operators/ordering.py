@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BUCKET = "__bucket"
 _BEFORE = "__before"
@@ -26,41 +27,70 @@ def time_bucket(ts: Column, unit: str = "minute") -> Column:
     return F.coalesce(cut, F.lit(_FAR_FUTURE).cast("timestamp"))
 
 
-def _with_before(df: DataFrame, keys: Sequence[str], weight: Column) -> DataFrame:
-    """Per row, the total weight of all earlier buckets of its key."""
-    parts = [*keys, _BUCKET]
-    sizes = df.groupBy(*parts).agg(F.sum(weight).alias("__size"))
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col(_BUCKET).asc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sizes.select(
-        *[F.col(k).alias(f"__o_{i}") for i, k in enumerate(parts)],
-        F.coalesce(F.sum("__size").over(earlier), F.lit(0)).cast("bigint").alias(_BEFORE),
-    )
-    return offsets
+def _filler(dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.StringType):
+        return F.lit("")
+    if isinstance(dtype, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.lit("1970-01-01").cast(dtype)
+    return F.lit(0).cast(dtype)
+
+
+def _solid_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Keys that are never NULL: a nullable one becomes a filled copy and a flag.
+
+    Plain equality on them matches NULL with NULL, and, unlike `<=>`, lets a
+    join use the partitioning of the window before it: the wide rows are
+    shuffled once.
+    """
+    solid: list[str] = []
+    for i, k in enumerate(keys):
+        field = df.schema[k]
+        if not field.nullable:
+            solid.append(k)
+            continue
+        df = df.withColumns({
+            f"__k{i}": F.coalesce(F.col(k), _filler(field.dataType)), f"__n{i}": F.col(k).isNull()
+        })
+        solid += [f"__k{i}", f"__n{i}"]
+    return df, solid
+
+
+def _original(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """The keys again, from their filled copies where there are any."""
+    out = []
+    for i, k in enumerate(keys):
+        copied = f"__k{i}" in df.columns
+        out.append(F.when(~F.col(f"__n{i}"), F.col(f"__k{i}")).alias(k) if copied else F.col(k))
+    return out
 
 
-def _add_before(local: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    parts = [*keys, _BUCKET]
-    on = [F.col(k).eqNullSafe(F.col(f"__o_{i}")) for i, k in enumerate(parts)]
-    return local.join(offsets, on, "inner").drop(*[f"__o_{i}" for i in range(len(parts))])
+def _before(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per (key, bucket), the total size of the earlier buckets of the key."""
+    window = Window.partitionBy(*keys).orderBy(F.col(_BUCKET).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn(_BEFORE, F.coalesce(F.sum("__size").over(window), F.lit(0)).cast("bigint"))
 
 
 def position(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str
 ) -> DataFrame:
     """`row_number()` over keys, rows ordered by `order`; `bucket` must follow its first column."""
-    cut = df.withColumn(_BUCKET, bucket)
-    window = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    local = cut.withColumn("__pos", F.row_number().over(window))
-    joined = _add_before(local, _with_before(cut, keys, F.lit(1)), keys)
-    return joined.withColumn(name, (F.col("__pos") + F.col(_BEFORE)).cast("bigint")).drop(
-        "__pos", _BEFORE, _BUCKET
+    solid, ks = _solid_keys(df, keys)
+    cut = solid.withColumn(_BUCKET, bucket)
+    parts = [*ks, _BUCKET]
+    local = cut.withColumn("__pos", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)))
+    offsets = _before(cut.groupBy(*parts).agg(F.count("*").alias("__size")), ks).drop("__size")
+    return local.join(offsets, parts).select(
+        *df.columns, (F.col("__pos") + F.col(_BEFORE)).cast("bigint").alias(name)
     )
 
 
+def _cuts_below(cuts: Column, value: Column) -> Column:
+    """How many cut points are below a value: its place in the sorted cuts, by native array functions."""
+    return (F.array_position(F.sort_array(F.array_append(cuts, value)), value) - 1).cast("int")
+
+
 def rank_descending(df: DataFrame, value: str, name: str, pieces: int = 256) -> DataFrame:
     """`rank()` over the whole frame, highest value first, NULLs last; ties share a rank.
 
@@ -73,7 +103,7 @@ def rank_descending(df: DataFrame, value: str, name: str, pieces: int = 256) ->
     sketch = df.agg(F.percentile_approx(number, [i / pieces for i in range(1, pieces)], 10 * pieces).alias("c"))
     cut = counted.withColumn("__cuts", sketch.scalar()).withColumn(
         _BUCKET,
-        F.when(F.col(value).isNull(), F.lit(1)).otherwise(-F.size(F.filter("__cuts", lambda c: c < number))),
+        F.when(F.col(value).isNull(), F.lit(1)).otherwise(-_cuts_below(F.col("__cuts"), number)),
     ).drop("__cuts")
     window = (
         Window.partitionBy(_BUCKET)
@@ -94,48 +124,46 @@ def rank_descending(df: DataFrame, value: str, name: str, pieces: int = 256) ->
     return df.join(ranks, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
 
 
-def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str, pieces: int = 64) -> DataFrame:
+def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str, pieces: int = 32) -> DataFrame:
     """Interpolated percentile per key, exact, without holding a group in one task.
 
     Equal values are counted first, spread over (key, value).  A sketch per key
     cuts the value axis into ranges; only the ranges holding the two values
     around the wanted rank are ordered.
     """
-    keys = list(keys)
-    freq = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    sketch = freq.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value).cast("double"), [i / pieces for i in range(1, pieces)], 10 * pieces).alias("__cuts"),
-        F.sum("__n").alias("__total"),
+    solid, ks = _solid_keys(df, keys)
+    number = F.col(value).cast("double").alias("__v")
+    freq = solid.where(F.col(value).isNotNull()).groupBy(*ks, number).agg(F.count("*").alias("__n"))
+    steps = [i / pieces for i in range(1, pieces)]
+    sketch = freq.groupBy(*ks).agg(
+        F.percentile_approx("__v", steps, 10 * pieces).alias("__cuts"), F.sum("__n").alias("__total")
     )
-    for i, k in enumerate(keys):
-        sketch = sketch.withColumnRenamed(k, f"__s_{i}")
-    on = [F.col(k).eqNullSafe(F.col(f"__s_{i}")) for i, k in enumerate(keys)]
-    cut = (
-        freq.join(sketch, on) if keys else freq.withColumn("__cuts", sketch.select("__cuts").scalar()).withColumn("__total", sketch.select("__total").scalar())
-    ).drop(*[f"__s_{i}" for i in range(len(keys))])
-    cut = cut.withColumn(_BUCKET, F.size(F.filter("__cuts", lambda c: c < F.col(value).cast("double"))))
+    if ks:
+        cut = freq.join(sketch, ks)
+    else:
+        cut = freq.withColumns({c: sketch.select(c).scalar() for c in ("__cuts", "__total")})
     target = (F.col("__total") - 1) * F.lit(float(p))
-    cut = cut.select(*keys, value, "__n", _BUCKET, F.floor(target).alias("__lo"), F.ceil(target).alias("__hi"), target.alias("__at"))
-
-    by_range = cut.groupBy(*keys, _BUCKET).agg(
-        F.sum("__n").alias("__size"), F.first("__lo").alias("__l"), F.first("__hi").alias("__h")
+    parts = [*ks, _BUCKET]
+    cut = cut.withColumn(_BUCKET, _cuts_below(F.col("__cuts"), F.col("__v"))).select(
+        *parts, "__v", "__n", F.floor(target).alias("__lo"), F.ceil(target).alias("__hi"), (target - F.floor(target)).alias("__share")
     )
     # At most `pieces` rows per key.
-    earlier = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    wanted = by_range.withColumn(_BEFORE, F.coalesce(F.sum("__size").over(earlier), F.lit(0))).where(
+    sizes = cut.groupBy(*parts).agg(F.sum("__n").alias("__size"), F.max("__lo").alias("__l"), F.max("__hi").alias("__h"))
+    wanted = _before(sizes, ks).where(
         (F.col(_BEFORE) <= F.col("__h")) & (F.col(_BEFORE) + F.col("__size") > F.col("__l"))
-    )
-    parts = [*keys, _BUCKET]
-    wanted = wanted.select(*[F.col(k).alias(f"__o_{i}") for i, k in enumerate(parts)], _BEFORE)
-    inside = Window.partitionBy(*parts).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = _add_before(cut, wanted, keys).withColumn(
+    ).select(*parts, _BEFORE)
+    inside = Window.partitionBy(*parts).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.join(wanted, parts).withColumn(
         "__from", F.col(_BEFORE) + F.coalesce(F.sum("__n").over(inside), F.lit(0))
     )
-    covers = lambda rank: (F.col("__from") <= rank) & (F.col("__from") + F.col("__n") > rank)
-    low = F.max(F.when(covers(F.col("__lo")), F.col(value).cast("double")))
-    high = F.max(F.when(covers(F.col("__hi")), F.col(value).cast("double")))
-    share = F.max(F.col("__at") - F.col("__lo"))
-    return placed.groupBy(*keys).agg((low + (high - low) * share).alias(name))
+
+    def value_at(rank: str) -> Column:
+        here = (F.col("__from") <= F.col(rank)) & (F.col("__from") + F.col("__n") > F.col(rank))
+        return F.max(F.when(here, F.col("__v")))
+
+    low, high = value_at("__lo"), value_at("__hi")
+    found = placed.groupBy(*ks).agg((low + (high - low) * F.max("__share")).alias(name))
+    return found.select(*_original(found, keys), name)
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], values: Sequence[str], p: float) -> DataFrame:

@@ -22,7 +22,8 @@ def session_key(session_id: Column, origin: Column, user_question: Column) -> Co
 def _period(ts: Column, scope: str) -> Column:
     if scope not in SCOPES:
         raise ValueError(f"scope must be one of {SCOPES}, not {scope!r}")
-    return F.date_format(ts, "yyyy-MM-dd" if scope == "day" else "yyyy-MM")
+    text = F.date_format(ts, "yyyy-MM-dd" if scope == "day" else "yyyy-MM")
+    return F.coalesce(text, F.lit("undated"))
 
 
 def index_turns(requests: DataFrame, scope: str = "month") -> DataFrame:
