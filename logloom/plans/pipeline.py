@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.scrub import scrub_json
 from logloom.operators.flatten import flatten_entries, upgrade_schema
+from logloom.operators.quality import residual_secrets, scrub_entries, scrub_report
 from logloom.operators.sessions import session_rollup
 from logloom.operators.turns import pair_turns
 from logloom.schemas import WIDE_COLUMNS
 from logloom.sources.raw import split_malformed
-from logloom.sources.tiers import tier_path, write_tier
+from logloom.session import shared_dir
+from logloom.sources.tiers import rewrite_in_place, tier_path, write_tier
 
 
 GRAIN = {"day": "daily", "month": "monthly"}
@@ -48,3 +51,36 @@ def rebuild(spark: SparkSession, root: str, scope: str = "day", periods: DataFra
     write_tier(turns, turn_path, ts="request_ts", order=("session_key", "turn_idx"))
     rollup = session_rollup(pending(turn_path), scope)
     write_tier(rollup, f"{tier_path(root, 'session-rollup')}/{grain}", ts="started_at", order=("started_at",))
+
+
+def scrub_history(spark: SparkSession, root: str, today: str, dry_run: bool = False) -> DataFrame:
+    """Redacts credentials in the stored consolidated days and in everything derived from them.
+
+    Returns the report (log_date, rows_scanned, rows_changed, needs_rewrite).
+    Only days with changes are rewritten; today is left alone, it is still being
+    written.  Flat columns and the daily tiers are rebuilt from the clean entries
+    rather than patched, so no copy of a secret survives in them; month-scoped
+    tiers are rebuilt by `rebuild(..., "month")`.
+    """
+    path = tier_path(root, "consolidated")
+    counts = shared_dir(spark, "scrub-report")
+    past = spark.read.parquet(path).where(F.col("log_date") != F.to_date(F.lit(today)))
+    scrub_report(past.select("log_date", "entry"), "entry", ["log_date"]).write.parquet(counts)
+    report = spark.read.parquet(counts)
+    dirty = report.where("needs_rewrite").select("log_date")
+    if dry_run or dirty.isEmpty():
+        return report
+
+    def clean(days: DataFrame) -> DataFrame:
+        scrubbed = flatten_entries(scrub_entries(days))
+        return scrubbed.select(*WIDE_COLUMNS, F.to_date("ts").alias("log_date"))
+
+    rewrite_in_place(spark, path, clean, only=dirty)
+    rebuild(spark, root, "day", dirty)
+    return report
+
+
+def verify_scrubbed(spark: SparkSession, root: str) -> DataFrame:
+    """Days of the consolidated tier that another scrub would still change; empty when clean."""
+    entries = spark.read.parquet(tier_path(root, "consolidated")).select("log_date", "entry")
+    return residual_secrets(entries, "entry", ["log_date"], scrub_json)

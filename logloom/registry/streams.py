@@ -108,4 +108,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = written_once(spark, sf_dir, "stream-messages", write)
     said = spark.readStream.schema("role string, content string").parquet(path)
-    return _drain(streams.stream_prompts(said), spark, "stream-prompts")
+    target = shared_dir(spark, "stream-prompts")
+    streams.stream_prompts(said, f"{target}/out", f"{target}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{target}/out")

@@ -58,17 +58,17 @@ def write_tier(df: DataFrame, path: str, ts: str = "ts", order: Sequence[str] =
 
 def rewrite_in_place(
     spark: SparkSession, path: str, fn: Callable[[DataFrame], DataFrame], partition: str | None = "log_date",
-    only: Column | None = None, order: str = "ts",
+    only: DataFrame | None = None, order: str = "ts",
 ) -> int:
     """Replaces a table by fn(table) by way of a staging table; returns the row count.
 
     The new rows are complete and counted before anything is overwritten; if the
-    count differs the original is left alone.  `only` limits the rewrite to the
-    partitions it selects, which must be whole ones.
+    count differs the original is left alone.  `only`, a frame of partition values,
+    limits the rewrite to those partitions.
     """
     source = spark.read.parquet(path)
     if only is not None:
-        source = source.where(only)
+        source = source.join(only.select(partition), partition, "left_semi")
     staging = shared_dir(spark, "staging")
     writer = fn(source).write.mode("errorifexists").option("compression", "zstd")
     if partition:

@@ -78,10 +78,25 @@ def stream_pair(entries: DataFrame, lateness: str = "10 minutes", budget: str =
     return requests.join(responses, on, "left_outer").drop("__rid").withColumn("outcome", outcome)
 
 
-def stream_prompts(messages: DataFrame) -> DataFrame:
-    """First sight of every system prompt; the state holds one hash per distinct prompt.
+def stream_prompts(messages: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Appends every system prompt to a dictionary table at its first sight.
 
-    `messages` is (role, content, ...).
+    `messages` is (role, content, ...).  One prompt may come with most requests,
+    so a batch is first reduced by an aggregate that combines before the
+    shuffle; only its distinct prompts meet the table.  A repeated batch finds
+    its prompts there already and adds nothing.
     """
-    prompts = messages.where((F.col("role") == "system") & F.col("content").isNotNull())
-    return prompts.select(prompt_hash(F.col("content")).alias("system_sha256"), "content").dropDuplicates(["system_sha256"])
+    spark = messages.sparkSession
+    prompts = messages.where((F.col("role") == "system") & F.col("content").isNotNull()).select(
+        prompt_hash(F.col("content")).alias("system_sha256"), "content"
+    )
+    spark.createDataFrame([], prompts.schema).write.mode("append").parquet(path)
+
+    def merge(batch: DataFrame, _: int) -> None:
+        known = batch.sparkSession.read.schema(prompts.schema).parquet(path).select("system_sha256")
+        fresh = batch.groupBy("system_sha256").agg(F.min("content").alias("content"))
+        fresh.join(known, "system_sha256", "left_anti").write.mode("append").parquet(path)
+
+    writer = prompts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.start()

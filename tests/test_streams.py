@@ -72,5 +72,9 @@ def test_prompts_seen_once_across_batches(spark, tmp_path):
     for i in range(3):
         spark.createDataFrame(rows, "role string, content string").write.mode("append").parquet(str(src))
         said = spark.readStream.schema("role string, content string").parquet(str(src))
-        out = drain(spark, streams.stream_prompts(said), tmp_path, "prompts")
+        streams.stream_prompts(said, str(tmp_path / "d"), str(tmp_path / "cp")).awaitTermination()
+    # A lost checkpoint repeats everything and still adds nothing.
+    said = spark.readStream.schema("role string, content string").parquet(str(src))
+    streams.stream_prompts(said, str(tmp_path / "d"), str(tmp_path / "cp2")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "d"))
     assert sorted(r["content"] for r in out.collect()) == ["p1", "p2"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logloom.operators.flatten import fill_missing, flatten_entries, missing_columns, upgrade_schema
 from logloom.operators.sessions import session_rollup, tier_compare
 from logloom.operators.turns import live_union, pair_turns, union_tiers
-from logloom.plans.pipeline import consolidate, rebuild
+from logloom.plans.pipeline import consolidate, rebuild, scrub_history, verify_scrubbed
 from logloom.schemas import ROLLUP_COLUMNS, ROLLUP_INPUTS, TURN_COLUMNS, WIDE_COLUMNS
 from logloom.sources import raw, tiers
 
@@ -201,6 +201,25 @@ def test_pipeline_end_to_end(spark, tmp_path, entries):
     assert tiers.read_tier(spark, root, "sessions", "daily").count() == 6
 
 
+def test_scrub_history_reaches_every_tier(spark, tmp_path):
+    day = tmp_path / "raw" / "2024-01-02"
+    day.mkdir(parents=True)
+    leak = resp("a2", "2024-01-02T00:10:09Z", content="password: hush1", tool_calls=[{"name": "q", "arguments": '{"s3_secret": "hush2"}'}])
+    (day / "01-00-00-h-1-aa.jsonl").write_text("\n".join([req("a1", "2024-01-01T00:00:00Z"), req("a2", "2024-01-02T00:10:00Z"), leak]) + "\n")
+    root = str(tmp_path / "lake")
+    consolidate(spark, raw.read_raw(spark, str(tmp_path / "raw")), root)
+    dry = {str(r["log_date"]): r["rows_changed"] for r in scrub_history(spark, root, "2024-02-01", dry_run=True).collect()}
+    assert dry == {"2024-01-01": 0, "2024-01-02": 1} and verify_scrubbed(spark, root).count() == 1
+    scrub_history(spark, root, "2024-01-02")
+    assert verify_scrubbed(spark, root).count() == 1  # today is left alone
+    scrub_history(spark, root, "2024-02-01")
+    assert verify_scrubbed(spark, root).count() == 0
+    for tier in ("consolidated", "sessions", "session-rollup"):
+        rows = tiers.read_tier(spark, root, tier).select(F.to_json(F.struct("*")).alias("j")).collect()
+        assert rows and not any("hush" in r["j"] for r in rows), tier
+    assert tiers.read_tier(spark, root, "consolidated").count() == 3
+
+
 def test_write_tier_is_in_order_and_rewrite_is_safe(spark, tmp_path, entries):
     path = str(tmp_path / "t")
     tiers.write_tier(entries, path)
@@ -213,7 +232,8 @@ def test_write_tier_is_in_order_and_rewrite_is_safe(spark, tmp_path, entries):
     with pytest.raises(RuntimeError, match="original untouched"):
         tiers.rewrite_in_place(spark, path, lambda df: df.where("type = 'request'"))
     assert spark.read.parquet(path).count() == len(LINES)
-    n = tiers.rewrite_in_place(spark, path, lambda df: df.withColumn("error", F.lit("x")), only=F.col("log_date") == "2024-01-02")
+    one_day = spark.createDataFrame([("2024-01-02",)], "d string").select(F.to_date("d").alias("log_date"))
+    n = tiers.rewrite_in_place(spark, path, lambda df: df.withColumn("error", F.lit("x")), only=one_day)
     after = spark.read.parquet(path)
     assert n == 4 and after.count() == len(LINES) and after.where("error = 'x'").count() == 4
 
