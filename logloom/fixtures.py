@@ -239,6 +239,10 @@ SELECT event_id, event_type AS model,
 FROM (SELECT event_id, event_type, cast(event_id AS varchar(20)) AS n FROM events ) e
 """
 
+def tool_args(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(use_utc(spark), sf_dir, "tool-args", lambda: run_view(spark, sf_dir, TOOL_ARGS, "events"))
+
+
 # Log records with credentials in every place the structural scrub looks at.
 SECRET_RECORDS = """
 SELECT event_id, event_type AS source,
@@ -253,6 +257,10 @@ SELECT event_id, event_type AS source,
 FROM (SELECT event_id, event_type, cast(event_id AS varchar(20)) AS n FROM events ) e
 """
 
+def secret_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(use_utc(spark), sf_dir, "secret-records", lambda: run_view(spark, sf_dir, SECRET_RECORDS, "events"))
+
+
 # Object listing of a bucket: raw chunks per hour, tier files for some days, and
 # names that are not days.  `side` tells the source from the mirror.
 OBJECTS = """
@@ -339,6 +347,10 @@ FROM (SELECT event_type, ts, cast(ts AS varchar(30)) AS t FROM events ) e
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(use_utc(spark), sf_dir, "counters", lambda: make_counters(spark, sf_dir))
+
+
+def make_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, metric, ts, value); one model reports no decode metrics."""
     weights = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(w).alias("w")) for m, w in METRIC_WEIGHTS.items()])
     ticks = run_view(spark, sf_dir, COUNTER_TICKS, "events")

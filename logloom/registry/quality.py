@@ -35,7 +35,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.run_view(spark, sf_dir, fx.SECRET_RECORDS, "events")
+    return fx.secret_records(spark, sf_dir)
 
 
 @query("scrub_json", f"SELECT event_id, expected AS entry FROM ({fx.SECRET_RECORDS}) s")
@@ -67,8 +67,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("repair_tool_args", f"SELECT event_id, expected AS arguments, event_id % 5 <> 0 AS repaired FROM ({fx.TOOL_ARGS}) a")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    args = fx.run_view(spark, sf_dir, fx.TOOL_ARGS, "events")
-    return quality.repair_arguments(args).select("event_id", "arguments", "repaired")
+    return quality.repair_arguments(fx.tool_args(spark, sf_dir)).select("event_id", "arguments", "repaired")
 
 
 @query(
@@ -76,7 +75,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT model, count(*) AS calls, count(*) FILTER (WHERE event_id % 5 <> 0) AS repaired_calls FROM ({fx.TOOL_ARGS}) a GROUP BY model""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = quality.repair_arguments(fx.run_view(spark, sf_dir, fx.TOOL_ARGS, "events"))
+    fixed = quality.repair_arguments(fx.tool_args(spark, sf_dir))
     return fixed.groupBy("model").agg(F.count("*").alias("calls"), F.count_if("repaired").alias("repaired_calls"))
 
 
