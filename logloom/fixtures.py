@@ -59,9 +59,10 @@ def stored(spark: SparkSession, sf_dir: str, label: str, make: Callable[[], Data
     )
 
 
-# Raw log lines: even events are requests, odd events answer the request before.
-# Some requests are never answered, one day loses most of its responses, some
-# responses have no request, a few request ids are used twice.
+# Raw log lines, one per event: even events are requests, odd events answer the
+# request before.  Some events are system prompt records instead, so that some
+# requests are never answered (most of one day's) and some responses have no
+# request; a few request ids are used twice.
 LOG_LINES = """
 SELECT ts, day, type, request_id, origin,
   concat(day, '/', hh, '-00-00-host', cast(shard AS varchar(20)), '-7-0001.jsonl') AS path,
@@ -85,7 +86,9 @@ SELECT ts, day, type, request_id, origin,
 FROM (
   SELECT ts, cast(ts AS varchar(30)) AS t,
     substr(cast(ts AS varchar(30)), 1, 10) AS day, substr(cast(ts AS varchar(30)), 12, 2) AS hh, user_id % 4 AS shard,
-    CASE WHEN event_id % 2 = 0 THEN 'request' ELSE 'response' END AS type,
+    CASE WHEN event_id % 2 = 1 AND event_id % 17 = 1 THEN 'system_prompt' WHEN event_id % 2 = 0 AND event_id % 26 = 0 THEN 'system_prompt'
+      WHEN event_id % 2 = 1 AND event_id % 10 <> 9 AND cast(ts AS varchar(30)) LIKE '2024-01-15%' THEN 'system_prompt'
+      WHEN event_id % 2 = 0 THEN 'request' ELSE 'response' END AS type,
     concat('r', cast(CASE WHEN event_id % 500 = 499 THEN event_id - 3 ELSE event_id - event_id % 2 END AS varchar(20))) AS request_id,
     CASE WHEN user_id % 10 = 0 THEN 'null' ELSE concat('"s', cast(user_id AS varchar(20)), '"') END AS sid,
     CASE WHEN user_id % 6 = 0 THEN 'null' ELSE concat('"app/v', cast(user_id % 3 AS varchar(20)), '"') END AS client,
@@ -118,9 +121,6 @@ FROM (
       WHEN event_type = 'signup' THEN ',"tool_calls":[{"name":"get_stac_details","arguments":"{}"}]' ELSE '' END AS calls,
     CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN concat(',"tool_call_dialect_repaired":', cast(1 + event_id % 2 AS varchar(20))) ELSE '' END AS repaired
   FROM events 
-  WHERE NOT (event_id % 2 = 1 AND event_id % 17 = 1)
-    AND NOT (event_id % 2 = 0 AND event_id % 26 = 0)
-    AND NOT (event_id % 2 = 1 AND event_id % 10 <> 9 AND cast(ts AS varchar(30)) LIKE '2024-01-15%')
 ) b
 """
 

@@ -189,14 +189,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "group_share",
     with_ctes(
-        ZONES, MASK,
-        "low AS (SELECT cell FROM mask WHERE cell % 3 = 0)",
+        ZONES,
+        "low AS (SELECT cell FROM zones WHERE size = 50)",
         "s AS (SELECT zone, avg(CASE WHEN cell IN (SELECT cell FROM low) THEN 1.0::double ELSE 0.0::double END) AS share, count(*) AS cells FROM zones GROUP BY zone HAVING count(*) >= 50)",
         body="SELECT zone, round(share, 9) AS share, cells, rank() OVER (ORDER BY share) AS rank_low FROM s",
     ),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = _mask(spark, sf_dir).where(F.col("cell") % 3 == 0)
+    low = _zones(spark, sf_dir).where(F.col("size") == 50)
     return _to(9, cells.group_share(_zones(spark, sf_dir), low), "share")
 
 
@@ -212,14 +212,15 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "weighted_overlay",
     with_ctes(
-        CELLS, _FEATURES, _WEIGHTS,
+        CELLS, MASK, _FEATURES, _WEIGHTS,
         body="""SELECT klass, round(sum(frac) * 3.5, 4) AS total, round(sum(frac * coalesce(weight, 0)) * 3.5, 4) AS covered,
           round(100 * sum(frac * coalesce(weight, 0)) / sum(frac), 6) AS pct
-          FROM cells LEFT JOIN (SELECT * FROM cw WHERE cell % 5 <> 0) w USING (h0, cell) GROUP BY klass""",
+          FROM cells LEFT JOIN (SELECT * FROM cw SEMI JOIN mask USING (h0, cell)) w USING (h0, cell) GROUP BY klass""",
     ),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = cells.cell_weight(_features(spark, sf_dir), "part", "whole", "fid", ["h0", "cell"]).where(F.col("cell") % 5 != 0)
+    protected = cells.masked(_features(spark, sf_dir), _mask(spark, sf_dir), ["h0", "cell"])
+    weights = cells.cell_weight(protected, "part", "whole", "fid", ["h0", "cell"])
     got = cells.weighted_overlay(_cells(spark, sf_dir), weights, ["h0", "cell"], "klass", unit=3.5)
     return _to(6, _to(4, got, "total", "covered"), "pct")
 

@@ -421,7 +421,7 @@ def _balance_sql(width: str) -> str:
     return with_ctes(
         LOG,
         f"""w AS (SELECT time_bucket(INTERVAL {width}, ts) AS window_start, count(*) FILTER (WHERE type = 'request') AS requests,
-              count(*) FILTER (WHERE type = 'response') AS responses FROM log_lines GROUP BY 1)""",
+              count(*) FILTER (WHERE type = 'response') AS responses FROM log_lines WHERE type IN ('request', 'response') GROUP BY 1)""",
         body="""SELECT window_start, requests, responses, round(cast(responses AS double) / nullif(requests, 0), 3) AS ratio,
           coalesce(requests >= 20 AND cast(responses AS double) / nullif(requests, 0) < 0.5, false) AS alarm FROM w""",
     )

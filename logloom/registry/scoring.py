@@ -26,16 +26,16 @@ BENCH = """bench AS (
       WHEN coalesce(bool_or(error <> ''), false) THEN 'error' ELSE 'ok' END AS status
   FROM flat GROUP BY session_id)"""
 QUESTIONS = """SELECT DISTINCT concat('app', cast(user_id % 4 AS varchar(20))) AS app, cast(user_id % 7 + 1 AS int) AS q_idx,
-  concat('q', cast(user_id % 7 AS varchar(20))) AS question FROM events WHERE user_id % 7 < 5 """
+  concat('q', cast(user_id % 7 AS varchar(20))) AS question FROM events """
 GRADES = """SELECT DISTINCT concat('s', cast(user_id AS varchar(20))) AS prefix,
-  CASE WHEN user_id % 3 = 0 THEN 1.0 WHEN user_id % 3 = 1 THEN 0.5 ELSE 0.0 END AS score FROM events WHERE user_id % 8 <> 0 """
-# Sessions of one model each, so that grids have filled and empty cells: one per
-# user, day and model, with errors only where the whole day failed.
-GRID = """SELECT concat('app', cast(user_id % 4 AS varchar(20))) AS app, concat('q', cast(user_id % 7 AS varchar(20))) AS q, event_type AS model,
+  CASE WHEN user_id % 8 = 0 THEN NULL WHEN user_id % 3 = 0 THEN 1.0 WHEN user_id % 3 = 1 THEN 0.5 ELSE 0.0 END AS score FROM events """
+# One session per event, so that every status and score occurs; one model never
+# meets one question, which leaves empty cells.
+GRID = """SELECT concat('app', cast(user_id % 4 AS varchar(20))) AS app, CASE WHEN event_type = 'view' AND user_id % 7 = 3 THEN 'q0' ELSE concat('q', cast(user_id % 7 AS varchar(20))) END AS q, event_type AS model,
   event_id % 9 + 1 AS turns, value AS wall_s,
   CASE WHEN event_id % 10 = 0 THEN 'budget_capped' WHEN event_id % 10 = 1 THEN 'error' ELSE 'ok' END AS status,
   CASE WHEN event_id % 4 = 0 THEN 1.0 WHEN event_id % 4 = 1 THEN 0.5 WHEN event_id % 4 = 2 THEN 0.0 ELSE NULL END AS score
-FROM events WHERE NOT (event_type = 'view' AND user_id % 7 = 3) """
+FROM events """
 
 
 def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +220,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GATE = """old AS (SELECT doc_id AS id, cast(quality AS double) AS score FROM labels),
-new AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 0.0 ELSE 1.0 END AS score FROM labels WHERE doc_id % 9 <> 0),
+new AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 0.0 ELSE 1.0 END AS score FROM labels WHERE quality = 1 OR toxic = 0),
 target AS (SELECT doc_id AS id FROM labels WHERE quality = 0)"""
 GATE_ROWS = """SELECT id, o.score AS old_score, cast(n.score AS double) AS new_score, n.score IS NULL OR n.score < o.score AS regressed,
   CASE WHEN t.id IS NOT NULL THEN coalesce(n.score >= 1, false) END AS target_fixed
@@ -230,7 +230,7 @@ GATE_ROWS = """SELECT id, o.score AS old_score, cast(n.score AS double) AS new_s
 def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = fx.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
     old = labels.select("id", F.col("quality").cast("double").alias("score"))
-    new = labels.where(F.col("id") % 9 != 0).select("id", F.when(F.col("toxic") == 1, 0.0).otherwise(1.0).alias("score"))
+    new = labels.where((F.col("quality") == 1) | (F.col("toxic") == 0)).select("id", F.when(F.col("toxic") == 1, 0.0).otherwise(1.0).alias("score"))
     return scoring.regression_gate(old, new, labels.where(F.col("quality") == 0))
 
 

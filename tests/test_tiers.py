@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logloom.operators.flatten import fill_missing, flatten_entries, missing_columns, upgrade_schema
 from logloom.operators.sessions import session_rollup, tier_compare
 from logloom.operators.turns import live_union, pair_turns, union_tiers
-from logloom.plans.pipeline import consolidate, rebuild, scrub_history, verify_scrubbed
+from logloom.plans.jobs import consolidate, rebuild, scrub_history, verify_scrubbed
 from logloom.schemas import ROLLUP_COLUMNS, ROLLUP_INPUTS, TURN_COLUMNS, WIDE_COLUMNS
 from logloom.sources import raw, tiers
 
