@@ -25,3 +25,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 def string_or_empty(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

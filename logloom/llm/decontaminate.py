@@ -6,9 +6,9 @@ shingles have a weighted Jaccard similarity of at least ``threshold`` with the i
 
 1. Anchors.  A window that similar shares nearly all its shingles with the item, so it holds
    one that starts at a multiple of ``stride`` (the largest step for which this is certain for
-   every item, see `_stride`).  Only those positions are hashed and looked up; each run of hits
-   on one diagonal gives one item-sized window.  Windows without an anchor cannot reach the
-   threshold, so nothing is lost.
+   every item, see `_stride`).  Only those positions are hashed and looked up.  Around each run
+   of hits the item-sized windows slide word by word; those with too few shingles of the item
+   are skipped.  Windows without an anchor cannot reach the threshold, so nothing is lost.
 2. SimHash.  Windows and items get 64-bit fingerprints of their weighted shingles.
 3. Multi-index.  A fingerprint is cut into ``radius + 1`` blocks; two within the radius agree
    on one block at least, so the equi-join on (item, block, bits) finds every pair within it.
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import staged, string_or_empty, table
+from logloom.llm.common import staged, string_or_empty, table, unused
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -128,34 +128,55 @@ def benchmark_items(items: DataFrame, item_id: str = "item_id", text: str = "tex
     )
 
 
-def _windows(docs: DataFrame, items: DataFrame, width: int, stride: int) -> DataFrame:
-    """Item-sized windows around the anchors: doc_id, item_id, start, window (words)."""
+def _needed(shingles: Column, of_window: Column, threshold: float) -> Column:
+    """The least number of a window's shingles that the item must share."""
+    return F.ceil((shingles + of_window) * F.lit(threshold / (1 + threshold) - 1e-9))
+
+
+def _windows(docs: DataFrame, items: DataFrame, width: int, stride: int, threshold: float) -> DataFrame:
+    """Item-sized windows near the anchors: doc_id, item_id, start, shingles.
+
+    An anchor may belong to any window that holds it or a later part of its run.  Those whose
+    number of shingles known to the item can reach the threshold are returned.
+    """
     place = lambda i: _shingle_hash(F.col("words"), i, width)
-    index = items.select(
-        "item_id", "n_words", "words", F.explode(F.sequence(F.lit(0), F.col("n_words") - width)).alias("q")
-    ).select(
-        "item_id", "n_words", "q", place(F.col("q")).alias("hash"),
+    index = items.select("item_id", "words", F.explode(F.sequence(F.lit(0), F.col("n_words") - width)).alias("q")).select(
+        "item_id", "q", place(F.col("q")).alias("hash"),
         F.when(F.col("q") >= stride, place(F.col("q") - stride)).alias("before"),
     )
+    known = items.select(F.col("item_id").alias("of_item"), "n_words", F.col("shingles").alias("item_shingles"))
     pieces = docs.select("doc_id", F.split(F.lower(string_or_empty(F.col("text"))), r"[^\p{L}\p{N}]+").alias("pieces"))
     texts = pieces.select("doc_id", _edge_trimmed(F.col("pieces")).alias("words")).where(F.size("words") >= width)
     anchors = texts.select(
         "doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - width, F.lit(stride))).alias("p")
     )
-    start = (F.col("p") - F.col("q")).alias("start")
     if index.count() <= BROADCAST_SHINGLES:
         hits = anchors.withColumn("hash", place(F.col("p"))).join(F.broadcast(index), "hash")
-        # of a run of anchors on one diagonal only the first gives a window
+        # of a run of anchors on one diagonal only the first is needed
         first = F.col("before").isNull() | (F.col("p") < stride) | (place(F.col("p") - stride) != F.col("before"))
-        windows = hits.where(first).select("doc_id", "words", "item_id", "n_words", start)
+        hits, known = hits.where(first).select("doc_id", "words", "item_id", "p"), F.broadcast(known)
     else:
-        hits = anchors.select("doc_id", "p", place(F.col("p")).alias("hash")).join(index, "hash")
-        hits = hits.select("doc_id", "item_id", "n_words", start).distinct()
-        windows = texts.join(hits.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).drop("of")
-    low = F.greatest(F.col("start"), F.lit(0))
-    high = F.least(F.col("start") + F.col("n_words"), F.size("words"))
-    return windows.select(
-        "doc_id", "item_id", low.alias("start"), F.slice("words", low + 1, F.greatest(high - low, F.lit(0))).alias("window")
+        narrow = anchors.select(F.col("doc_id").alias("of"), "p", place(F.col("p")).alias("hash")).join(index, "hash")
+        narrow = narrow.select("of", "item_id", "p").distinct()
+        hits = texts.join(narrow, F.col("doc_id").eqNullSafe(F.col("of"))).drop("of")
+    low = F.greatest(F.col("p") - F.col("n_words") + 1, F.lit(0))
+    high = F.least(F.col("p") + 2 * F.col("n_words"), F.size("words"))
+    near = hits.join(known, F.col("item_id").eqNullSafe(F.col("of_item"))).select(
+        "doc_id", "item_id", "n_words", "item_shingles", "p", low.alias("low"),
+        _shingles(F.slice("words", low + 1, high - low), width).alias("region"),
+    )
+    near = near.withColumn("known", F.transform("region", lambda s: F.array_contains(F.col("item_shingles"), s).cast("int")))
+    n = F.col("n_words") - (width - 1)
+    # first shingle and number of shingles of the window at s, inside the region
+    begin = lambda s: F.greatest(s, F.lit(0)) - F.col("low")
+    count = lambda s: F.least(s - F.col("low") + n, F.size("region")) - begin(s)
+    enough = lambda s: F.aggregate(
+        F.slice("known", begin(s) + 1, F.greatest(count(s), F.lit(0))), F.lit(0), lambda acc, x: acc + x
+    ) >= F.greatest(_needed(n, count(s), threshold), F.lit(1))
+    starts = F.filter(F.sequence(F.col("p") - F.col("n_words") + 1, F.col("p") + F.col("n_words") - 1), lambda s: (count(s) > 0) & enough(s))
+    return near.withColumn("s", F.explode(starts)).select(
+        "doc_id", "item_id", F.greatest("s", F.lit(0)).alias("start"),
+        F.slice("region", begin(F.col("s")) + 1, count(F.col("s"))).alias("shingles"),
     )
 
 
@@ -169,8 +190,7 @@ def find_leaks(
     windows = None
     # at most five widths: full shingles and those of items shorter than one
     for width, stride in known.groupBy("width").agg(F.min("stride")).orderBy("width").collect():
-        part = _windows(docs, known.where(F.col("width") == width), width, stride)
-        part = part.withColumn("shingles", _shingles(F.col("window"), width)).drop("window")
+        part = _windows(docs, known.where(F.col("width") == width), width, stride, threshold)
         windows = part if windows is None else windows.unionAll(part)
     if windows is None:
         return docs.select(
@@ -208,8 +228,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", **optio
     """
     digest = F.md5(string_or_empty(F.col(text)))
     leaked = find_leaks(docs.select(digest.alias("digest"), F.col(text).alias("text")), items, doc_id="digest", **options)
-    leaked = leaked.select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, digest == F.col("__leaked"), "left_anti")
+    key = unused(docs, "__leaked")
+    return docs.join(leaked.select(F.col("doc_id").alias(key)).distinct(), digest == F.col(key), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
