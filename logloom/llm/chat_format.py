@@ -69,7 +69,7 @@ def fold_events(
             "conv_id",
             F.col("events")[0]["seq"].alias("place"),
             F.coalesce(
-                F.element_at(F.filter(F.transform("events", lambda e: e["role"]), lambda r: r != ""), 1), F.lit("")
+                F.get(F.filter(F.transform("events", lambda e: e["role"]), lambda r: r != ""), F.lit(0)), F.lit("")
             ).alias("role"),
             F.array_join(
                 F.transform(F.slice("events", F.col("from") + 1, F.size("events")), lambda e: e["text"]), ""

@@ -62,7 +62,7 @@ def drop_boilerplate(
 ) -> DataFrame:
     """`pages` with two columns more: __lines (all) and __kept (those that stay), in order.
 
-    `lines` is an array of lines, null for none.
+    `lines` is an array of lines, null for none.  The two names must be free.
     """
     keys = F.transform(lines, lambda x: _key(x))
     per_page = pages.select(host.alias("host"), keys.alias("keys"))
@@ -82,8 +82,19 @@ def dedup_lines(
     docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
 ) -> DataFrame:
     """`docs` with boilerplate lines taken out of `text`; columns and their order unchanged."""
-    marked = drop_boilerplate(docs, F.col(host), F.split(F.col(text), "\n", -1), ratio, min_pages)
-    return marked.withColumn(text, F.array_join("__kept", "\n")).select(*docs.columns)
+    # the other columns travel as one, so that no name of theirs can clash
+    rest = [c for c in docs.columns if c not in (host, text)]
+    packed = docs.select(F.col(host).alias("host"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
+    marked = drop_boilerplate(packed, F.col("host"), F.split(F.col("text"), "\n", -1), ratio, min_pages)
+    value = {host: F.col("host"), text: F.array_join("__kept", "\n")}
+    return marked.select(*(value.get(c, F.col("rest")[c]).alias(c) for c in docs.columns))
+
+
+def dedup_documents(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """`dedup_lines` on the documents table, by source, with n_chars brought up to date."""
+    return dedup_lines(docs, ratio=ratio, min_pages=min_pages).withColumn(
+        "n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    )
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
