@@ -44,7 +44,7 @@ SMALLEST = 1e-4  # rates below it share one bucket
 SPREAD = 6.0
 MIN_GROUP = 200
 # Least distance of a threshold from the median; the sign is the side on which outliers are dropped.
-FLOORS = {"symbol_rate": 0.05, "upper_rate": 0.3, "dup_line_rate": 0.3, "repeat_rate": 0.15, "long_words": 4.0, "short_words": -2.5}
+FLOORS = {"symbol_rate": 0.05, "upper_rate": 0.3, "dup_line_rate": 0.35, "repeat_rate": 0.28, "long_words": 4.0, "short_words": -2.5}
 
 _UPPER = bytes(range(65, 91))
 _BLANK_LINE = re.compile(r"[\x20\x09-\x0D]*\Z")
