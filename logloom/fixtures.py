@@ -135,9 +135,9 @@ def legacy_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_lines(spark, sf_dir).select("ts", "type", "request_id", "origin", "entry")
 
 
-# An exchange: an assistant turn with up to four messages before it.  The
-# neighbours come from equi-joins on (conv_id, turn), so a long conversation is
-# spread like any other rows.  Some turns are re-labelled as tool results.
+# An exchange: an assistant turn with all messages before it.  Every turn meets
+# the earlier ones of its conversation in an equi-join; what an exchange sends is
+# one array.  Some turns are re-labelled as tool results.
 EXCHANGE_ROLES = """
 SELECT conv_id, turn, text,
   CASE WHEN role = 'user' AND turn > 0 AND (conv_id + turn) % 3 = 0 THEN 'tool'
@@ -145,7 +145,6 @@ SELECT conv_id, turn, text,
   role AS said_by
 FROM conversations 
 """
-HISTORY = 4
 
 
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,24 +158,19 @@ def make_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers (map) and body (JSON text of the upstream answer).
     """
     said = run_view(spark, sf_dir, EXCHANGE_ROLES, "conversations")
-    out = said.where(F.col("said_by") == "assistant").select(
-        "conv_id", "turn", F.col("text").alias("answer")
+    asked = said.where(F.col("said_by") == "assistant").select("conv_id", "turn", F.col("text").alias("answer"))
+    call = F.when(F.col("role") == "tool", F.concat(F.lit("call"), F.col("turn").cast("string")))
+    earlier = said.select(
+        F.col("conv_id").alias("in_conv"), F.col("turn").alias("at"),
+        F.struct(F.col("role"), F.col("text").alias("content"), call.alias("tool_call_id")).alias("message"),
     )
-    for back in range(1, HISTORY + 1):
-        prev = said.select(
-            F.col("conv_id").alias(f"c{back}"), F.col("turn").alias(f"t{back}"),
-            F.col("role").alias(f"r{back}"), F.col("text").alias(f"x{back}"),
-        )
-        on = (F.col("conv_id") == F.col(f"c{back}")) & (F.col("turn") == F.col(f"t{back}") + back)
-        out = out.join(prev, on, "left")
-
-    def message(back: int) -> Column:
-        call = F.when(F.col(f"r{back}") == "tool", F.concat(F.lit("call"), F.col(f"t{back}").cast("string")))
-        return F.struct(
-            F.col(f"r{back}").alias("role"), F.col(f"x{back}").alias("content"), call.alias("tool_call_id")
-        )
-
-    slots = F.array(*[message(b) for b in range(HISTORY, 0, -1)])
+    sent = (
+        asked.join(earlier, (F.col("conv_id") == F.col("in_conv")) & (F.col("at") < F.col("turn")), "left")
+        .groupBy("conv_id", "turn", "answer")
+        .agg(F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "message")))).alias("sent"))
+    )
+    out = sent.select("conv_id", "turn", "answer", F.transform("sent", lambda m: m["message"]).alias("messages"))
+    out = out.withColumn("x1", F.try_element_at("messages", F.lit(-1))["content"])
     n = F.col("conv_id") + F.col("turn")
     reasoning = F.when(n % 4 == 0, F.col("x1"))
     alternative = F.when(n % 4 == 1, F.col("x1")).when(n % 4 == 2, F.lit(""))
@@ -208,7 +202,7 @@ def make_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         F.concat(F.lit("x"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("request_id"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn")).alias("ts"),
-        F.filter(slots, lambda m: m["role"].isNotNull()).alias("messages"),
+        "messages",
         F.when(failed, F.lit("Provider returned 503: busy")).alias("error"),
         F.when(
             failed & (F.col("conv_id") % 2 == 0),

@@ -1,9 +1,11 @@
 """Removal of credentials from text and from JSON documents.
 
 `scrub_text` is three chained native regular expressions and stays inside
-generated code.  `scrub_json` needs a walk over documents of unknown shape, so
-it is an Arrow UDF; a native test decides which rows have anything to look at,
-and only those rows' text is handed to Python.
+generated code.  `scrub_json` edits documents of unknown shape, so it is an
+Arrow UDF; a native test decides which rows have anything to look at, and only
+those rows' text is handed to Python.  There a document is not rebuilt: its
+tokens are scanned once, and only the string literals that hold a credential
+are replaced, so everything else stays byte for byte, however deep it lies.
 """
 
 from __future__ import annotations
@@ -45,6 +47,16 @@ EMBEDDED_JSON_KEYS = ("arguments", "content")
 HINTS = ("secret", "key", "passw", "token", "bearer", "aws", "authorization")
 
 
+# Blanks as Python's patterns see them; the JVM's Unicode class lacks the four separators.
+_JVM_BLANK = r"\s\x1c-\x1f"
+
+
+def _jvm(pattern: str) -> str:
+    """The pattern with Unicode classes, so that both engines redact the same text."""
+    unicode = pattern.replace("(?i)", "(?iU)")
+    return re.sub(r"\\s(?=[*+])", lambda _: f"[{_JVM_BLANK}]", unicode).replace(r"'\s\\,", rf"'{_JVM_BLANK}\\,")
+
+
 def _hinted(c: Column) -> Column:
     lower, hit = F.lower(c), F.lit(False)
     for word in HINTS:
@@ -60,64 +72,85 @@ def scrub_text(c: Column) -> Column:
     """
     clean = c
     for pattern, replacement in TEXT_RULES:
-        clean = F.regexp_replace(clean, pattern, replacement.replace("{1}", "$1"))
+        clean = F.regexp_replace(clean, _jvm(pattern), replacement.replace("{1}", "$1"))
     return F.when(_hinted(c), clean).otherwise(c)
 
 
-def _scrub_string(text: str) -> str:
-    for pattern, replacement in TEXT_RULES:
-        text = re.sub(pattern, replacement.replace("{1}", r"\1"), text)
-    return text
+_RULES = [(re.compile(pattern), replacement.replace("{1}", r"\1")) for pattern, replacement in TEXT_RULES]
+_SENSITIVE = re.compile(SENSITIVE_KEYS, re.IGNORECASE)
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]', re.DOTALL)
+_CLOSES = {"}": "{", "]": "["}
 
 
-def _walk(node, key: str | None):
-    if isinstance(node, str):
-        if key is not None and re.fullmatch(SENSITIVE_KEYS, key, re.IGNORECASE):
-            return REDACTED
-        if key in EMBEDDED_JSON_KEYS and node.lstrip()[:1] in ("{", "["):
-            inner = _parse(node)
-            if inner is not None:
-                return json.dumps(_walk(inner, None))
-        return _scrub_string(node)
-    if isinstance(node, dict):
-        return {k: _walk(v, k) for k, v in node.items()}
-    if isinstance(node, list):
-        return [_walk(v, key) for v in node]
-    return node
+def scrub_plain(text: str) -> str:
+    for pattern, replacement in _RULES:
+        text = pattern.sub(replacement, text)
+    return text
 
 
-def _parse(text: str):
+def _is_json(text: str) -> bool:
     try:
-        return json.loads(text)
+        json.loads(text)
     except ValueError:
-        return None
+        return False
+    except RecursionError:  # too deep for the parser; the scan below needs no recursion
+        return True
+    return True
+
+
+def _clean_literal(literal: str, key: str | None) -> str:
+    """A JSON string literal under `key`, or its replacement."""
+    if key is not None and _SENSITIVE.fullmatch(key):
+        return json.dumps(REDACTED)
+    value = json.loads(literal)
+    embedded = key in EMBEDDED_JSON_KEYS and value.lstrip()[:1] in ("{", "[") and _is_json(value)
+    clean = _edited(value) if embedded else scrub_plain(value)
+    return literal if clean == value else json.dumps(clean, ensure_ascii=literal.isascii())
+
+
+def _edited(document: str) -> str:
+    """The JSON text with the literals of credentials replaced.
+
+    One pass over its tokens.  A frame holds the bracket, the key in force
+    (a list passes its own on to its items) and whether a name comes next.
+    """
+    out, copied, frames = [], 0, []
+    for token in _TOKEN.finditer(document):
+        mark = token[0]
+        top = frames[-1] if frames else None
+        if mark in "{[":
+            frames.append([mark, top[1] if top and mark == "[" else None, mark == "{"])
+        elif mark in "}]":
+            if not top or top[0] != _CLOSES[mark]:
+                return scrub_plain(document)
+            frames.pop()
+        elif mark == ",":
+            if top and top[0] == "{":
+                top[2] = True
+        elif mark == ":":
+            if top:
+                top[2] = False
+        elif top and top[2]:
+            top[1] = json.loads(mark) if "\\" in mark else mark[1:-1]
+        else:
+            clean = _clean_literal(mark, top[1] if top else None)
+            if clean != mark:
+                out += [document[copied : token.start()], clean]
+                copied = token.end()
+    if frames:
+        return scrub_plain(document)
+    return "".join(out) + document[copied:] if out else document
 
 
 def scrub_document(text: str | None) -> str | None:
-    """One JSON document without its credentials.
+    """One JSON document without its credentials; other text by the text rules.
 
-    A document with nothing to redact comes back byte for byte, so that "did
-    the text change" is the same question as "was something redacted".
+    A document with nothing to redact comes back as it is, so that "did the
+    text change" is the same question as "was something redacted".
     """
     if text is None:
         return None
-    doc = _parse(text)
-    if doc is None:
-        return _scrub_string(text)
-    clean = json.dumps(_walk(doc, None))
-    return text if clean == json.dumps(_walk_plain(doc, None)) else clean
-
-
-def _walk_plain(node, key: str | None):
-    """The same re-serialisation of embedded documents, without any redaction."""
-    if isinstance(node, str) and key in EMBEDDED_JSON_KEYS and node.lstrip()[:1] in ("{", "["):
-        inner = _parse(node)
-        return node if inner is None else json.dumps(_walk_plain(inner, None))
-    if isinstance(node, dict):
-        return {k: _walk_plain(v, k) for k, v in node.items()}
-    if isinstance(node, list):
-        return [_walk_plain(v, key) for v in node]
-    return node
+    return _edited(text) if _is_json(text) else scrub_plain(text)
 
 
 @F.pandas_udf(T.StringType())

@@ -175,11 +175,12 @@ def rehydrate_prompts(
 
     Only the references are joined, as one small row each, and only requests
     that hold one are regrouped; the messages themselves are not exploded.
-    The regrouping is per request, whose array it came from.
+    The regrouping is per request, whose array it came from.  A request id may
+    occur more than once: the rows that share it share one map of their prompts.
     """
     wanted = referenced.select(
         *key, F.explode(F.array_distinct(F.transform(F.filter(messages, lambda m: m["system_sha256"].isNotNull()), lambda m: m["system_sha256"]))).alias("system_sha256")
-    )
+    ).distinct()
     bodies = (
         wanted.join(dictionary.select("system_sha256", F.col("content").alias("body")), "system_sha256")
         .groupBy(*key)

@@ -47,9 +47,9 @@ def scrub_report(df: DataFrame, column: str, by: Sequence[str], how: Scrubber =
     )
 
 
-def scrub_entries(entries: DataFrame) -> DataFrame:
-    """Legacy columns with scrubbed entries; derived columns are rebuilt, not patched."""
-    return entries.select("ts", "type", "request_id", "origin", scrub_json(F.col("entry")).alias("entry"))
+def scrub_entries(entries: DataFrame, *more: str) -> DataFrame:
+    """Legacy columns (and `more`) with scrubbed entries; derived columns are rebuilt, not patched."""
+    return entries.select("ts", "type", "request_id", "origin", scrub_json(F.col("entry")).alias("entry"), *more)
 
 
 def repair_arguments(df: DataFrame, column: str = "arguments") -> DataFrame:

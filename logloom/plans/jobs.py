@@ -1,8 +1,9 @@
-"""The daily and monthly jobs as one lazily built chain over all pending periods."""
+"""The daily and monthly jobs as one chain over all pending periods."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.scrub import scrub_json
@@ -11,76 +12,106 @@ from logloom.operators.quality import residual_secrets, scrub_entries, scrub_rep
 from logloom.operators.sessions import session_rollup
 from logloom.operators.turns import pair_turns
 from logloom.schemas import WIDE_COLUMNS
+from logloom.session import shared_dir, use_utc
 from logloom.sources.raw import split_malformed
-from logloom.session import shared_dir
-from logloom.sources.tiers import rewrite_in_place, tier_path, write_tier
+from logloom.sources.tiers import DAY, GRAINS, grain_path, rewrite_in_place, write_tier
 
 
-GRAIN = {"day": "daily", "month": "monthly"}
+def _stage(df: DataFrame, label: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def consolidate(spark: SparkSession, raw: DataFrame, root: str) -> DataFrame:
-    """Writes the three tiers for all days in `raw`; returns the quarantined lines.
+    """Writes the three tiers for all chunk days in `raw`; returns the quarantined lines.
 
-    All pending days go through one job, partitioned by day.  Each tier is
-    written once and the next one reads it back, so an executor lost late does
-    not cost the earlier steps.
+    The consolidated tier is filed by the day of the raw chunk, as the chunks
+    are.  A chunk holds records of the evening before, so filing by record time
+    would replace a day by the few records of it that a later chunk brings.
+    `raw` must hold its chunk days whole; those days are replaced, and no other.
+    Chunks without a day in their name form one undated day.
+
+    Each line is parsed once, into a staged table that the ordered write reads.
+    The record days found in the written chunk days are the periods whose turns
+    and sessions are rebuilt, from all chunk days that hold records of them.
     """
+    use_utc(spark)
     good, bad = split_malformed(raw)
-    wide = flatten_entries(good.select("entry")).select(*WIDE_COLUMNS)
-    write_tier(wide, tier_path(root, "consolidated"))
-    rebuild(spark, root, "day", wide.select(F.to_date("ts").alias("log_date")).distinct())
+    wide = flatten_entries(good.select("entry", F.col("log_day").alias(DAY))).select(*WIDE_COLUMNS, DAY)
+    parsed = _stage(wide, "parsed")
+    write_tier(parsed, grain_path(root, "consolidated", "day"), day=F.col(DAY))
+    rebuild(spark, root, "day", _stage(parsed.select(F.to_date("ts").alias("period")).distinct(), "periods"))
     return bad
 
 
+def _period(ts: str, scope: str) -> Column:
+    return F.to_date(ts) if scope == "day" else F.trunc(F.to_date(ts), "month")
+
+
 def rebuild(spark: SparkSession, root: str, scope: str = "day", periods: DataFrame | None = None) -> None:
-    """Turn and session tiers of one grain, for the given days or for everything stored.
+    """Turn and session tiers of one grain, for the given periods or for everything stored.
 
-    Days and months are kept apart (`daily/`, `monthly/`): with month scope the
-    index runs across midnight and sessions are rebuilt from the turns, because
-    rows of day-scoped sessions cannot be added up.
+    `periods` holds the record days concerned (column `period`; NULL stands for
+    undated records); with month scope their months are rebuilt.  Days and
+    months are kept apart: with month scope the index runs across midnight and
+    sessions are rebuilt from the turns, because rows of day-scoped sessions
+    cannot be added up.
     """
-    grain = GRAIN[scope]
+    use_utc(spark)
+    wanted = None if periods is None else periods.select(_period("period", scope).alias("__period")).distinct()
+
+    def concerned(path: str, ts: str) -> DataFrame:
+        stored = spark.read.parquet(path)
+        if wanted is None:
+            return stored
+        return stored.join(wanted, _period(ts, scope).eqNullSafe(F.col("__period")), "left_semi")
+
+    entries = upgrade_schema(concerned(grain_path(root, "consolidated", "day"), "ts")).select(*WIDE_COLUMNS)
+    turn_path = grain_path(root, "sessions", scope)
+    write_tier(pair_turns(entries, scope), turn_path, ts="request_ts", order=("session_key", "turn_idx"))
+    rollup = session_rollup(concerned(turn_path, "request_ts"), scope)
+    write_tier(rollup, grain_path(root, "session-rollup", scope), ts="started_at", order=("started_at",))
 
-    def pending(path: str) -> DataFrame:
-        table = spark.read.parquet(path)
-        return table if periods is None else table.join(periods.select("log_date"), "log_date", "left_semi")
 
-    turns = pair_turns(upgrade_schema(pending(tier_path(root, "consolidated"))).select(*WIDE_COLUMNS), scope)
-    turn_path = f"{tier_path(root, 'sessions')}/{grain}"
-    write_tier(turns, turn_path, ts="request_ts", order=("session_key", "turn_idx"))
-    rollup = session_rollup(pending(turn_path), scope)
-    write_tier(rollup, f"{tier_path(root, 'session-rollup')}/{grain}", ts="started_at", order=("started_at",))
+def _stored(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:  # nothing there, or nothing in it
+        return False
+    return True
 
 
 def scrub_history(spark: SparkSession, root: str, today: str, dry_run: bool = False) -> DataFrame:
     """Redacts credentials in the stored consolidated days and in everything derived from them.
 
-    Returns the report (log_date, rows_scanned, rows_changed, needs_rewrite).
-    Only days with changes are rewritten; today is left alone, it is still being
-    written.  Flat columns and the daily tiers are rebuilt from the clean entries
-    rather than patched, so no copy of a secret survives in them; month-scoped
-    tiers are rebuilt by `rebuild(..., "month")`.
+    Returns the report (log_date, rows_scanned, rows_changed, needs_rewrite),
+    undated chunks included.  Only chunk days with changes are rewritten; today
+    is left alone, it is still being written.  Flat columns, the daily tiers
+    and, where they exist, the monthly ones are rebuilt from the clean entries
+    rather than patched, so no copy of a secret survives in them.
     """
-    path = tier_path(root, "consolidated")
-    counts = shared_dir(spark, "scrub-report")
-    past = spark.read.parquet(path).where(F.col("log_date") != F.to_date(F.lit(today)))
-    scrub_report(past.select("log_date", "entry"), "entry", ["log_date"]).write.parquet(counts)
-    report = spark.read.parquet(counts)
-    dirty = report.where("needs_rewrite").select("log_date")
+    use_utc(spark)
+    path = grain_path(root, "consolidated", "day")
+    past = spark.read.parquet(path).where(~F.col(DAY).eqNullSafe(F.to_date(F.lit(today))))
+    report = _stage(scrub_report(past.select(DAY, "entry"), "entry", [DAY]), "scrub-report")
+    dirty = report.where("needs_rewrite").select(DAY)
     if dry_run or dirty.isEmpty():
         return report
 
     def clean(days: DataFrame) -> DataFrame:
-        scrubbed = flatten_entries(scrub_entries(days))
-        return scrubbed.select(*WIDE_COLUMNS, F.to_date("ts").alias("log_date"))
+        return flatten_entries(scrub_entries(days, DAY)).select(*WIDE_COLUMNS, DAY)
 
+    held = past.select("ts", F.col(DAY).alias("__day")).join(dirty, F.col("__day").eqNullSafe(F.col(DAY)), "left_semi")
+    periods = _stage(held.select(F.to_date("ts").alias("period")).distinct(), "periods")
     rewrite_in_place(spark, path, clean, only=dirty)
-    rebuild(spark, root, "day", dirty)
+    for scope in GRAINS:
+        if _stored(spark, grain_path(root, "sessions", scope)):
+            rebuild(spark, root, scope, periods)
     return report
 
 
 def verify_scrubbed(spark: SparkSession, root: str) -> DataFrame:
-    """Days of the consolidated tier that another scrub would still change; empty when clean."""
-    entries = spark.read.parquet(tier_path(root, "consolidated")).select("log_date", "entry")
-    return residual_secrets(entries, "entry", ["log_date"], scrub_json)
+    """Chunk days of the consolidated tier that another scrub would still change; empty when clean."""
+    entries = spark.read.parquet(grain_path(root, "consolidated", "day")).select(DAY, "entry")
+    return residual_secrets(entries, "entry", [DAY], scrub_json)

@@ -1,7 +1,7 @@
 """What the tiers still need, judged from object listings.
 
 Every function returns keys; none copies or deletes anything.  A listing is a
-frame with `path`; days are set-compared as joins, so a listing of any size is
+frame with `path`, relative to the lake's root (`relative_to` makes it so); days are set-compared as joins, so a listing of any size is
 handled like other data.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_RAW = r"^(\d{4}-\d{2}-\d{2})/"
+_RAW = r"^(?:log_day=)?(\d{4}-\d{2}-\d{2})/"
 
 
 def raw_objects(listing: DataFrame) -> DataFrame:
@@ -25,10 +25,23 @@ def raw_days(listing: DataFrame) -> DataFrame:
     return raw_objects(listing).select("day").distinct()
 
 
+def relative_to(listing: DataFrame, root: str) -> DataFrame:
+    """`path` below the root, whatever scheme and authority the listing names."""
+    bare = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/*", "/")
+    prefix = F.concat(F.rtrim(bare(F.lit(root)), F.lit("/")), F.lit("/"))
+    path = bare(F.col("path"))
+    return listing.where(F.startswith(path, prefix)).withColumn("path", F.substring(path, F.length(prefix) + 1, F.length(path)))
+
+
 def tier_periods(listing: DataFrame, tier: str, grain: str = "daily") -> DataFrame:
-    """Periods a tier has a file for, from `<tier>/<grain>/<period>.parquet`."""
-    name = F.regexp_extract("path", rf"^{tier}/{grain}/(?:.*/)?([^/]+)\.parquet$", 1)
-    return listing.select(F.nullif(name, F.lit("")).alias("day")).where(F.col("day").isNotNull()).distinct()
+    """Periods a tier has a file for: `<tier>/<grain>/log_date=<day>/<file>`, as `write_tier`
+    lays them out, or one file `<tier>/<grain>/<period>.parquet`.
+    """
+    name = F.regexp_extract("path", rf"^{tier}/{grain}/log_date=(\d{{4}}-\d{{2}}-\d{{2}})/[^/]+\.parquet$", 1)
+    single = F.regexp_extract("path", rf"^{tier}/{grain}/(?:[^=]*/)?([^/=]+)\.parquet$", 1)
+    day = F.left(name, F.lit(7)) if grain == "monthly" else name
+    period = F.coalesce(F.nullif(day, F.lit("")), F.nullif(single, F.lit("")))
+    return listing.select(period.alias("day")).where(F.col("day").isNotNull()).distinct()
 
 
 def _minus(a: DataFrame, b: DataFrame) -> DataFrame:

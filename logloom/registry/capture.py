@@ -26,26 +26,20 @@ SAID = f"said AS ({fx.EXCHANGE_ROLES})"
 EXCHANGES = """ex AS (
   SELECT concat('x', a.conv_id, '-', a.turn) AS request_id, make_timestamp((1704067200 + a.conv_id * 3600 + a.turn) * 1000000) AS ts,
     a.conv_id, a.turn, a.conv_id + a.turn AS n, a.text AS answer,
-    p1.role AS r1, p1.text AS x1, p2.role AS r2, p2.text AS x2, p3.role AS r3, p3.text AS x3, p4.role AS r4, p4.text AS x4
-  FROM said a
-  LEFT JOIN said p1 ON p1.conv_id = a.conv_id AND p1.turn = a.turn - 1
-  LEFT JOIN said p2 ON p2.conv_id = a.conv_id AND p2.turn = a.turn - 2
-  LEFT JOIN said p3 ON p3.conv_id = a.conv_id AND p3.turn = a.turn - 3
-  LEFT JOIN said p4 ON p4.conv_id = a.conv_id AND p4.turn = a.turn - 4
-  WHERE a.said_by = 'assistant')"""
-
-
-def _user(order: str) -> str:
-    return "CASE " + " ".join(f"WHEN r{i} = 'user' THEN x{i}" for i in order) + " ELSE '' END"
+    coalesce(list({'turn': p.turn, 'role': p.role, 'text': p.text} ORDER BY p.turn) FILTER (WHERE p.turn IS NOT NULL), []) AS sent,
+    max(p.turn) FILTER (WHERE p.role = 'assistant') AS last_answer, arg_max(p.text, p.turn) AS x1
+  FROM said a LEFT JOIN said p ON p.conv_id = a.conv_id AND p.turn < a.turn
+  WHERE a.said_by = 'assistant' GROUP BY a.conv_id, a.turn, a.text)"""
+_USERS = "list_filter(sent, lambda m: m.role = 'user')"
 
 
 @query(
     "capture_request",
     with_ctes(
         SAID, EXCHANGES,
-        body=f"""SELECT request_id, (r1 IS NOT NULL)::int + (r2 IS NOT NULL)::int + (r3 IS NOT NULL)::int + (r4 IS NOT NULL)::int AS message_count,
-          {scrub_sql(f"left({_user('4321')}, {QUESTION_LIMIT})")} AS user_question,
-          {scrub_sql(f"left({_user('1234')}, {QUESTION_LIMIT})")} AS user_message_this_turn FROM ex""",
+        body=f"""SELECT request_id, cast(len(sent) AS integer) AS message_count,
+          {scrub_sql(f"left(coalesce({_USERS}[1].text, ''), {QUESTION_LIMIT})")} AS user_question,
+          {scrub_sql(f"left(coalesce({_USERS}[-1].text, ''), {QUESTION_LIMIT})")} AS user_message_this_turn FROM ex""",
     ),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,23 +47,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("request_id", "message_count", "user_question", "user_message_this_turn")
 
 
-_IN = {
-    1: "r1 = 'tool'",
-    2: "r2 = 'tool' AND r1 <> 'assistant'",
-    3: "r3 = 'tool' AND r2 <> 'assistant' AND r1 <> 'assistant'",
-    4: "r4 = 'tool' AND r3 <> 'assistant' AND r2 <> 'assistant' AND r1 <> 'assistant'",
-}
-_COUNT = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in _IN.values())
-_IDS = ", ".join(f"CASE WHEN {_IN[i]} THEN concat('call', turn - {i}) END" for i in (4, 3, 2, 1))
-_TEXTS = ", ".join(f"CASE WHEN {_IN[i]} THEN {scrub_sql(f'x{i}')} END" for i in (4, 3, 2, 1))
+_TOOLS = "tools AS (SELECT request_id, list_filter(sent, lambda m: m.role = 'tool' AND m.turn > coalesce(last_answer, -1)) AS t FROM ex)"
 
 
 @query(
     "tool_results",
     with_ctes(
-        SAID, EXCHANGES,
-        body=f"""SELECT request_id, nullif({_COUNT}, 0) AS results, CASE WHEN {_COUNT} > 0 THEN concat_ws('|', {_IDS}) END AS ids,
-          CASE WHEN {_COUNT} > 0 THEN concat_ws('|', {_TEXTS}) END AS contents FROM ex""",
+        SAID, EXCHANGES, _TOOLS,
+        body=f"""SELECT request_id, cast(nullif(len(t), 0) AS integer) AS results,
+          CASE WHEN len(t) > 0 THEN array_to_string(list_transform(t, lambda m: concat('call', m.turn)), '|') END AS ids,
+          CASE WHEN len(t) > 0 THEN array_to_string(list_transform(t, lambda m: {scrub_sql('m.text')}), '|') END AS contents FROM tools""",
     ),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +87,7 @@ _THOUGHT = scrub_sql(f"coalesce({_REASONING}, '')")
           CASE WHEN {_ANSWERED} THEN left({_THOUGHT}, 150) END AS reasoning_content,
           CASE WHEN {_ANSWERED} THEN left({_CONTENT}, 200) END AS content_preview,
           CASE WHEN {_ANSWERED} THEN left({_THOUGHT}, 200) END AS reasoning_content_preview,
-          CASE WHEN {_ANSWERED} AND n % 2 = 0 THEN concat('[{{"name": "query", "arguments": "{{\\"n\\": ', n, ', \\"s3_secret\\": \\"[REDACTED]\\"}}"}}]') END AS tool_calls,
+          CASE WHEN {_ANSWERED} AND n % 2 = 0 THEN concat('[{{"name":"query","arguments":"{{\\"n\\": ', n, ', \\"s3_secret\\": \\"[REDACTED]\\"}}"}}]') END AS tool_calls,
           CASE WHEN n % 13 <> 0 THEN concat('{{"completion_tokens":', length(answer), '}}') END AS tokens,
           CASE WHEN n % 13 = 0 AND conv_id % 2 = 0 THEN cast(turn AS varchar) END AS retry_after,
           CASE WHEN n % 13 = 0 AND conv_id % 2 = 0 THEN 2 END AS headers_kept
@@ -148,13 +135,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short.select("doc_id", "text", F.col("meta.text").alias("inner_text"), F.col("parts")[0].alias("listed"))
 
 
-_SYSTEM = " UNION ALL ".join(f"SELECT ts, request_id, x{i} AS body FROM ex WHERE r{i} = 'system'" for i in (1, 2, 3, 4))
+SYSTEM = "SELECT ts, request_id, m.text AS body FROM (SELECT ts, request_id, unnest(sent) AS m FROM ex) WHERE m.role = 'system'"
 
 
 @query(
     "prompt_dictionary",
     with_ctes(
-        SAID, EXCHANGES, f"s AS ({_SYSTEM})",
+        SAID, EXCHANGES, f"s AS ({SYSTEM})",
         body=f"""SELECT sha256(body) AS system_sha256, ts AS first_ts, request_id AS first_request_id, {scrub_sql("body")} AS content
           FROM s QUALIFY row_number() OVER (PARTITION BY body ORDER BY ts, request_id) = 1""",
     ),
@@ -166,7 +153,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "reference_prompts",
     with_ctes(
-        SAID, EXCHANGES, f"s AS ({_SYSTEM})",
+        SAID, EXCHANGES, f"s AS ({SYSTEM})",
         body="SELECT request_id, sha256(body) AS system_sha256, cast(length(body) AS integer) AS content_len FROM s",
     ),
 )
@@ -179,7 +166,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     "rehydrate",
     with_ctes(
         SAID, EXCHANGES,
-        body=f"""SELECT request_id, concat_ws('|', {', '.join(scrub_sql(f'x{i}') for i in (4, 3, 2, 1))}) AS prompt FROM ex""",
+        body=f"""SELECT request_id, array_to_string(list_transform(sent, lambda m: {scrub_sql('m.text')}), '|') AS prompt FROM ex""",
     ),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,18 +102,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Support is counted in parents per brand, so that some brands fall short.
+MIN_PARENTS = 76
+
+
 @query(
     "mean_min_support",
     with_ctes(
         ZONES,
-        "brand AS (SELECT zone, avg(size) AS mean_value, count(*) AS cells FROM (SELECT DISTINCT zone, parent, size FROM zones WHERE size > 45) t GROUP BY zone HAVING count(*) >= 3)",
+        f"brand AS (SELECT zone, avg(size) AS mean_value, count(*) AS cells FROM (SELECT DISTINCT zone, parent, size FROM zones) t GROUP BY zone HAVING count(*) >= {MIN_PARENTS})",
         body="SELECT zone, round(mean_value, 6) AS mean_value, cells FROM brand ORDER BY mean_value DESC, zone LIMIT 5",
     ),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    big = _zones(spark, sf_dir).where(F.col("size") > 45).select("zone", "parent", "size").distinct()
-    means = big.groupBy("zone").agg(F.avg("size").alias("mean_value"), F.count("*").alias("cells"))
-    top = cells.top_k(cells.with_min_support(_to(6, means, "mean_value"), 3), "mean_value", 5, "zone")
+    sizes = _zones(spark, sf_dir).select("zone", "parent", "size").distinct()
+    means = sizes.groupBy("zone").agg(F.avg("size").alias("mean_value"), F.count("*").alias("cells"))
+    top = cells.top_k(cells.with_min_support(_to(6, means, "mean_value"), MIN_PARENTS), "mean_value", 5, "zone")
     return top
 
 
@@ -121,14 +124,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     "attribute_join",
     with_ctes(
         CELLS, MASK,
-        "present AS (SELECT DISTINCT fid FROM cells SEMI JOIN mask USING (h0, cell) WHERE frac > 0.05)",
+        "present AS (SELECT DISTINCT fid FROM cells SEMI JOIN mask USING (h0, cell))",
         body="SELECT round(sum(s_acctbal), 2) AS total, count(*) AS features FROM present JOIN supplier ON s_suppkey = fid",
     ),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = _cells(spark, sf_dir).where(F.col("frac") > 0.05)
     suppliers = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("fid"), "s_acctbal")
-    return _to(2, cells.attribute_sum(some, suppliers, "fid", "s_acctbal", _mask(spark, sf_dir), ["h0", "cell"]), "total")
+    return _to(2, cells.attribute_sum(_cells(spark, sf_dir), suppliers, "fid", "s_acctbal", _mask(spark, sf_dir), ["h0", "cell"]), "total")
 
 
 def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,14 +197,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.pivot_calls(_grid(spark, sf_dir), MODELS)
 
 
-PLANNED_TRIALS = 12
+PLANNED_TRIALS = 30
 
 
 @query(
     "matrix_cells",
     with_ctes(
         TRIALS,
-        "res AS (SELECT app, question, model, trial_id % 30 AS trial, max(elapsed_s) AS elapsed_s, max(error) AS error FROM trials GROUP BY 1, 2, 3, 4)",
+        "res AS (SELECT app, question, model, trial_id % 30 + 1 AS trial, max(elapsed_s) AS elapsed_s, max(error) AS error FROM trials GROUP BY 1, 2, 3, 4)",
         f"""plan AS (SELECT app, question, unnest([{', '.join(f"'{m}'" for m in MODELS)}]) AS model FROM (SELECT DISTINCT app, question FROM trials) q)""",
         f"cells AS (SELECT *, unnest(range(1, {PLANNED_TRIALS + 1})) AS trial FROM plan)",
         body="""SELECT app, question, model, trial, elapsed_s, CASE WHEN res.elapsed_s IS NULL THEN 'no_transcript' ELSE res.error END AS error
@@ -213,7 +213,7 @@ PLANNED_TRIALS = 12
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     trials = _trials(spark, sf_dir)
-    results = trials.groupBy("app", "question", "model", (F.col("trial_id") % 30).alias("trial")).agg(
+    results = trials.groupBy("app", "question", "model", (F.col("trial_id") % 30 + 1).alias("trial")).agg(
         F.max("elapsed_s").alias("elapsed_s"), F.max("error").alias("error")
     )
     return scoring.matrix_cells(trials.select("app", "question").distinct(), MODELS, PLANNED_TRIALS, results)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom import fixtures as fx
 from logloom.registry.base import FLAT, LOG, ntz, query, with_ctes, written_once
-from logloom.registry.capture import EXCHANGES, SAID
+from logloom.registry.capture import EXCHANGES, SAID, SYSTEM, scrub_sql
 from logloom.schemas import WIDE_COLUMNS
 from logloom.session import shared_dir
 from logloom.streaming import streams
@@ -98,8 +98,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     "stream_prompts",
     with_ctes(
         SAID, EXCHANGES,
-        "s AS (SELECT x1 AS b FROM ex WHERE r1 = 'system' UNION SELECT x2 FROM ex WHERE r2 = 'system' UNION SELECT x3 FROM ex WHERE r3 = 'system' UNION SELECT x4 FROM ex WHERE r4 = 'system')",
-        body="SELECT DISTINCT sha256(b) AS system_sha256, b AS content FROM s",
+        f"s AS ({SYSTEM})",
+        body=f"SELECT DISTINCT sha256(body) AS system_sha256, {scrub_sql('body')} AS content FROM s",
     ),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,7 +28,29 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
         builder = builder.master(master)
     for key, value in {**RECOMMENDED, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the workers once per application, so that Python functions
+    load there wherever the driver was started.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="logloom-package-"), "logloom.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, files in os.walk(package):
+                for name in files:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.relpath(full, os.path.dirname(package)))
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+    return spark
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -44,7 +68,8 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="logloom-")
     return f"{root.rstrip('/')}/logloom/{label}-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from logloom.functions.compat import strip
 from logloom.schemas import GOLDEN_MANIFEST, TRANSCRIPT, TRIAL_SUMMARY
 
 _SUMMARY_FILE = r"([^/]+)\.summary\.tsv$"
-_TRANSCRIPT_FILE = r"(q\d+)__(.+)__t(\d+)\.json$"
+_TRANSCRIPT_FILE = r"(q\d+)__([^/]+)__t(\d+)\.json(?:/[^/]*)?$"  # a file, or a folder with its parts
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Chunk names: YYYY-MM-DD/HH-MM-SS-host-pid-id.jsonl below any root.
-_CHUNK = r"(\d{4}-\d{2}-\d{2})/(\d{2})-[^/]*$"
+# Chunk names: YYYY-MM-DD/HH-MM-SS-host-pid-id.jsonl below any root.  A rewritten
+# chunk is a folder of that name (log_day=.../chunk=...) with parts.
+_CHUNK = r"(\d{4}-\d{2}-\d{2})/(?:(\d{2})-[^/]*|chunk=(\d{2})-[^/]*/[^/]*)$"
 
 
 def chunk_day(path: Column) -> Column:
@@ -15,26 +16,38 @@ def chunk_day(path: Column) -> Column:
 
 
 def chunk_hour(path: Column) -> Column:
-    return F.nullif(F.regexp_extract(path, _CHUNK, 2), F.lit("")).cast("int")
+    plain, rewritten = (F.nullif(F.regexp_extract(path, _CHUNK, i), F.lit("")) for i in (2, 3))
+    return F.coalesce(plain, rewritten).cast("int")
 
 
-def with_chunk_name(lines: DataFrame) -> DataFrame:
+def with_chunk_name(lines: DataFrame, *more: str) -> DataFrame:
     """Adds path, log_day and log_hour to lines read from files."""
     path = F.col("_metadata.file_path")
     return lines.select(
-        F.col("value").alias("entry"), path.alias("path"), chunk_day(path).alias("log_day"), chunk_hour(path).alias("log_hour")
+        F.col("value").alias("entry"), path.alias("path"), chunk_day(path).alias("log_day"), chunk_hour(path).alias("log_hour"),
+        *more,
     )
 
 
 def read_raw(spark: SparkSession, *paths: str) -> DataFrame:
-    """One row per non-blank line with the whole object kept as text."""
+    """One row per non-blank line with the whole object kept as text.
+
+    `position` orders the lines of a chunk: the block of the file, then the row.
+    """
     lines = spark.read.option("recursiveFileLookup", "true").text(list(paths))
-    return with_chunk_name(lines.where(F.trim("value") != ""))
+    position = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return with_chunk_name(lines.withColumn("position", position).where(F.trim("value") != ""), "position")
 
 
 def is_document(text: Column) -> Column:
-    """Whether a line is a complete JSON document."""
-    return F.try_parse_json(text).isNotNull()
+    """Whether a line is a complete JSON document, of any size.
+
+    The variant parser refuses objects that repeat a key and values beyond its
+    size; an object it refuses is a document all the same if the plain parser
+    reads it to its end.
+    """
+    plain = F.get_json_object(text, "$").isNotNull() & text.rlike(r'^\s*\{\s*"')
+    return F.try_parse_json(text).isNotNull() | plain
 
 
 def split_malformed(raw: DataFrame, column: str = "entry") -> tuple[DataFrame, DataFrame]:

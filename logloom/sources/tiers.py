@@ -20,10 +20,22 @@ def tier_path(root: str, tier: str) -> str:
     return f"{root.rstrip('/')}/{tier}"
 
 
-def read_tier(spark: SparkSession, root: str, tier: str, grain: str | None = None) -> DataFrame:
-    """A whole tier, daily and monthly files alike, or one grain; other tiers are never touched."""
-    path = tier_path(root, tier) if grain is None else f"{tier_path(root, tier)}/{grain}"
-    return spark.read.option("recursiveFileLookup", "true").parquet(path)
+DAY = "log_date"
+# Folder of a tier's grain; a tier is <root>/<tier>/<grain>/log_date=<day>/<files>.
+GRAINS = {"day": "daily", "month": "monthly"}
+
+
+def grain_path(root: str, tier: str, scope: str) -> str:
+    return f"{tier_path(root, tier)}/{GRAINS[scope]}"
+
+
+def read_tier(spark: SparkSession, root: str, tier: str, grain: str = "daily") -> DataFrame:
+    """One grain of a tier, with log_date, by which a filter prunes folders.
+
+    The monthly grain holds the same turns and sessions as the daily one, so the
+    two are never read together.  Other tiers are never touched.
+    """
+    return spark.read.parquet(f"{tier_path(root, tier)}/{grain}")
 
 
 def read_mixed(spark: SparkSession, *paths: str) -> DataFrame:
@@ -36,39 +48,43 @@ def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_tier(df: DataFrame, path: str, ts: str = "ts", order: Sequence[str] = ("ts",), mode: str = "overwrite") -> None:
-    """zstd Parquet by log_date, in time order.
+def write_tier(
+    df: DataFrame, path: str, ts: str = "ts", order: Sequence[str] = ("ts",), mode: str = "overwrite", day: Column | None = None,
+) -> None:
+    """zstd Parquet by log_date (the day of `ts`, or `day`), in time order.
 
     Rows are range-partitioned by (day, time): a day that holds much of the
     data is written by several tasks into several files, each a stretch of the
     day in order, and quiet days share a task.  Only the days present in `df`
     are replaced.
     """
-    dated = df.withColumn("log_date", F.to_date(ts))
+    dated = df.withColumn(DAY, F.to_date(ts) if day is None else day)
     (
-        dated.repartitionByRange(F.col("log_date"), time_bucket(F.col(ts)), *[F.col(c) for c in order])
-        .sortWithinPartitions("log_date", *order)
+        dated.repartitionByRange(F.col(DAY), time_bucket(F.col(ts)), *[F.col(c) for c in order])
+        .sortWithinPartitions(DAY, *order)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
-        .partitionBy("log_date")
+        .partitionBy(DAY)
         .parquet(path)
     )
 
 
 def rewrite_in_place(
-    spark: SparkSession, path: str, fn: Callable[[DataFrame], DataFrame], partition: str | None = "log_date",
+    spark: SparkSession, path: str, fn: Callable[[DataFrame], DataFrame], partition: str | None = DAY,
     only: DataFrame | None = None, order: str = "ts",
 ) -> int:
     """Replaces a table by fn(table) by way of a staging table; returns the row count.
 
     The new rows are complete and counted before anything is overwritten; if the
     count differs the original is left alone.  `only`, a frame of partition values,
-    limits the rewrite to those partitions.
+    limits the rewrite to those partitions (NULL is one).  The staging table is
+    removed once the rows are in place.
     """
     source = spark.read.parquet(path)
     if only is not None:
-        source = source.join(only.select(partition), partition, "left_semi")
+        named = only.select(F.col(partition).alias("__only"))
+        source = source.join(named, F.col(partition).eqNullSafe(F.col("__only")), "left_semi")
     staging = shared_dir(spark, "staging")
     writer = fn(source).write.mode("errorifexists").option("compression", "zstd")
     if partition:
@@ -86,18 +102,29 @@ def rewrite_in_place(
         out = staged.repartitionByRange(F.col(order)).sortWithinPartitions(order).write
     out.mode("overwrite").option("compression", "zstd").parquet(path)
     spark.catalog.refreshByPath(path)
+    remove(spark, staging)
     return after
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours, on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def rewrite_jsonl(spark: SparkSession, raw: DataFrame, how: Callable[[Column], Column], out: str) -> DataFrame:
     """Raw chunks with every line rewritten, written only where a line changed.
 
-    `raw` is (entry, path, ...).  New chunks go below `out`, one folder per source
-    chunk; the sources stay as they are.  Returns (path, lines, changed_lines).
+    `raw` is (entry, path, ...).  New chunks go below `out` as
+    root=<id>/log_day=<day>/chunk=<name>/<parts>, which `read_raw` reads like
+    the originals, day and hour included; the id tells apart chunks of the same
+    name below different roots.  Lines keep the order of `position`, a column
+    that `read_raw` gives.  The sources stay as they are.  Returns (path, lines,
+    changed_lines).
 
     The first pass counts changes per chunk and stores the counts; the second
     rewrites the lines of changed chunks only, usually a small part.  A chunk of
-    any size is written by several tasks.
+    any size is written by several tasks, in parts that follow each other.
     """
     tested = raw.select("path", F.col("entry").alias("__was"), how(F.col("entry")).alias("__now"))
     changed = F.count_if(~F.col("__was").eqNullSafe(F.col("__now")))
@@ -106,15 +133,21 @@ def rewrite_jsonl(spark: SparkSession, raw: DataFrame, how: Callable[[Column], C
     report = spark.read.parquet(counts)
 
     touched = report.where(F.col("changed_lines") > 0).select("path")
-    chunk = F.replace(F.regexp_extract("path", r"([^/]+/[^/]+)\.jsonl$", 1), F.lit("/"), F.lit("_"))
-    name = F.coalesce(F.nullif(chunk, F.lit("")), F.xxhash64("path").cast("string"))
+    pattern = r"^(.*?)(?:(?:log_day=)?(\d{4}-\d{2}-\d{2})/)?(?:chunk=)?([^/]+?)(?:\.jsonl/[^/]*)?$"
+    part = lambda i: F.regexp_extract("path", pattern, i)
+    position = F.col("position") if "position" in raw.columns else F.lit(None).cast("long")
+    keys = ["root", "log_day", "chunk"]
     (
         raw.join(touched, "path", "left_semi")
-        .select("entry", name.alias("chunk"))
-        .repartitionByRange(F.col("chunk"), F.xxhash64("entry"))
-        .select(how(F.col("entry")).alias("value"), "chunk")
+        .select(
+            "entry", F.lower(F.hex(F.xxhash64(part(1)))).alias("root"), F.nullif(part(2), F.lit("")).alias("log_day"),
+            F.concat(F.regexp_replace(part(3), r"\.jsonl$", ""), F.lit(".jsonl")).alias("chunk"), position.alias("position"),
+        )
+        .repartitionByRange(*keys, "position")
+        .sortWithinPartitions(*keys, "position")
+        .select(how(F.col("entry")).alias("value"), *keys)
         .write.mode("errorifexists")
-        .partitionBy("chunk")
+        .partitionBy(*keys)
         .text(out)
     )
     return report

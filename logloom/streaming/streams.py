@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logloom.functions.compat import blank_to_null
+from logloom.functions.scrub import scrub_text
 from logloom.operators.capture import prompt_hash
 from logloom.operators.flatten import flatten_entries
 from logloom.operators.stats import balance_columns, count_by_type
+from logloom.sources.raw import split_malformed, with_chunk_name
 
 # Fixed values of the log writers: flush interval and upstream budget.
 FLUSH = "60 seconds"
@@ -43,14 +45,25 @@ def append_chunks(stream: DataFrame, path: str, checkpoint: str, every: str | No
 
 
 def stream_consolidate(spark: SparkSession, source: str, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Raw chunks to the consolidated tier, continuously, partitioned by day."""
-    wide = entry_stream(raw_stream(spark, source)).withColumn("log_date", F.to_date("ts"))
+    """Raw chunks to the consolidated tier, continuously, partitioned by day.
+
+    A broken line is left out here, as the batch form does; `stream_quarantine`
+    keeps it with its chunk.
+    """
+    good, _ = split_malformed(raw_stream(spark, source))
+    wide = entry_stream(good).withColumn("log_date", F.to_date("ts"))
     writer = wide.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.option("compression", "zstd").partitionBy("log_date")
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start(target)
 
 
+def stream_quarantine(spark: SparkSession, source: str, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """The broken lines of raw chunks, with the chunk they came from."""
+    lines = spark.readStream.option("recursiveFileLookup", "true").text(source).where(F.trim("value") != "")
+    return append_chunks(split_malformed(with_chunk_name(lines))[1], target, checkpoint, every)
+
+
 def stream_balance(entries: DataFrame, width: str = FLUSH, lateness: str = "10 minutes", min_requests: int = 20, floor: float = 0.5) -> DataFrame:
     """Log balance per window, given out once the watermark has passed the window."""
     return count_by_type(entries.withWatermark("ts", lateness), width).select("*", *balance_columns(min_requests, floor))
@@ -84,7 +97,8 @@ def stream_prompts(messages: DataFrame, path: str, checkpoint: str, every: str |
     `messages` is (role, content, ...).  One prompt may come with most requests,
     so a batch is first reduced by an aggregate that combines before the
     shuffle; only its distinct prompts meet the table.  A repeated batch finds
-    its prompts there already and adds nothing.
+    its prompts there already and adds nothing.  Credentials are removed before
+    a prompt is stored; the hash is that of the prompt as it was sent.
     """
     spark = messages.sparkSession
     prompts = messages.where((F.col("role") == "system") & F.col("content").isNotNull()).select(
@@ -95,7 +109,8 @@ def stream_prompts(messages: DataFrame, path: str, checkpoint: str, every: str |
     def merge(batch: DataFrame, _: int) -> None:
         known = batch.sparkSession.read.schema(prompts.schema).parquet(path).select("system_sha256")
         fresh = batch.groupBy("system_sha256").agg(F.min("content").alias("content"))
-        fresh.join(known, "system_sha256", "left_anti").write.mode("append").parquet(path)
+        fresh = fresh.join(known, "system_sha256", "left_anti").withColumn("content", scrub_text(F.col("content")))
+        fresh.write.mode("append").parquet(path)
 
     writer = prompts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)

@@ -11,7 +11,7 @@ from logloom.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[8]",
+        "tests", "local[" + os.environ.get("LOGLOOM_TEST_CPUS", "8") + "]",
         **{
             "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
             "spark.ui.showConsoleProgress": "false", "spark.log.level": "ERROR",

@@ -150,3 +150,33 @@ def test_repair_leaves_the_rest(spark, raw):
 
 def test_repair_falsy_payload():
     assert repair_arguments('{"v": "<arg_value>0</arg_value>"}') == ('{"v": 0}', True)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "token\u00a0: abc123", "password\u00a0=\u00a0hunter2", "api_key\u2003:\u3000zzz", "secret\x1f=\x1cq1", "Bearer\u00a0abc.def", "KEY_ID\u2009'AK1'",
+        "token:x", "no credential", "PASSWORD = 'a b'", "\u00e9token=\u00e9\u00e9",
+    ],
+)
+def test_both_scrubbers_agree(spark, text):
+    from logloom.functions.scrub import scrub_plain
+
+    assert one(spark, scrub_text, text) == scrub_plain(text)
+
+
+def test_deep_and_odd_documents():
+    deep = "[" * 50_000 + '{"password": "hush", "n": [1, {"content": "{\\"token\\": \\"hush\\"}"}]}' + "]" * 50_000
+    clean = scrub_document(deep)
+    assert "hush" not in clean and clean.startswith("[" * 50_000 + "{") and clean.endswith("]" * 50_000)
+    assert scrub_document('{"a": "\\u0070assword=hush", "pass\\u0077ord": "hush", "n" : 1e5 }') == (
+        f'{{"a": "password={REDACTED}", "pass\\u0077ord": "{REDACTED}", "n" : 1e5 }}'
+    )
+    assert scrub_document("[" * 30_000 + " token=hush") == "[" * 30_000 + f" token={REDACTED}"
+    assert repair_arguments("[" * 50_000) == ("[" * 50_000, False)
+
+
+def test_repair_reads_tags_from_left_to_right():
+    assert json.loads(repair_arguments("<arg_key>a</arg_key>\n<arg_value>1</arg_value><arg_key> b </arg_key><arg_value> two ")[0]) == {"a": 1, "b": "two"}
+    assert json.loads(repair_arguments('{"x": "<parameter=x>[1]</parameter>", "y": 2}')[0]) == {"x": [1], "y": 2}
+    assert repair_arguments("<arg_key>a</arg_key> no value") == ("<arg_key>a</arg_key> no value", False)

@@ -201,6 +201,30 @@ def test_pipeline_end_to_end(spark, tmp_path, entries):
     assert tiers.read_tier(spark, root, "sessions", "daily").count() == 6
 
 
+def test_a_late_record_does_not_replace_its_day(spark, tmp_path):
+    """Chunks are filed by flush day: the second day brings a record of the first, and an undated one each."""
+    first = [req(f"d{i}", f"2024-01-01T1{i}:00:00Z") for i in range(6)] + [resp("u1", "sometime")]
+    second = [req("late", "2024-01-01T23:59:50Z"), req("e1", "2024-01-02T08:00:00Z"), resp("u2", "never")]
+    for day, lines in (("2024-01-01", first), ("2024-01-02", second)):
+        (tmp_path / "raw" / day).mkdir(parents=True)
+        (tmp_path / "raw" / day / "00-00-05-h-1-aa.jsonl").write_text("\n".join(lines) + "\n")
+    root, once = str(tmp_path / "lake"), str(tmp_path / "once")
+    for day in ("2024-01-01", "2024-01-02"):
+        consolidate(spark, raw.read_raw(spark, str(tmp_path / "raw" / day)), root)
+    consolidate(spark, raw.read_raw(spark, str(tmp_path / "raw")), once)
+    for tier in tiers.TIERS:
+        a, b = (tiers.read_tier(spark, r, tier) for r in (root, once))
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() > 0
+    assert tiers.read_tier(spark, root, "consolidated").count() == 10
+    assert tiers.read_tier(spark, root, "sessions").where("log_date = '2024-01-01'").count() == 7
+
+
+def test_valid_documents_are_never_quarantined(spark):
+    lines = ['{"a":1,"a":2}', '{"a":"' + "x" * 20_000_000 + '"}', '{"a":1}', "{half", "{'a': 1}", "[1]"]
+    good, bad = raw.split_malformed(spark.createDataFrame([(x,) for x in lines], "entry string"))
+    assert {r[0] for r in good.collect()} == set(lines[:3]) | {"[1]"} and {r[0] for r in bad.collect()} == {"{half", "{'a': 1}"}
+
+
 def test_scrub_history_reaches_every_tier(spark, tmp_path):
     day = tmp_path / "raw" / "2024-01-02"
     day.mkdir(parents=True)
@@ -209,7 +233,7 @@ def test_scrub_history_reaches_every_tier(spark, tmp_path):
     root = str(tmp_path / "lake")
     consolidate(spark, raw.read_raw(spark, str(tmp_path / "raw")), root)
     dry = {str(r["log_date"]): r["rows_changed"] for r in scrub_history(spark, root, "2024-02-01", dry_run=True).collect()}
-    assert dry == {"2024-01-01": 0, "2024-01-02": 1} and verify_scrubbed(spark, root).count() == 1
+    assert dry == {"2024-01-02": 1} and verify_scrubbed(spark, root).count() == 1  # filed by chunk day
     scrub_history(spark, root, "2024-01-02")
     assert verify_scrubbed(spark, root).count() == 1  # today is left alone
     scrub_history(spark, root, "2024-02-01")
@@ -242,14 +266,16 @@ def test_rewrite_jsonl_touches_changed_chunks_only(spark, tmp_path):
     from logloom.functions.scrub import scrub_json
 
     df = spark.createDataFrame(
-        [('{"secret": "a"}', "/r/2024-01-01/00-a.jsonl"), ('{"n": 1}', "/r/2024-01-01/00-a.jsonl"), ('{"n": 2}', "/r/2024-01-02/00-b.jsonl")],
-        "entry string, path string",
+        [('{"n": 1}', "/r/2024-01-01/00-a.jsonl", 2), ('{"secret": "a"}', "/r/2024-01-01/00-a.jsonl", 1), ('{"n": 2}', "/r/2024-01-02/00-b.jsonl", 1)],
+        "entry string, path string, position int",
     )
     out = str(tmp_path / "o")
     report = {r["path"]: (r["lines"], r["changed_lines"]) for r in tiers.rewrite_jsonl(spark, df, scrub_json, out).collect()}
     assert report == {"/r/2024-01-01/00-a.jsonl": (2, 1), "/r/2024-01-02/00-b.jsonl": (1, 0)}
     lines = spark.read.text(out).collect()
-    assert sorted(r["value"] for r in lines) == ['{"n": 1}', '{"secret": "[REDACTED]"}'] and {r["chunk"] for r in lines} == {"2024-01-01_00-a"}
+    assert sorted(r["value"] for r in lines) == ['{"n": 1}', '{"secret": "[REDACTED]"}'] and {(str(r["log_day"]), r["chunk"]) for r in lines} == {("2024-01-01", "00-a.jsonl")}
+    back = raw.read_raw(spark, out).select("entry", F.col("log_day").cast("string").alias("d"), "log_hour").orderBy("position").collect()
+    assert [tuple(r) for r in back] == [('{"secret": "[REDACTED]"}', "2024-01-01", 0), ('{"n": 1}', "2024-01-01", 0)]
 
 
 def test_mixed_schemas_read_by_name(spark, tmp_path, entries):
