@@ -35,6 +35,7 @@ def _to(digits: int, df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: rounded(c, digits) for c in columns})
 
 
+# The year is part of the question asked.
 @query(
     "masked_aggregate",
     with_ctes(CELLS, MASK, body="SELECT klass, round(sum(value), 2) AS total FROM cells SEMI JOIN mask USING (h0, cell) WHERE yr = 1998 GROUP BY klass"),
@@ -309,6 +310,7 @@ def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Status and years are part of the question asked: measures that passed since a year.
 @query(
     "separated_totals",
     with_ctes(
