@@ -40,7 +40,7 @@ SLOTS = 1 << 16
 WIDTHS = (1, 2, 3)
 FILTERS = 12
 SIZE = 16
-SAMPLE_PER_CLASS = 4_000
+SAMPLE_PER_CLASS = 3_000
 SAMPLE_BYTES = 20_000
 EPOCHS = 12
 BATCH = 64
@@ -49,7 +49,7 @@ WORD_DROPOUT = 0.2
 HELD_SHARE = 5  # one in so many sampled rows calibrates
 MIN_TOXIC = 20  # toxic rows below which a language takes the common threshold
 BLOCK = 32_768
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _FOLD = bytes(
     32 if not (c >= 128 or chr(c).isalnum()) else ord(chr(c).lower()) if c < 128 else c for c in range(256)
@@ -77,7 +77,7 @@ class WordSlots:
                 a, b, c = _slots(w)
                 known[w] = a << 32 | b << 16 | c
         packed = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        return np.stack([packed >> 32, packed >> 16 & 0xFFFF, packed & 0xFFFF], axis=1)
+        return np.stack([packed >> 32, packed >> 16 & 0xFFFF, packed & 0xFFFF], axis=1).astype(np.int32)
 
 
 class Model:
@@ -109,7 +109,7 @@ class Model:
 def _padded(slots: np.ndarray) -> np.ndarray:
     """At least as many words as the widest filter; -1 marks none."""
     lack = max(WIDTHS) - len(slots)
-    return slots if lack <= 0 else np.concatenate([slots, np.full((lack, 3), -1)])
+    return slots if lack <= 0 else np.concatenate([slots, np.full((lack, 3), -1, np.int32)])
 
 
 class Scorer:
