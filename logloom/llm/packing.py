@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator, Mapping
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,13 +36,50 @@ from logloom.llm.token_counts import load, tokenizer_path
 
 CAPACITY = 2048
 CLOSING_ID = 1
-REMEMBERED = 400_000
-BUCKET_ROWS = 50_000
+REMEMBERED = 300_000
+BUCKET_ROWS = 8_000
 
 # An ASCII or Latin-1 letter, then the punctuation that ends a word.  The letter ends a run of
 # letters, so what follows is a pre-token of its own, whatever the word.
 _ENDING = re.compile(r"([a-z\xdf-\xf6\xf8-\xff])([!-&(-/:-@\[-`{-~]+)\Z", re.I)
-_PLAIN = re.compile(r"[a-z]+\Z", re.I)
+# Words of letters that have one form only: no normalisation but lower case applies to them,
+# and they are one pre-token.
+_LETTERS = re.compile(r"[a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+\Z", re.I)
+_PROBES = ["a", "Word", "straße", "ÉTÉ", "señor", "internationalisation"]
+
+
+def _byte_characters() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes: visible ones as themselves, the others from U+0100 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)}
+
+
+_CHARACTERS = _byte_characters()
+
+
+def _packed(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
+def _stem_and_ending(word: bytes) -> tuple[bytes, bytes]:
+    """Two parts whose ids follow each other in those of the word; the second may be empty.
+
+    A stem of ASCII letters is lower-cased, as the tokenizer does, to be met more often.
+    """
+    if word.isalpha():  # of bytes: ASCII letters alone
+        return word.lower(), b""
+    if word[:-1].isalpha() and word[-1:] in b".,!?;:|":
+        return word[:-1].lower(), word[-1:]
+    text = word.decode()
+    ending = _ENDING.search(text)
+    # a quote may begin a contraction with what follows, an angle bracket a special token
+    if ending is None or "'" in text or "<" in text:
+        return word, b""
+    return text[: ending.end(1)].encode(), ending[2].encode()
 
 
 class WordIds:
@@ -53,27 +91,31 @@ class WordIds:
 
     def __init__(self, path: str, bound: int = REMEMBERED):
         self.tokenizer, self.bound = load(path), bound
+        self.model = self.tokenizer.model
         self.words: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.stems: dict[bytes, bytes] = {b"": b""}
+        # plain letters may go to the vocabulary directly where that is what the tokenizer does
+        whole = [e.ids for e in self.tokenizer.encode_batch_fast(_PROBES, add_special_tokens=False)]
+        self.direct = whole == [self._letter_ids(p) for p in _PROBES]
+
+    def _letter_ids(self, letters: str) -> list[int]:
+        written = letters.lower().encode().decode("latin-1").translate(_CHARACTERS)
+        return [token.id for token in self.model.tokenize(written)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        found = {t: _packed(self._letter_ids(t)) for t in texts if self.direct and _LETTERS.match(t)}
+        rest = [t for t in texts if t not in found]
+        if rest:
+            encoded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+            found.update((t, _packed(e.ids)) for t, e in zip(rest, encoded))
+        return [found[t] for t in texts]
 
     def _learn(self, new: list[bytes]) -> None:
-        parts = []
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            ending = _ENDING.search(text)
-            # a quote may begin a contraction with what follows, an angle bracket a special token
-            whole = ending is None or "'" in text or "<" in text
-            stem, tail = (text, "") if whole else (text[: ending.end(1)], ending[2])
-            parts.append((stem.lower() if _PLAIN.match(stem) else stem, tail))
+        parts = [_stem_and_ending(w) for w in new]
         stems = self.stems
-        missing = [s for s in {x for pair in parts for x in pair} if s and s not in stems]
+        missing = [s for s in {x for pair in parts for x in pair} if s not in stems]
         if missing:
-            stems.update(zip(missing, self._encode(missing)))
-        stems[""] = b""
+            stems.update(zip(missing, self._encode([s.decode() for s in missing])))
         self.words.update((w, stems[a] + stems[b]) for w, (a, b) in zip(new, parts))
 
     def ids(self, text: bytes) -> bytes:
@@ -83,7 +125,7 @@ class WordIds:
         if new:
             if len(known) + len(new) > self.bound:
                 known.clear()
-                self.stems.clear()
+                self.stems = {b"": b""}
                 new = list(set(words))
             self._learn(new)
         return b"".join(map(known.__getitem__, words))
@@ -94,32 +136,30 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def _joins_blanks(path: str) -> bool:
+@cache
+def _drops_blanks(path: str) -> bool:
     """Whether the tokenizer is one that drops white space: only then words may be encoded apart."""
     import json
 
-    spec = json.loads(load(path).to_str())
-    split = spec["pre_tokenizer"] or {}
+    split = json.loads(load(path).to_str())["pre_tokenizer"] or {}
     first = (split.get("pretokenizers") or [{}])[0]
-    return not (first.get("type") == "Split" and first.get("invert") and "[^\\s" in str(first.get("pattern")))
+    pattern = (first.get("pattern") or {}).get("Regex", "")
+    return first.get("type") == "Split" and bool(first.get("invert")) and pattern.endswith(r"[^\s\p{L}\p{N}]+")
 
 
 def token_ids(text: str, path: str) -> bytes:
     """The ids of a text, 4 bytes each."""
-    if _whole_texts(path):
-        return np.array(load(path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    if not _drops_blanks(path):
+        return _packed(load(path).encode(text, add_special_tokens=False).ids)
     return _word_ids(path).ids(text.encode("utf-8"))
 
 
-_whole_texts = cache(_joins_blanks)
-
-
 def cut_documents(
     docs: DataFrame, tokenizer: str = "word_bpe_49k.json", doc_id: str = "doc_id", text: str = "text",
     capacity: int = CAPACITY, closing_id: int = CLOSING_ID,
 ) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens."""
-    closing = np.array([closing_id], dtype="<u4").tobytes()
+    closing = _packed([closing_id])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer if os.path.isabs(tokenizer) else tokenizer_path(tokenizer)
