@@ -37,7 +37,7 @@ from logloom.session import shared_dir
 ARCHIVE_BYTES = 256 << 20
 MAX_GAP = 64 << 10
 MAX_RANGE = 8 << 20
-STRETCH_BYTES = 32 << 20
+STRETCH_BYTES = 16 << 20
 MIN_REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -174,7 +174,10 @@ def read_records(index: DataFrame, directory: str, max_gap: int = MAX_GAP, max_r
             opened[1].close()
 
     ranges = index.select("archive", "offset", "length")
-    dealt = ranges.repartition("archive", F.floor(F.col("offset") / STRETCH_BYTES)).sortWithinPartitions("archive", "offset")
+    # as many tasks as there are stretches of bytes to read: the index rows themselves are too small to tell
+    stretches = (ranges.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] or 0) // STRETCH_BYTES + 1
+    place = F.floor(F.col("offset") / STRETCH_BYTES)
+    dealt = ranges.repartition(stretches, "archive", place).sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(read, RECORD)
 
 
