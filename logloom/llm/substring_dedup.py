@@ -168,7 +168,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN, heavy
     schema = f"doc {kind}, digest bigint, minimiser bigint, first int, n int"
     kmers = staged(docs.select("doc", "digest", "text").mapInArrow(listed, schema), "super-kmers")
     often = kmers.groupBy("minimiser").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    often = often.select(F.col("minimiser").alias("again"), (F.col("times") > heavy).alias("heavy"))
+    # a table of its own: a join of two plain shuffles can be split where one minimiser is very common
+    often = staged(often.select(F.col("minimiser").alias("again"), (F.col("times") > heavy).alias("heavy")), "repeated")
     hits = kmers.join(often, F.col("minimiser") == F.col("again"))
     per_doc = hits.groupBy(F.col("doc").alias("hit_doc"), F.col("digest").alias("hit_digest")).agg(
         F.collect_set(F.struct("first", "n", "minimiser", "heavy")).alias("hits")
