@@ -21,8 +21,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines frequent in a source go; a document stays, even if nothing is left of it."""
-    return line_dedup.dedup_documents(docs, ratio=SOURCE_LINE_RATIO)
+    """Lines frequent in a source go; a document stays, even if nothing is left of it.
+
+    Copies are the next stage's matter: a text counts once per source here.
+    """
+    return line_dedup.dedup_documents(docs, ratio=SOURCE_LINE_RATIO, copies=False)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

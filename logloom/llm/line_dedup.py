@@ -11,7 +11,9 @@ size was counted; otherwise the join shuffles and AQE splits a heavy host.
 
 Cases: lines are compared without the blanks around them; a line of blanks alone is never
 boilerplate and is kept as it is; null texts hold no line and stay null; pages without a host
-form one group; repeated pages count each; empty tables give no rows.
+form one group; repeated pages count each, unless ``copies`` is off: then pages of a host with
+the same lines count as one page, both among those that hold a line and among all, so that the
+copies of a text never make its lines boilerplate; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -46,6 +48,12 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.md5(bare))
 
 
+def _distinct_pages(pages: DataFrame) -> DataFrame:
+    """One row of (host, keys) for each host and sequence of keys; copies combine before the shuffle."""
+    told = pages.withColumn("digest", F.md5(F.array_join("keys", ",")))
+    return staged(told.groupBy("host", "digest").agg(F.first("keys").alias("keys")).drop("digest"), "distinct-pages")
+
+
 def _boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     """From (host, keys): host, boilerplate (array of line digests)."""
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
@@ -58,7 +66,7 @@ def _boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True,
 ) -> DataFrame:
     """`pages` with two columns more: __lines (all) and __kept (those that stay), in order.
 
@@ -66,6 +74,8 @@ def drop_boilerplate(
     """
     keys = F.transform(lines, lambda x: _key(x))
     per_page = pages.select(host.alias("host"), keys.alias("keys"))
+    if not copies:
+        per_page = _distinct_pages(per_page)
     frequent = staged(_boilerplate(per_page, ratio, min_pages), "boilerplate")
     listed = frequent.select(F.col("host").alias("__host"), F.col("boilerplate").alias("__boilerplate"))
     size = frequent.agg(F.coalesce(F.sum(F.size("boilerplate")), F.lit(0))).first()[0]
@@ -79,20 +89,20 @@ def drop_boilerplate(
 
 
 def dedup_lines(
-    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True,
 ) -> DataFrame:
     """`docs` with boilerplate lines taken out of `text`; columns and their order unchanged."""
     # the other columns travel as one, so that no name of theirs can clash
     rest = [c for c in docs.columns if c not in (host, text)]
     packed = docs.select(F.col(host).alias("host"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
-    marked = drop_boilerplate(packed, F.col("host"), F.split(F.col("text"), "\n", -1), ratio, min_pages)
+    marked = drop_boilerplate(packed, F.col("host"), F.split(F.col("text"), "\n", -1), ratio, min_pages, copies)
     value = {host: F.col("host"), text: F.array_join("__kept", "\n")}
     return marked.select(*(value.get(c, F.col("rest")[c]).alias(c) for c in docs.columns))
 
 
-def dedup_documents(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_documents(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """`dedup_lines` on the documents table, by source, with n_chars brought up to date."""
-    return dedup_lines(docs, ratio=ratio, min_pages=min_pages).withColumn(
+    return dedup_lines(docs, ratio=ratio, min_pages=min_pages, copies=copies).withColumn(
         "n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)
     )
 

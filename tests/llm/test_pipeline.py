@@ -5,6 +5,7 @@ import __spark_entry__ as entry
 from logloom.llm import decontaminate, line_dedup, packing, simhash_dedup, toxicity
 from logloom.llm.common import staged, table
 from logloom.llm.registry import ORACLES, QUERIES
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,6 +38,22 @@ def test_stages_and_their_decisions(spark):
     assert whole.columns == outs[5].columns and whole.count() == outs[5].count()
 
 
+def test_a_large_group_of_copies_ends_as_one_full_document(spark):
+    """1,000 copies in 10,000 rows, and three copies in a small source; menu lines still go."""
+    copy = "\n".join(f"line {k} of the copied text tells of matter {k * k}" for k in range(8))
+    small = "first line of a text in a small source\nand its second line"
+    rows = [(i, copy, "en", "big", 0) for i in range(1000)]
+    rows += [(i, f"menu of the site\nbody {i} speaks of {i * 7919} and {i * 104729}", "en", "big", 0) for i in range(1000, 10_000)]
+    rows += [(20_000 + i, small, "en", "small", 0) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    lined = staged(p.drop_boilerplate(spark, docs, SF), "test-copies")
+    assert lined.where("text LIKE '%menu of the site%'").count() == 0 and lined.count() == len(rows)
+    kept = p.drop_near_copies(spark, lined, SF)
+    assert [r.doc_id for r in kept.where(F.col("text") == copy).collect()] == [0]
+    assert [r.doc_id for r in kept.where(F.col("text") == small).collect()] == [20_000]
+    assert kept.where("text = ''").count() == 0
+
+
 def test_odd_documents(spark):
     rows = [
         (None, None, None, None, None), (1, None, "en", "s", 0), (1, None, "en", "s", 0), (2, "", None, "s", 0), (3, "line\n" * 50_000, "en", None, 9),
