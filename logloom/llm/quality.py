@@ -7,9 +7,12 @@ adding counts, which is what a grouped sum does.  So the sketches of all languag
 come from one aggregation that combines before the shuffle, have a bounded size, and do not
 depend on the order of rows.
 
-A threshold is the median plus ``SPREAD`` times the distance from the median to the upper
-quartile (mirrored for the lower side of the word length), and at least a rate's ``FLOOR``
-away from the median: only clear outliers of a group are dropped.  A (language, source) with
+A threshold is the median plus a multiple of the distance from the median to a quantile far
+enough out to see the spread of ordinary documents (``REACH``): the upper quartile for symbols,
+in which junk may hold a fifth of a group; the ninth decile for letters and word length (the
+first for short words); the 99th percentile for repetition, which most documents lack.  Only
+documents that pass the base rules enter the sketches.  ``FLOORS`` are small and serve where a
+group has no spread, since then no multiple of it is a distance.  A (language, source) with
 fewer than ``MIN_GROUP`` rows merges into the sketch of its language, and a language that is
 as small into the whole, so that no group is judged by a handful of rows.  The thresholds are
 joined back by group and the documents filtered.
@@ -41,10 +44,14 @@ SYMBOLS = "#*$%&|<>"
 
 ACCURACY = 0.02  # relative error of a quantile
 SMALLEST = 1e-4  # rates below it share one bucket
-SPREAD = 6.0
 MIN_GROUP = 200
+# The quantile whose distance from the median is taken, and how often; below 0.5 for the lower side.
+REACH = {
+    "symbol_rate": (0.75, 6.0), "upper_rate": (0.9, 10.0), "dup_line_rate": (0.99, 2.0), "repeat_rate": (0.99, 2.0),
+    "long_words": (0.9, 10.0), "short_words": (0.1, 6.0),
+}
 # Least distance of a threshold from the median; the sign is the side on which outliers are dropped.
-FLOORS = {"symbol_rate": 0.05, "upper_rate": 0.3, "dup_line_rate": 0.35, "repeat_rate": 0.28, "long_words": 4.0, "short_words": -2.5}
+FLOORS = {"symbol_rate": 0.05, "upper_rate": 0.02, "dup_line_rate": 0.2, "repeat_rate": 0.1, "long_words": 0.5, "short_words": -0.5}
 
 _UPPER = bytes(range(65, 91))
 _BLANK_LINE = re.compile(r"[\x20\x09-\x0D]*\Z")
@@ -178,11 +185,12 @@ def thresholds(sketch: DataFrame, groups: tuple[str, str] = ("lang", "source"))
 
     `sketch` is that of all groups; coarser ones are merged from it.
     """
-    shares = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    names = {q: f"q{round(100 * q)}" for q in sorted({0.5, *(q for q, _ in REACH.values())})}
+    shares = {name: q for q, name in names.items()}
     fine = quantiles(sketch, list(groups), shares)
     coarse = quantiles(merged(sketch, [groups[0]]), [groups[0]], shares)
     whole = quantiles(merged(sketch, []), [], shares)
-    values = lambda: F.struct("q1", "q2", "q3")
+    values = lambda: F.struct(*shares)
     coarse = coarse.select(F.col(groups[0]).alias("of"), F.col("rate").alias("of_rate"), F.col("size").alias("coarse_size"), values().alias("coarse"))
     whole = whole.select(F.col("rate").alias("any_rate"), values().alias("whole"))
     chosen = (
@@ -194,10 +202,11 @@ def thresholds(sketch: DataFrame, groups: tuple[str, str] = ("lang", "source"))
             .otherwise(F.col("whole"))
         )
     )
-    floor = F.create_map(*[F.lit(x) for pair in FLOORS.items() for x in pair])[F.col("rate")]
-    up = F.col("q.q2") + F.greatest(F.lit(SPREAD) * (F.col("q.q3") - F.col("q.q2")), floor)
-    down = F.col("q.q2") - F.greatest(F.lit(SPREAD) * (F.col("q.q2") - F.col("q.q1")), -floor)
-    limit = F.when(floor > 0, up).otherwise(down)
+    by_rate = lambda found: F.create_map(*[x for rate in FLOORS for x in (F.lit(rate), found(rate))])[F.col("rate")]
+    floor = by_rate(lambda rate: F.lit(FLOORS[rate]))
+    # negative on the lower side, like the floor
+    spread = by_rate(lambda rate: F.lit(REACH[rate][1]) * (F.col("q")[names[REACH[rate][0]]] - F.col("q.q50")))
+    limit = F.col("q.q50") + F.when(floor > 0, F.greatest(spread, floor)).otherwise(F.least(spread, floor))
     return chosen.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("rate", limit.alias("limit")))).alias("limits"))
 
 
@@ -207,7 +216,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text")
     )
     counts = staged(measured(rows, ["doc_id", "lang", "source"]), "quality")
-    listed = counts.select("lang", "source", F.explode(F.create_map(*[x for k, v in rates().items() for x in (F.lit(k), v)])).alias("rate", "value"))
+    listed = counts.where(~base_failed()).select("lang", "source", F.explode(F.create_map(*[x for k, v in rates().items() for x in (F.lit(k), v)])).alias("rate", "value"))
     limits = thresholds(staged(sketches(listed, ["lang", "source"]), "sketches"))
     limits = limits.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "limits")
     met = counts.join(

@@ -82,3 +82,22 @@ def test_kept_against_labels(spark):
     good, junk = judged[judged.quality == 1], judged[judged.quality == 0]
     assert good[~good.base_failed].kept.mean() > 0.98
     assert (~junk.kept).mean() > 0.5
+
+
+def test_limits_follow_the_spread_of_their_group(spark):
+    """The same rate is an outlier in an even group and ordinary in a varied one."""
+    even, varied = [(0.1 + i % 10 / 1000) for i in range(300)], [(0.1 + i % 100 / 1000) for i in range(300)]
+    rows = [(s, r, v) for s, values in (("even", even), ("varied", varied)) for v in values for r in ("upper_rate", "repeat_rate")]
+    rows += [("even", "long_words", 5.0 + v) for v in even] + [("varied", "long_words", 5.0 + 10 * v) for v in varied]
+    frame = spark.createDataFrame([("en", *r) for r in rows], "lang string, source string, rate string, value double")
+    got = {r.source: r.limits for r in q.thresholds(q.sketches(frame, ["lang", "source"])).collect()}
+    for rate in ("upper_rate", "repeat_rate", "long_words"):
+        assert got["varied"][rate] > 1.2 * got["even"][rate]
+
+
+def test_floors_only_serve_where_there_is_no_spread(spark):
+    counts = q.measured(table(spark, "/root/testdata/sf0.1", "documents"), ["doc_id", "lang", "source"]).where(~q.base_failed())
+    listed = counts.select("lang", "source", F.explode(F.create_map(*[x for k, v in q.rates().items() for x in (F.lit(k), v)])).alias("rate", "value"))
+    limits = q.thresholds(q.sketches(listed, ["lang", "source"])).select("limits").collect()
+    for rate in ("upper_rate", "dup_line_rate", "repeat_rate", "long_words", "short_words"):
+        assert len({r.limits[rate] for r in limits}) > 1
