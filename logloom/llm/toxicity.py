@@ -7,9 +7,10 @@ maximum over the whole text, and a dense layer turns the maxima into a score.
 
 Training uses a bounded sample: per class at most ``SAMPLE_PER_CLASS`` labelled rows, those
 with the least hashed ids, of texts up to ``SAMPLE_BYTES`` bytes.  A part of it is held back
-for early stopping and calibration: the logit is shifted so that 0.5 is the best cut at the
-classes' natural frequencies, and a threshold is fitted per language (a language with few
-toxic rows there takes the common one).  Language never enters the score; the thresholds only
+for early stopping.  Calibration then covers every usable labelled row, of any length: the rows
+are scored where they lie, and histograms of the logit by language and class come back.  The
+logit is shifted so that 0.5 is the best cut, and a threshold is fitted per language (a language
+with few toxic rows takes the common one).  Language never enters the score; the thresholds only
 serve ``flagged``.
 
 Scoring reads every whole text in blocks of words and keeps running maxima, so memory does not
@@ -46,7 +47,9 @@ EPOCHS = 12
 BATCH = 64
 LEARNING_RATE = 0.01
 WORD_DROPOUT = 0.2
-HELD_SHARE = 5  # one in so many sampled rows calibrates
+HELD_SHARE = 5  # one in so many sampled rows is held back
+LOGIT_STEPS = 32  # histogram buckets per unit of the logit
+LOGIT_REACH = 30  # logits beyond are counted at the ends
 MIN_TOXIC = 20  # toxic rows below which a language takes the common threshold
 BLOCK = 32_768
 REMEMBERED = 150_000
@@ -230,8 +233,11 @@ def _best_cut(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> fl
     return float((logits[order][k] + low) / 2)
 
 
-def train(texts: list[str], labels: list[int], langs: list[str], toxic_share: float, seed: int = 7) -> tuple[Model, dict[str, float]]:
-    """A calibrated model, and a threshold (as a score) per language; key "" is the common one."""
+def train(texts: list[str], labels: list[int], toxic_share: float, seed: int = 7) -> tuple[Model, dict[str, float]]:
+    """A model with the cut of its held rows as shift, and the common threshold (as a score) under key "".
+
+    `calibrate` then sets the shift and the thresholds by language from all rows.
+    """
     model, y = Model(seed), np.array(labels, np.float32)
     if len(set(labels)) < 2:
         model.fixed = min(toxic_share, 0.49)
@@ -272,15 +278,7 @@ def train(texts: list[str], labels: list[int], langs: list[str], toxic_share: fl
     scorer = Scorer(model)
     logits = np.array([_logit(scorer, slots[i]) for i in check])
     model.shift = -_best_cut(logits, y[check], weights[check])
-    logits = logits + model.shift
-    thresholds = {"": 0.5}
-    spoken = np.array([x or "" for x in langs], dtype=object)[check]
-    for lang in sorted(set(spoken) - {""}):
-        own = spoken == lang
-        if (y[check][own] == 1).sum() >= MIN_TOXIC and (y[check][own] == 0).sum() >= MIN_TOXIC:
-            cut = _best_cut(logits[own], y[check][own], weights[check][own])
-            thresholds[str(lang)] = float(1 / (1 + np.exp(-np.clip(cut, -50, 50))))
-    return model, thresholds
+    return model, {"": 0.5}
 
 
 def _logit(scorer: Scorer, slots: np.ndarray) -> float:
@@ -288,14 +286,19 @@ def _logit(scorer: Scorer, slots: np.ndarray) -> float:
     return float(pooled @ scorer.model.dense + scorer.model.constant) + scorer.model.shift
 
 
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the rows that may be learned from."""
+    usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    return usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, max_bytes: int = SAMPLE_BYTES):
     """The bounded sample as pandas (text, toxic, lang), and the share of toxic rows among all usable labels.
 
     Rows whose crc32(doc_id as text) mod 5 is 0 are never used.  The ids are chosen from the
     labels alone and broadcast (at most twice `per_class`), so no text is shuffled.
     """
-    usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    usable = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    usable = usable_labels(labels)
     share = usable.agg(F.avg("toxic")).first()[0] or 0.0
     order = F.xxhash64("doc_id")
     picked = None
@@ -311,7 +314,41 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, dict[str, float]]:
     sample, share = training_sample(docs, labels)
-    return train(sample["text"].tolist(), sample["toxic"].tolist(), sample["lang"].tolist(), share)
+    model, thresholds = train(sample["text"].tolist(), sample["toxic"].tolist(), share)
+    return calibrate(docs, labels, model, thresholds)
+
+
+def logit_histogram(docs: DataFrame, labels: DataFrame, model: Model) -> pd.DataFrame:
+    """(lang, toxic, logit, n) over all usable labelled rows; its size depends on the number of languages alone.
+
+    Scores are taken before the labels are joined, so that no text is shuffled.
+    """
+    known = usable_labels(labels).distinct().select(F.col("doc_id").alias("of"), "toxic")
+    scored = docs.select("doc_id", "lang", scores(F.col("text"), model, docs.sparkSession).alias("score"))
+    logit = F.greatest(F.least(F.log(F.col("score") / (1 - F.col("score"))), F.lit(LOGIT_REACH)), F.lit(-LOGIT_REACH))
+    logit = F.when(F.col("score") >= 1, LOGIT_REACH).when(F.col("score") <= 0, -LOGIT_REACH).otherwise(logit)
+    counted = scored.join(known, F.col("doc_id") == F.col("of")).groupBy("lang", "toxic", F.floor(logit * LOGIT_STEPS).alias("bucket"))
+    found = counted.agg(F.count(F.lit(1)).alias("n")).toPandas()
+    found["logit"] = (found["bucket"].astype("float64") + 0.5) / LOGIT_STEPS
+    return found.sort_values(["bucket", "toxic"], kind="stable")
+
+
+def calibrate(docs: DataFrame, labels: DataFrame, model: Model, thresholds: dict[str, float]) -> tuple[Model, dict[str, float]]:
+    """`model` with its shift, and the thresholds, from all usable labelled rows."""
+    if model.fixed is not None:
+        return model, thresholds
+    found = logit_histogram(docs, labels, model)
+    if found["toxic"].nunique() < 2:
+        return model, thresholds
+    cut_of = lambda x: _best_cut(x["logit"].to_numpy(), x["toxic"].to_numpy(np.float64), x["n"].to_numpy(np.float64))
+    common = cut_of(found)
+    model.shift -= common
+    thresholds = {"": 0.5}
+    for lang, own in found.groupby("lang"):
+        sizes = own.groupby("toxic")["n"].sum()
+        if lang and min(sizes.get(0, 0), sizes.get(1, 0)) >= MIN_TOXIC:
+            thresholds[str(lang)] = float(1 / (1 + np.exp(-np.clip(cut_of(own) - common, -50, 50))))
+    return model, thresholds
 
 
 @lru_cache(maxsize=2)

@@ -76,6 +76,20 @@ def test_sample_leaves_out_the_held_rows(spark):
     assert 0.3 < share < 0.7
 
 
+def test_thresholds_come_from_all_labelled_rows(spark):
+    """A language whose toxic rows are few, and all too long for the sample, gets its own threshold."""
+    rows = [(i, f"vile word{i % 7}" if i % 3 == 0 else f"kind word{i % 11}", "en", int(i % 3 == 0)) for i in range(300)]
+    long = "mot " * (t.SAMPLE_BYTES // 4)
+    rows += [(1000 + i, long + ("vile" if i % 3 == 0 else "kind"), "fr", int(i % 3 == 0)) for i in range(120)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id bigint, toxic int")
+    model, thresholds = t.fit(docs, labels)
+    assert set(thresholds) == {"", "en", "fr"} and thresholds[""] == 0.5
+    counted = t.logit_histogram(docs, labels, model)
+    assert counted.n.sum() == sum(zlib.crc32(str(r[0]).encode()) % 5 != 0 for r in rows)
+    assert t.drop_toxic(docs, labels).where("lang = 'fr'").count() == 80
+
+
 def test_score_does_not_know_the_language(spark):
     model = small_model()
     docs = spark.createDataFrame([("same words", "en"), ("same words", "fr"), ("same words", None)], "text string, lang string")
