@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL that checks those SQL can express."""
 
 from logloom.llm import (
-    chat_format, decontaminate, line_dedup, packing, quality, simhash_dedup, substring_dedup, token_counts, toxicity, warc,
+    chat_format, decontaminate, line_dedup, packing, quality, quality_classifier, simhash_dedup, substring_dedup, token_counts, toxicity, warc,
 )
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_pack": packing.op10_pack,
+    "op11_quality_classifier": quality_classifier.op11_quality_classifier,
 }
 
 ORACLES = {
