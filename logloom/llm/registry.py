@@ -1,7 +1,8 @@
 """The queries of this subpackage and the SQL that checks those SQL can express."""
 
 from logloom.llm import (
-    chat_format, decontaminate, line_dedup, packing, quality, quality_classifier, simhash_dedup, substring_dedup, token_counts, toxicity, warc,
+    chat_format, decontaminate, line_dedup, packing, quality, quality_classifier, simhash_dedup,
+    structure_repair, substring_dedup, token_counts, toxicity, warc,
 )
 
 QUERIES = {
@@ -16,10 +17,12 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_pack": packing.op10_pack,
     "op11_quality_classifier": quality_classifier.op11_quality_classifier,
+    "op13_structure_repair": structure_repair.op13_structure_repair,
 }
 
 ORACLES = {
     "op2_chat_format": chat_format.OP2_SQL,
     "op4_warc": warc.OP4_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op13_structure_repair": structure_repair.OP13_SQL,
 }
