@@ -40,14 +40,20 @@ def read_raw(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def is_document(text: Column) -> Column:
-    """Whether a line is a complete JSON document, of any size.
-
-    The variant parser refuses objects that repeat a key and values beyond its
-    size; an object it refuses is a document all the same if the plain parser
-    reads it to its end.
+    """Whether a line is exactly one complete JSON document, of any size.
+
+    JSON functions stop after the first value, so a record glued to another one or followed by the
+    tail of a torn one would pass.  Wrapped in brackets the line must be one element up to the
+    closing bracket, and wrapped in an object one member; no text can close both wrappers early.
+    The second test is for lines with a square bracket, without which none can close the first.
+    The wrappers are read by a tokenizer that is lenient about quotes; a line that does not open
+    like an object of double-quoted keys must pass the strict parser too.
     """
-    plain = F.get_json_object(text, "$").isNotNull() & text.rlike(r'^\s*\{\s*"')
-    return F.try_parse_json(text).isNotNull() | plain
+    listed = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    member = F.size(F.json_object_keys(F.concat(F.lit('{"x":'), text, F.lit("}")))) == 1
+    alone = listed & (~F.contains(text, F.lit("]")) | member)
+    strict = text.rlike(r'^\s*\{\s*"') | F.try_parse_json(text).isNotNull()
+    return F.coalesce((F.trim(text) != "") & alone & strict, F.lit(False))
 
 
 def split_malformed(raw: DataFrame, column: str = "entry") -> tuple[DataFrame, DataFrame]:

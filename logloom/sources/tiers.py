@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators.ordering import time_bucket
 from logloom.session import shared_dir
+from logloom.sources import chunk_index
+from logloom.sources.chunk_index import DAY, days_in, folder_of, one_of, remove, size_of  # noqa: F401
 
 TIERS = ("consolidated", "sessions", "session-rollup")
 REPORT_ERROR_CHARS = 100  # Fixed value: width of the error column in reports.
@@ -20,7 +23,6 @@ def tier_path(root: str, tier: str) -> str:
     return f"{root.rstrip('/')}/{tier}"
 
 
-DAY = "log_date"
 # Folder of a tier's grain; a tier is <root>/<tier>/<grain>/log_date=<day>/<files>.
 GRAINS = {"day": "daily", "month": "monthly"}
 
@@ -48,20 +50,28 @@ def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+TASK_BYTES = 128 << 20  # stored bytes that one task of an ordered write takes
+
+
 def write_tier(
     df: DataFrame, path: str, ts: str = "ts", order: Sequence[str] = ("ts",), mode: str = "overwrite", day: Column | None = None,
+    size: int | None = None,
 ) -> None:
     """zstd Parquet by log_date (the day of `ts`, or `day`), in time order.
 
     Rows are range-partitioned by (day, time): a day that holds much of the
     data is written by several tasks into several files, each a stretch of the
     day in order, and quiet days share a task.  Only the days present in `df`
-    are replaced.
+    are replaced (`replace_days` also empties days).  The session's shuffle setting gives the number
+    of tasks, unless the stored `size` of the rows asks for more.
     """
     dated = df.withColumn(DAY, F.to_date(ts) if day is None else day)
+    keys = [F.col(DAY), time_bucket(F.col(ts)), *[F.col(c) for c in order]]
+    tasks = (size or 0) // TASK_BYTES + 1
+    many = tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = dated.repartitionByRange(tasks, *keys) if many else dated.repartitionByRange(*keys)
     (
-        dated.repartitionByRange(F.col(DAY), time_bucket(F.col(ts)), *[F.col(c) for c in order])
-        .sortWithinPartitions(DAY, *order)
+        ranged.sortWithinPartitions(DAY, *order)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
@@ -70,6 +80,40 @@ def write_tier(
     )
 
 
+def replace_days(
+    df: DataFrame, path: str, owned: Iterable[date | None], ts: str, order: Sequence[str], day: Column | None = None,
+    size: int | None = None,
+) -> dict[date | None, int]:
+    """Makes the rows of `df` all that a table holds for the days `owned`; returns rows by day.
+
+    The rows are complete and counted, as a staged table, before anything is replaced.  Days
+    that the new rows bring are overwritten; owned days that they no longer bring are removed, after
+    the stored counts have been found right.  A row outside `owned` is an error, and nothing is touched.
+    A `size` says that `df` is a stored table of so many bytes, which needs no staging.
+    """
+    spark, owned, staging = df.sparkSession, set(owned), None
+    staged = df.withColumn(DAY, F.to_date(ts) if day is None else day)
+    if size is None:
+        staging = shared_dir(spark, "replacement")
+        staged.write.parquet(staging)
+        staged, size = spark.read.parquet(staging), size_of(spark, staging)
+    counts = {r[0]: r[1] for r in staged.groupBy(DAY).count().collect()}  # days of the calendar
+    if set(counts) - owned:
+        raise ValueError(f"{path}: rows of days outside the replaced ones: {sorted(map(str, set(counts) - owned))[:3]}")
+    if counts:
+        write_tier(staged, path, ts, order, day=F.col(DAY), size=size)
+        spark.catalog.refreshByPath(path)
+        stored = spark.read.parquet(path).where(one_of(F.col(DAY), counts)).groupBy(DAY).count().collect()
+        if {r[0]: r[1] for r in stored} != counts:
+            raise RuntimeError(f"{path}: stored rows differ from the staged ones; no day was removed")
+    for gone in (owned - set(counts)) & set(days_in(spark, path)):
+        remove(spark, f"{path}/{folder_of(gone)}")
+    spark.catalog.refreshByPath(path)
+    if staging:
+        remove(spark, staging)
+    return counts
+
+
 def rewrite_in_place(
     spark: SparkSession, path: str, fn: Callable[[DataFrame], DataFrame], partition: str | None = DAY,
     only: DataFrame | None = None, order: str = "ts",
@@ -106,10 +150,14 @@ def rewrite_in_place(
     return after
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of ours, on whatever file system it is."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def chunk_place(path: Column) -> dict[str, Column]:
+    """Where a raw file belongs: id of its root, chunk day (or NULL) and name of its chunk."""
+    pattern = r"^(.*?)(?:(?:log_day=)?(\d{4}-\d{2}-\d{2})/)?(?:chunk=)?([^/]+?)(?:\.jsonl/[^/]*)?$"
+    part = lambda i: F.regexp_extract(path, pattern, i)
+    return {
+        "root": F.lower(F.hex(F.xxhash64(part(1)))), "log_day": F.nullif(part(2), F.lit("")),
+        "chunk": F.concat(F.regexp_replace(part(3), r"\.jsonl$", ""), F.lit(".jsonl")),
+    }
 
 
 def rewrite_jsonl(spark: SparkSession, raw: DataFrame, how: Callable[[Column], Column], out: str) -> DataFrame:
@@ -133,16 +181,11 @@ def rewrite_jsonl(spark: SparkSession, raw: DataFrame, how: Callable[[Column], C
     report = spark.read.parquet(counts)
 
     touched = report.where(F.col("changed_lines") > 0).select("path")
-    pattern = r"^(.*?)(?:(?:log_day=)?(\d{4}-\d{2}-\d{2})/)?(?:chunk=)?([^/]+?)(?:\.jsonl/[^/]*)?$"
-    part = lambda i: F.regexp_extract("path", pattern, i)
     position = F.col("position") if "position" in raw.columns else F.lit(None).cast("long")
     keys = ["root", "log_day", "chunk"]
     (
         raw.join(touched, "path", "left_semi")
-        .select(
-            "entry", F.lower(F.hex(F.xxhash64(part(1)))).alias("root"), F.nullif(part(2), F.lit("")).alias("log_day"),
-            F.concat(F.regexp_replace(part(3), r"\.jsonl$", ""), F.lit(".jsonl")).alias("chunk"), position.alias("position"),
-        )
+        .select("entry", *[c.alias(n) for n, c in chunk_place(F.col("path")).items()], position.alias("position"))
         .repartitionByRange(*keys, "position")
         .sortWithinPartitions(*keys, "position")
         .select(how(F.col("entry")).alias("value"), *keys)
