@@ -104,11 +104,10 @@ def _days_of(starts: set[date | None], scope: str) -> set[date | None]:
 
 def concerned_entries(spark: SparkSession, root: str, scope: str, starts: set[date | None], index: DataFrame) -> DataFrame:
     """Consolidated entries of the periods: only the chunk days that the index names are read."""
-    stored = read_history(spark, root, "consolidated", index)
+    held = None
     if not index.isEmpty():
-        held = index.where("rows > 0").where(ci.one_of(_period(F.col("record_day"), scope), starts))
-        stored = stored.where(ci.one_of(F.col(DAY), ci.distinct_days(held, DAY)))
-    rows = stored.where(ci.one_of(_period(F.col("ts"), scope), starts))
+        held = ci.distinct_days(index.where("rows > 0").where(ci.one_of(_period(F.col("record_day"), scope), starts)), DAY)
+    rows = read_history(spark, root, "consolidated", index, held).where(ci.one_of(_period(F.col("ts"), scope), starts))
     dated = sorted(_days_of(starts - {None}, scope))
     if dated and None not in starts:  # also as a range, which prunes row groups of the ordered files
         rows = rows.where((F.col("ts") >= F.lit(dated[0])) & (F.col("ts") < F.date_add(F.lit(dated[-1]), 1)))
@@ -164,16 +163,15 @@ def _note(spark: SparkSession, root: str, scope: str, starts: set[date | None],
     """Writes the manifest of the periods just built; a period with no rows left leaves it."""
     names = {_name(s) for s in starts}
     built_from = {r["period"]: r["entries"] for r in entries.where(F.col("period").isin(*names)).collect()}
+    owned = []
     for tier, counts in filed.items():
-        owned = []
-        for day, n in counts.items():
-            period = _name(ci.period_start(day, scope))
-            owned.append((period, day, n, built_from.get(period, 0)))
+        own = [(tier, _name(ci.period_start(d, scope)), d, n) for d, n in counts.items()]
         # a period with records but no rows (responses alone) is built as well
-        owned += [(p, None, 0, n) for p, n in built_from.items() if p not in {o[0] for o in owned}]
-        ci.write_manifest(spark, root, tier, GRAINS[scope], owned)
-        for gone in names - {o[0] for o in owned}:
+        own += [(tier, p, None, 0) for p in sorted(set(built_from) - {o[1] for o in own})]
+        owned += [(*o, built_from.get(o[1], 0)) for o in own]
+        for gone in names - {o[1] for o in own}:
             ci.remove(spark, f"{ci.manifest_path(root)}/tier={tier}/grain={GRAINS[scope]}/period={gone}")
+    ci.write_manifest(spark, root, GRAINS[scope], owned)
 
 
 def stale_periods(spark: SparkSession, root: str, tier: str = "sessions", scope: str = "day", index: DataFrame | None = None) -> DataFrame:
@@ -215,14 +213,15 @@ def compact_months(spark: SparkSession, root: str, months: Days | None = None) -
     _note(spark, root, "month", starts, ci.records_by_period(index, "month", DAY), {"consolidated": filed})
 
 
-def read_history(spark: SparkSession, root: str, tier: str, index: DataFrame | None = None) -> DataFrame:
-    """A tier over all time, each row once: a month where it is complete, days elsewhere.
+def read_history(spark: SparkSession, root: str, tier: str, index: DataFrame | None = None, days: Days | None = None) -> DataFrame:
+    """A tier over all time (or of some days), each row once: a month where it is complete, days elsewhere.
 
     A month is complete if it was built from the records that the index names now.  In any other month
     a day that is there counts, as it is newer, and the month stands in for the days that are not.
     """
     paths = {s: grain_path(root, tier, s) for s in GRAINS}
-    there = {s: ci.days_in(spark, p) for s, p in paths.items()}
+    wanted = None if days is None else set(days)
+    there = {s: [d for d in ci.days_in(spark, p) if wanted is None or d in wanted] for s, p in paths.items()}
     stale = {r["period"] for r in stale_periods(spark, root, tier, "month", index).collect()} if there["month"] else set()
     built = {r["period"] for r in ci.read_manifest(spark, root, tier, GRAINS["month"]).select("period").distinct().collect()} if there["month"] else set()
     whole = lambda d: _name(ci.period_start(d, "month")) in built - stale
@@ -230,9 +229,9 @@ def read_history(spark: SparkSession, root: str, tier: str, index: DataFrame | N
         "day": [d for d in there["day"] if not whole(d)],
         "month": [d for d in there["month"] if whole(d) or d not in set(there["day"])],
     }
-    parts = [spark.read.parquet(paths[s]).where(ci.one_of(F.col(DAY), days)) for s, days in chosen.items() if days]
-    if not parts:
-        return spark.read.parquet(paths["day"])
+    parts = [spark.read.parquet(paths[s]).where(ci.one_of(F.col(DAY), own)) for s, own in chosen.items() if own]
+    if not parts:  # the columns of whichever grain there is
+        return next(spark.read.parquet(p) for p in paths.values() if ci.days_in(spark, p)).where("false")
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
@@ -284,7 +283,7 @@ def _publish(spark: SparkSession, changed: DataFrame, aside: str, root: str | No
                 entered.append((f"{target}/{part}", None, 0, 0, row["log_day"] and date.fromisoformat(row["log_day"])))
         ci.remove(spark, row["path"])
     if root:
-        ci.write_index(spark.createDataFrame(entered, f"path string, record_day date, rows bigint, bad_rows bigint, {DAY} date"), root, f"scrub-{aside[-32:]}")
+        ci.write_index(ci.local_rows(spark, entered, f"path string, record_day date, rows bigint, bad_rows bigint, {DAY} date"), root, f"scrub-{aside[-32:]}")
 
 
 def scrub_history(spark: SparkSession, root: str, today: str, dry_run: bool = False, raw_root: str | None = None) -> DataFrame:
@@ -320,7 +319,7 @@ def scrub_history(spark: SparkSession, root: str, today: str, dry_run: bool = Fa
         path = grain_path(root, "consolidated", scope)
         here = sorted(set(dirty) & set(ci.days_in(spark, path)), key=str)
         if here:
-            rewrite_in_place(spark, path, clean, only=spark.createDataFrame([(d,) for d in here], f"{DAY} date"))
+            rewrite_in_place(spark, path, clean, only=ci.local_rows(spark, [(d,) for d in here], f"{DAY} date"))
     for scope in GRAINS:
         if _stored(spark, grain_path(root, "sessions", scope)):
             rebuild(spark, root, scope, periods)

@@ -17,10 +17,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 DAY = "log_date"
 INDEX_SCHEMA = f"path string, record_day date, rows bigint, bad_rows bigint, {DAY} date, writer string"
@@ -92,11 +94,18 @@ def distinct_days(df: DataFrame, column: str) -> list[date | None]:
     return sorted((r[0] for r in df.select(column).distinct().collect()), key=lambda d: (d is None, d or date.min))
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of our own as a frame, without Python workers."""
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields))
+
+
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:  # nothing there yet
-        return spark.createDataFrame([], schema)
+        return local_rows(spark, [], schema)
 
 
 # ---- the chunk index ---------------------------------------------------------
@@ -150,9 +159,9 @@ def read_manifest(spark: SparkSession, root: str, tier: str, grain: str) -> Data
     return stored.where((F.col("tier") == tier) & (F.col("grain") == grain))
 
 
-def write_manifest(spark: SparkSession, root: str, tier: str, grain: str, owned: list[tuple[str, date | None, int, int]]) -> None:
-    """Replaces the entries (period, filed, rows, entries) of the periods that were built."""
+def write_manifest(spark: SparkSession, root: str, grain: str, owned: list[tuple[str, str, date | None, int, int]]) -> None:
+    """Replaces the entries (tier, period, filed, rows, entries) of the periods that were built."""
     if owned:
-        rows = [(filed, n, entries, tier, grain, period) for period, filed, n, entries in owned]
-        frame = spark.createDataFrame(rows, T.StructType.fromDDL(MANIFEST_SCHEMA)).coalesce(1)
+        rows = [(filed, n, entries, tier, grain, period) for tier, period, filed, n, entries in owned]
+        frame = local_rows(spark, rows, MANIFEST_SCHEMA).coalesce(1)
         frame.write.mode("overwrite").options(**DYNAMIC).partitionBy("tier", "grain", "period").parquet(manifest_path(root))

@@ -11,7 +11,10 @@ from logloom.functions.scrub import scrub_text
 from logloom.operators.capture import prompt_hash
 from logloom.operators.flatten import flatten_entries
 from logloom.operators.stats import balance_columns, count_by_type
-from logloom.sources.raw import split_malformed, with_chunk_name
+from logloom.schemas import WIDE_COLUMNS
+from logloom.sources import chunk_index as ci
+from logloom.sources.raw import is_document, split_malformed, with_chunk_name
+from logloom.sources.tiers import DAY, grain_path
 
 # Fixed values of the log writers: flush interval and upstream budget.
 FLUSH = "60 seconds"
@@ -45,10 +48,11 @@ def append_chunks(stream: DataFrame, path: str, checkpoint: str, every: str | No
 
 
 def stream_consolidate(spark: SparkSession, source: str, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Raw chunks to the consolidated tier, continuously, partitioned by day.
+    """Raw chunks to a consolidated table of its own, continuously, partitioned by record day.
 
     A broken line is left out here, as the batch form does; `stream_quarantine`
-    keeps it with its chunk.
+    keeps it with its chunk.  The sink keeps a log of its files and hides all others, so this
+    table is the stream's alone; `stream_to_lake` shares the tier of the batch jobs.
     """
     good, _ = split_malformed(raw_stream(spark, source))
     wide = entry_stream(good).withColumn("log_date", F.to_date("ts"))
@@ -58,6 +62,61 @@ def stream_consolidate(spark: SparkSession, source: str, target: str, checkpoint
     return writer.start(target)
 
 
+def stream_to_lake(
+    spark: SparkSession, source: str, root: str, checkpoint: str, name: str = "live", every: str | None = None,
+    files_per_batch: int | None = None,
+) -> StreamingQuery:
+    """Raw chunks to the lake's consolidated tier, continuously, beside the batch jobs.
+
+    Rows are filed by chunk day, as `plans.jobs.consolidate` files them.  The chunk index is the ledger:
+    a chunk that a batch job or an earlier batch of the stream has brought adds nothing, and a batch
+    run that replaces a day takes over what the stream has written of it.  A repeated batch finds
+    its own files by their names and replaces them.  Broken lines are counted in the index;
+    `stream_quarantine` keeps them.  Turns and sessions follow by `plans.jobs.rebuild_pending`, which
+    sees in the index which periods have new records.  A stream and a batch job run one at a time.
+    """
+    reader = spark.readStream.option("recursiveFileLookup", "true")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    lines = with_chunk_name(reader.text(source).where(F.trim("value") != "")).withColumnRenamed("log_day", DAY)
+
+    def add(batch: DataFrame, number: int) -> None:
+        add_chunks(batch, root, f"stream-{name}-{number}")
+
+    writer = lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def add_chunks(lines: DataFrame, root: str, writer: str) -> None:
+    """Adds the lines (entry, path, log_date) of chunks that the lake does not hold yet, as files of `writer`.
+
+    The rows are complete, aside, before the first file is published; files left by an earlier
+    attempt of the same writer go first, and the index is written last.
+    """
+    spark = lines.sparkSession
+    there = ci.read_index(spark, root).where(F.col("writer") != writer).select("path").distinct()
+    fresh = lines.join(there, "path", "left_anti").withColumn("__good", is_document(F.col("entry")))
+    aside = f"{root.rstrip('/')}/incoming/{writer}"
+    parsed = flatten_entries(fresh.select("entry", "path", DAY, "__good")).select(*WIDE_COLUMNS, "path", "__good", DAY)
+    parsed.write.mode("overwrite").parquet(f"{aside}/parsed")
+    stored = spark.read.parquet(f"{aside}/parsed")
+    good = stored.where("__good").select(*WIDE_COLUMNS, DAY)
+    good.repartition(DAY).sortWithinPartitions(DAY, "ts").write.mode("overwrite").option("compression", "zstd").partitionBy(DAY).parquet(f"{aside}/files")
+    tier = grain_path(root, "consolidated", "day")
+    for day in ci.distinct_days(lines, DAY):
+        folder, here = ci.folder_of(day), f"{aside}/files/{ci.folder_of(day)}"
+        for old in ci.names_in(spark, f"{tier}/{folder}"):
+            if old.startswith(f"{writer}-"):
+                ci.remove(spark, f"{tier}/{folder}/{old}")
+        parts = [n for n in ci.names_in(spark, here) if n.endswith(".parquet")]
+        for i, part in enumerate(parts):
+            ci.move(spark, f"{here}/{part}", f"{tier}/{folder}/{writer}-{i}.parquet")
+    spark.catalog.refreshByPath(tier)
+    ci.write_index(ci.index_rows(stored, F.col("__good")), root, writer)
+    ci.remove(spark, aside)
+
+
 def stream_quarantine(spark: SparkSession, source: str, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """The broken lines of raw chunks, with the chunk they came from."""
     lines = spark.readStream.option("recursiveFileLookup", "true").text(source).where(F.trim("value") != "")
