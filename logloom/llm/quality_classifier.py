@@ -1,6 +1,6 @@
 """Quality classifier: learned hashed word and character n-gram vectors, averaged per document.
 
-A word of a text, put between angle brackets, has one feature for itself and one for each of
+A word of a text, with a blank on either side, has one feature for itself and one for each of
 its byte n-grams of ``GRAMS`` lengths; every two neighbouring words have one more (a word that
 follows itself has the same one whatever the word).  A feature hashes to one of ``SLOTS`` vectors.
 A document is the mean of the vectors of all its features, repeats included; a softmax layer over
@@ -13,7 +13,7 @@ hashed ids among the labelled rows that have a text of at most ``SAMPLE_BYTES``
 it is held back; training keeps the state with the least loss there.
 
 Scoring reads every whole text, block by block.  The softmax needs only the difference of the two
-outputs, so each slot is one number on the workers, and a word's sum is remembered up to a bound.
+outputs, so each slot is one number on the workers, and a block is a look-up of all its features at once.
 
 Cases: null and empty texts, and texts of blanks, have no features and get the labels' odds
 as score; rows with a null id or another label are not learned from; a labelled row without a
@@ -29,7 +29,6 @@ import pickle
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -38,7 +37,8 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import table
 
-SLOTS = 1 << 17
+SLOT_BITS = 17
+SLOTS = 1 << SLOT_BITS
 SIZE = 8
 GRAMS = (3, 4)
 SAMPLE_PER_LABEL = 1_500
@@ -49,58 +49,75 @@ RATE = 200.0  # of the vectors: a slot is a small share of a text, and so is its
 OUTPUT_RATE = 0.5
 HELD_SHARE = 5  # one in so many sampled rows is held back
 PATIENCE = 3
-BLOCK = 1 << 20  # bytes of a text that are split into words at a time
-REMEMBERED = 150_000
+BLOCK = 1 << 18  # bytes of a text whose features are held at a time
 
 REPEAT = 0  # slot of a word that follows itself
 
 _BLANK = re.compile(rb"[\x09-\x0D\x20]")
+_SPACES = bytes(32 if 9 <= c <= 13 else c for c in range(256))
+_ODD = np.uint64(0x9E3779B97F4A7C15)  # multiplier of the hashes; odd, so it has an inverse
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
-def word_slots(word: bytes) -> list[int]:
-    """The slots of a word: itself first, then its n-grams in order, repeats included."""
-    framed = b"<" + word + b">"
-    slots = [crc32(framed) % SLOTS]
-    for n in GRAMS:
-        slots += [crc32(framed[i : i + n], n) % SLOTS for i in range(len(framed) - n + 1)]
-    return slots
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier and of its inverse."""
+    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, x)]), dtype=np.uint64) for x in (_ODD, _INVERSE))
+
 
+def _slot(x: np.ndarray) -> np.ndarray:
+    mixed = x * _ODD
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * _ODD
+    return (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
 
-def pair_slots(words: list[bytes]) -> np.ndarray:
-    """The slot of every word with its successor; all words that repeat themselves share one."""
-    hashes = np.fromiter(map(crc32, words), np.uint64, len(words))
-    first, second = hashes[:-1], hashes[1:]
-    mixed = (first * np.uint64(2654435761) + second * np.uint64(40503)) >> np.uint64(7)
-    return np.where(first == second, np.uint64(REPEAT), mixed % np.uint64(SLOTS)).astype(np.int64)
 
+def block_slots(words: bytes, before: np.uint64 | None) -> tuple[np.ndarray, np.uint64 | None]:
+    """The slots of all features of some words, and the hash of the last; `before` is that of the word ahead.
 
-def word_blocks(text: str, size: int = BLOCK) -> Iterator[list[bytes]]:
-    """The words of a text in order, in lists of about `size` bytes."""
-    data, start = text.encode("utf-8", "surrogatepass"), 0
+    All words at once: a word's hash is a difference of running sums, an n-gram is a number.
+    """
+    line = np.frombuffer(b" " + words.translate(_SPACES) + b" ", np.uint8)
+    inner = line != 32
+    edges = np.flatnonzero(inner[1:] != inner[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, np.int32), before
+    n = 1 << (len(line) - 1).bit_length()  # few sizes, so that the powers are kept
+    up, down = (p[: len(line)] for p in _powers(n))
+    running = np.concatenate([[np.uint64(0)], np.cumsum((line.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)])
+    hashes = (running[ends] - running[starts]) * down[starts]
+    found = [_slot(hashes + np.uint64(1))]
+    wide = line.astype(np.uint64)
+    for size in GRAMS:
+        whole = inner[1 : len(line) - size + 2].copy()  # only the first and the last byte may be a word's edge
+        for j in range(2, size - 1):
+            whole &= inner[j : len(line) - size + 1 + j]
+        at = np.flatnonzero(whole)
+        code = np.full(len(at), size, np.uint64)
+        for j in range(size):
+            code = code << np.uint64(8) | wide[at + j]
+        found.append(_slot(code))
+    chain = hashes if before is None else np.concatenate([[before], hashes])
+    first, second = chain[:-1], chain[1:]
+    found.append(np.where(first == second, REPEAT, _slot(first * np.uint64(3) + second)).astype(np.int32))
+    return np.concatenate(found), hashes[-1]
+
+
+def text_slots(text: str, size: int = 0) -> Iterator[np.ndarray]:
+    """The slots of all features of a text, in parts of about `size` (BLOCK) bytes of it, cut at blanks."""
+    data, start, before = text.encode("utf-8", "surrogatepass"), 0, None
     while start < len(data):
-        cut = _BLANK.search(data, start + size)
+        cut = _BLANK.search(data, start + (size or BLOCK))
         end = cut.start() if cut else len(data)
-        yield data[start:end].split()
+        slots, before = block_slots(data[start:end], before)
+        yield slots
         start = end
 
 
-class Features:
-    """Slots of texts as (slots, shares): distinct slots and how much of the text's features each is."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, list[int]] = {}
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        slots: list[int] = []
-        for words in word_blocks(text):
-            for w in words:
-                own = self.known.get(w)
-                if own is None:
-                    own = self.known[w] = word_slots(w)
-                slots += own
-            slots += pair_slots(words).tolist()
-        found, counts = np.unique(np.array(slots, np.int32), return_counts=True)
-        return found, (counts / max(len(slots), 1)).astype(np.float32)
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots of a text and how much of its features each is."""
+    found, counts = np.unique(np.concatenate([np.zeros(0, np.int32), *text_slots(text)]), return_counts=True)
+    return found, (counts / max(counts.sum(), 1)).astype(np.float32)
 
 
 class Model:
@@ -114,8 +131,9 @@ class Model:
         self.shift = 0.0
         self.fixed: float | None = None  # the score of every text, where nothing could be learned
 
-    def mean(self, features: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        return features[1] @ self.vectors[features[0]]
+    def mean(self, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Of the features of a text, as `features` gives them."""
+        return own[1] @ self.vectors[own[0]]
 
     def margins(self) -> np.ndarray:
         """What one feature of each slot adds to the difference of the two outputs."""
@@ -155,8 +173,7 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 11) ->
     if len(set(labels)) < 2:
         model.fixed = share
         return model
-    reader = Features()
-    features = [reader.of(t) for t in texts]
+    sample = [features(t) for t in texts]
     rng = np.random.default_rng(seed)
     held = np.zeros(len(y), bool)
     for c in (0, 1):
@@ -164,14 +181,14 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 11) ->
         held[own[: len(own) // HELD_SHARE]] = True
     check = np.flatnonzero(held) if len(set(y[held])) == 2 else np.arange(len(y))
     fit = [np.flatnonzero((y == c) & ~held) for c in (0, 1)]
-    watched = [features[i] for i in check]
+    watched = [sample[i] for i in check]
     best, state, stale = np.inf, None, 0
     steps = max(sum(map(len, fit)) // BATCH, 20)
     for epoch in range(EPOCHS):
         decay = 1 - epoch / EPOCHS
         for _ in range(steps):
             pick = np.concatenate([rng.choice(own, BATCH // 2) for own in fit])
-            (touched, grown), output, bias = gradients(model, [features[i] for i in pick], y[pick])
+            (touched, grown), output, bias = gradients(model, [sample[i] for i in pick], y[pick])
             model.vectors[touched] -= RATE * decay * grown
             model.output -= (OUTPUT_RATE * decay * output).astype(np.float32)
             model.bias -= (OUTPUT_RATE * decay * bias).astype(np.float32)
@@ -203,30 +220,19 @@ def best_cut(margins: np.ndarray, labels: np.ndarray, share: float) -> float:
 
 
 class Scorer:
-    """One number per slot, and the remembered words."""
-
-    def __init__(self, margins: np.ndarray, constant: float, fixed: float | None, bound: int = REMEMBERED):
-        self.margins, self.constant, self.fixed, self.bound = margins, constant, fixed, bound
-        self.known: dict[bytes, complex] = {}
+    """One number per slot; a text is the mean of its features' numbers."""
 
-    def _word(self, word: bytes) -> complex:
-        slots = word_slots(word)
-        return complex(float(self.margins[slots].sum()), len(slots))
+    def __init__(self, margins: np.ndarray, constant: float, fixed: float | None):
+        self.margins, self.constant, self.fixed = margins, constant, fixed
 
     def score(self, text: str) -> float:
         if self.fixed is not None:
             return self.fixed
-        known, total = self.known, 0j  # real: margins, imaginary: features
-        for words in word_blocks(text):
-            if len(known) > self.bound:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = self._word(w)
-            total = sum(map(known.__getitem__, words), total)
-            if len(words) > 1:
-                total += complex(float(self.margins[pair_slots(words)].sum()), len(words) - 1)
-        margin = total.real / total.imag if total.imag else 0.0
+        total, n = 0.0, 0
+        for slots in text_slots(text):
+            total += float(self.margins[slots].sum())
+            n += len(slots)
+        margin = total / n if n else 0.0
         return float(1 / (1 + np.exp(-np.clip(margin + self.constant, -500, 500))))
 
 

@@ -10,20 +10,20 @@ from pyspark.sql import functions as F
 SF = "/root/testdata/sf0.1"
 
 
-def plain_score(model, text):
-    """Mean of all features' vectors, one by one, and the softmax over it."""
+def plain_features(text):
+    """Every feature as a pair of its kind and what it stands for, word by word."""
     words = text.encode().split()
-    slots = [s for w in words for s in q.word_slots(w)]
-    if len(words) > 1:
-        slots += q.pair_slots(words).tolist()
-    mean = np.mean([model.vectors[s] for s in slots], axis=0) if slots else np.zeros(q.SIZE)
-    logits = mean @ model.output + model.bias + np.array([0, model.shift])
-    return float(q.softmax(logits)[1])
+    out = [("word", w) for w in words]
+    out += [(n, framed[i : i + n]) for n in q.GRAMS for w in words for framed in [b" " + w + b" "] for i in range(len(framed) - n + 1)]
+    return out + [("repeat", b"") if a == b else ("pair", (a, b)) for a, b in zip(words, words[1:])]
+
+
+TEXTS = ["", "  \n", "word", "a", "w w w x", "é ü\tß\x0bz", "a b " * 400, "+++ --- !!", "x" * 900 + " y", " lead and trail "]
 
 
 def test_gradients_follow_the_loss():
-    model, reader = q.Model(3), q.Features()
-    batch = [reader.of(x) for x in ("a b c d e", "one", "", "the the quick brown fox", "b c")]
+    model = q.Model(3)
+    batch = [q.features(x) for x in ("a b c d e", "one", "", "the the quick brown fox", "b c")]
     labels = np.array([1, 0, 1, 0, 1])
 
     def mean_loss():
@@ -39,21 +39,33 @@ def test_gradients_follow_the_loss():
     assert before - mean_loss() == pytest.approx(step * squared, rel=0.05)
 
 
-def test_scores_equal_the_plain_average(monkeypatch):
+def test_features_stand_for_what_they_should():
+    """Equal features share a slot, wherever they are; as many as there are; few others collide."""
+    slot_of, used = {}, {}
+    rng = np.random.default_rng(0)
+    many = [" ".join("".join(rng.choice(list("abcé"), rng.integers(1, 9))) for _ in range(60)) for _ in range(5)]
+    for text in [*TEXTS, *many]:
+        want = plain_features(text)
+        got = np.concatenate([np.zeros(0, int), *q.text_slots(text)]).tolist()
+        assert len(got) == len(want)
+        if len(text.encode()) < q.BLOCK:
+            for feature, slot in zip(want, got):
+                assert slot_of.setdefault(feature, slot) == slot, feature
+                used.setdefault(slot, set()).add(feature)
+    assert slot_of["repeat", b""] == q.REPEAT
+    assert sum(len(f) - 1 for f in used.values()) <= 3 + len(slot_of) ** 2 // q.SLOTS
+
+
+def test_parts_give_the_same_features_and_scores(monkeypatch):
     model = q.Model(5)
     model.shift = 0.3
-    texts = ["", "  \n", "word", "w w w x", "é ü\tß\x0bz", "a b " * 400, "+++ --- !!"]
     scorer = q.scorer_of(model)
-    assert [scorer.score(t) for t in texts] == pytest.approx([plain_score(model, t) for t in texts], abs=1e-6)
-    small = q.Scorer(model.margins(), scorer.constant, None, bound=1)  # forgets all the time
-    assert [small.score(t) for t in texts] == pytest.approx([scorer.score(t) for t in texts])
-
-
-def test_blocks_hold_every_word_once():
-    rng = np.random.default_rng(0)
-    text = " ".join("x" * int(n) for n in rng.integers(1, 40, 500))
-    for size in (1, 7, 100, 10**6):
-        assert [w for block in q.word_blocks(text, size) for w in block] == text.encode().split()
+    for text in TEXTS:
+        whole = sorted(np.concatenate([np.zeros(0, int), *q.text_slots(text)]).tolist())
+        for size in (1, 7, 100):
+            assert sorted(np.concatenate([np.zeros(0, int), *q.text_slots(text, size)]).tolist()) == whole
+        logits = model.mean(q.features(text)) @ model.output + model.bias + np.array([0, model.shift])
+        assert scorer.score(text) == pytest.approx(float(q.softmax(logits)[1]), abs=1e-5)
 
 
 def docs_and_labels(spark, rows):
