@@ -43,8 +43,8 @@ TEXT_RULES = (
 EMBEDDED_JSON_KEYS = ("arguments", "content")
 
 # Every pattern and every sensitive key holds one of these words, so text with
-# none of them needs no regular expression.
-HINTS = ("secret", "key", "passw", "token", "bearer", "aws", "authorization")
+# none of them needs no regular expression.  The long s counts as an s in the patterns.
+HINTS = ("secret", "key", "passw", "token", "bearer", "aws", "authorization", "\u017f")
 
 
 # Blanks as Python's patterns see them; the JVM's Unicode class lacks the four separators.
@@ -158,12 +158,28 @@ def _scrub_documents(docs: pd.Series) -> pd.Series:
     return docs.map(scrub_document, na_action="ignore")
 
 
+# White space inside a document, as itself or in JSON escapes of any nesting.
+_GAP = rf"(?:[{_JVM_BLANK}]|\\+(?:[nrtfb]|u[0-9a-fA-F]{{4}}))"
+_KEY_VALUE_KEYS = KEY_VALUE_PATTERN.split("(?:", 1)[1].split(")", 1)[0]
+# Where a rule can apply to a document as it is written: a sensitive name between quotes before a
+# colon; a name of the key/value rule before a colon or equals sign; the SQL and bearer forms; or
+# an escape that spells a character of a rule (ASCII, and the two letters that fold to k and s).
+SECRET_GATE = "(?iU)" + "|".join((
+    rf'"(?:{SENSITIVE_KEYS})\\*"{_GAP}*:',
+    rf"""(?:{_KEY_VALUE_KEYS})[\\"']*{_GAP}*[:=]""",
+    rf"""(?:KEY_ID|SECRET){_GAP}+'""",
+    rf"Bearer{_GAP}+[A-Za-z0-9._\-]",
+    r"\\u(?:00[2-7][0-9a-f]|017f|212a)",
+))
+
+
 def may_hold_secret(c: Column) -> Column:
-    """Cheap native test; false only where no rule can apply.
+    """Native test of a document, false only where no rule can apply.
 
-    A key may be spelled with JSON escapes, so any backslash-u sequence counts.
+    Substring tests come first; only text that holds one of the words meets the pattern.  A count
+    like `"tokens": 5` holds a word and is no secret, and passes here.
     """
-    return _hinted(c) | c.contains("\\u")
+    return (_hinted(c) | c.contains("\\u")) & c.rlike(SECRET_GATE)
 
 
 def scrub_json(c: Column) -> Column:

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from logloom import fixtures as fx
 from logloom.functions.scrub import scrub_json
+from logloom.operators.ordering import position
 from logloom.plans import jobs, lifecycle
 from logloom.registry.base import LOG, ntz, query, turn_ctes, with_ctes, written_once
 from logloom.registry.metrics import _COUNTERS
 from logloom.registry.scoring import GRADES, QUESTIONS
 from logloom.session import shared_dir
-from logloom.sources import bench, providers, raw, tiers
+from logloom.sources import bench, chunk_index, providers, raw, tiers
+from logloom.streaming import streams
 
 # Lines as flushed: those of the last hour of a day are in a chunk of the next
 # day, and some lines have a copy without a readable time.
@@ -169,6 +171,133 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select(F.date_format("log_date", "yyyy-MM-dd").alias("day"), "rows_scanned", "rows_changed").crossJoin(residual)
 
 
+# One chunk of this day is withdrawn: the day is delivered again without it.
+REPLACED_DAY, WITHDRAWN_HOUR = "2024-01-10", "05"
+KEPT = f"NOT (log_day = '{REPLACED_DAY}' AND hour = '{WITHDRAWN_HOUR}')"
+KEPT_LINES = f"log_lines AS (SELECT * FROM all_lines WHERE NOT (day = '{REPLACED_DAY}' AND strftime(ts, '%H') = '{WITHDRAWN_HOUR}'))"
+
+
+def _redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = raw.read_raw(spark, _chunks(spark, sf_dir)).where(F.col("log_day") == REPLACED_DAY)
+    return lines.where(F.col("log_hour") != int(WITHDRAWN_HOUR))
+
+
+@query(
+    "rebuild_after_late",
+    with_ctes(
+        f"all_lines AS ({fx.LOG_LINES})", KEPT_LINES, *turn_ctes("month")[1:],
+        body="SELECT session_key, strftime(min(request_ts), '%Y-%m-%d') AS day, count(*) AS turns FROM turns GROUP BY session_key, period",
+    ),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months built from the later half first: then the earlier half comes, and one day loses a chunk.
+
+    Every session moves to its earlier start and none is doubled.
+    """
+    root = shared_dir(spark, "late-lake")
+    lines = raw.read_raw(spark, _chunks(spark, sf_dir))
+    for part in (F.col("log_day") >= SPLIT_DAY, F.col("log_day") < SPLIT_DAY):
+        jobs.consolidate(spark, lines.where(part), root)
+        jobs.rebuild_pending(spark, root, "month")
+    jobs.consolidate(spark, _redelivered(spark, sf_dir), root)
+    jobs.rebuild_pending(spark, root, "month")
+    sessions = tiers.read_tier(spark, root, "session-rollup", "monthly")
+    return sessions.select("session_key", F.date_format("log_date", "yyyy-MM-dd").alias("day"), "turns")
+
+
+def _stream_lake(spark: SparkSession, sf_dir: str) -> str:
+    """A lake that a stream and batch runs have filled by turns; nothing is rebuilt after the stream."""
+
+    def write(root: str) -> None:
+        source, checkpoint = _chunks(spark, sf_dir), shared_dir(spark, "lake-stream")
+        lines = raw.read_raw(spark, source)
+        jobs.consolidate(spark, lines.where(F.col("log_day") >= SPLIT_DAY), root)
+        # the days the batch has brought add nothing, nor does a second stream that begins anew
+        for name in ("live", "again"):
+            streams.stream_to_lake(spark, source, root, f"{checkpoint}/{name}", name).awaitTermination()
+
+    return written_once(spark, sf_dir, "stream-lake", write)
+
+
+@query(
+    "stream_then_batch",
+    with_ctes(LOG, FLUSH_CTE, body="SELECT log_day AS day, ts, type, request_id, entry FROM flushed"),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tier = tiers.read_tier(spark, _stream_lake(spark, sf_dir), "consolidated")
+    return ntz(tier.select(F.date_format("log_date", "yyyy-MM-dd").alias("day"), "ts", "type", "request_id", "entry"), "ts")
+
+
+@query(
+    "pending_periods",
+    with_ctes(
+        LOG, FLUSH_CTE,
+        "f AS (SELECT coalesce(strftime(ts, '%Y-%m-%d'), 'undated') AS period, log_day FROM flushed)",
+        f"""b AS (SELECT period, count(*) AS built_from FROM f WHERE log_day >= '{SPLIT_DAY}' GROUP BY period)""",
+        body="""SELECT period, count(*) AS entries, any_value(b.built_from) AS built_from FROM f LEFT JOIN b USING (period) GROUP BY period
+          HAVING count(*) IS DISTINCT FROM any_value(b.built_from)""",
+    ),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record days whose records the stream has added to: told from the chunk index and the manifest alone."""
+    return jobs.stale_periods(spark, _stream_lake(spark, sf_dir))
+
+
+@query(
+    "chunk_index",
+    with_ctes(
+        LOG, FLUSH_CTE,
+        body="SELECT log_day AS day, strftime(ts, '%Y-%m-%d') AS record_day, count(*) AS rows, count(DISTINCT hour) AS chunks FROM flushed GROUP BY 1, 2",
+    ),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which record days the chunks of a day hold, from the lake's own index."""
+    index = chunk_index.read_index(spark, _lake(spark, sf_dir)).where("rows > 0")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    chunk = F.regexp_extract("path", "chunk=([^/]+)", 1)
+    return index.groupBy(day("log_date").alias("day"), day("record_day").alias("record_day")).agg(F.sum("rows").alias("rows"), F.count_distinct(chunk).alias("chunks"))
+
+
+@query(
+    "read_history",
+    with_ctes(LOG, FLUSH_CTE, body=f"SELECT log_day AS day, ts, type, request_id, entry FROM flushed WHERE {KEPT}"),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months stand in for the days that the plan of superseded files names; a day delivered again counts beside its month."""
+    root = shared_dir(spark, "month-lake")
+    jobs.consolidate(spark, raw.read_raw(spark, _chunks(spark, sf_dir)), root)
+    jobs.compact_months(spark, root)
+    listing = lifecycle.relative_to(providers.list_objects(spark, root), root)
+    for tier, day in lifecycle.plan_superseded(listing).collect():  # days of the calendar
+        chunk_index.remove(spark, f"{root}/{tier}/daily/log_date={day}")
+    jobs.consolidate(spark, _redelivered(spark, sf_dir), root)
+    rows = jobs.read_history(spark, root, "consolidated")
+    return ntz(rows.select(F.date_format("log_date", "yyyy-MM-dd").alias("day"), "ts", "type", "request_id", "entry"), "ts")
+
+
+def _redacted(column: str) -> str:
+    return f"regexp_replace(regexp_replace({_leaky(column)}, 'password=hush[0-9]*', 'password=[REDACTED]'), '(token.: )hush', '\\1[REDACTED]')"
+
+
+@query(
+    "scrub_raw",
+    with_ctes(LOG, FLUSH_CTE, body=f"SELECT log_day AS day, cast(hour AS int) AS hour, {_redacted('entry')} AS entry, 0::BIGINT AS residual FROM flushed"),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw chunks with credentials, swapped in place: every line is there once, clean, below its day and hour."""
+    root, source = shared_dir(spark, "scrubbed-lake"), shared_dir(spark, "scrubbed-raw")
+    lines = _flushed(spark, sf_dir)
+    for clean, leak in LEAKS:
+        lines = lines.withColumn("entry", F.replace("entry", F.lit(clean), F.lit(leak)))
+    _write_chunks(lines, source)
+    jobs.consolidate(spark, raw.read_raw(spark, source), root)
+    jobs.scrub_history(spark, root, "2030-01-01", raw_root=source)
+    left = jobs.verify_lake(spark, root, source).agg(F.coalesce(F.sum("residual_rows"), F.lit(0)).alias("n")).first()[0]
+    return raw.read_raw(spark, source).select(
+        F.date_format("log_day", "yyyy-MM-dd").alias("day"), F.col("log_hour").alias("hour"), "entry", F.lit(left).cast("long").alias("residual")
+    )
+
+
 @query(
     "rewrite_jsonl_lines",
     with_ctes(
@@ -189,13 +318,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = shared_dir(spark, "rewritten-chunks")
     tiers.rewrite_jsonl(spark, lines, scrub_json, out)
-    # line numbers need the parts of a chunk in their order
-    back = raw.read_raw(spark, out).withColumn("part", F.regexp_extract("path", r"part-(\d+)", 1))
-    placed = F.sort_array(F.collect_list(F.struct("part", "position", "entry"))).alias("lines")
-    chunks = back.groupBy(F.date_format("log_day", "yyyy-MM-dd").alias("log_day"), "log_hour").agg(placed)
-    return chunks.select("log_day", "log_hour", F.posexplode("lines").alias("at", "x")).select(
-        "log_day", "log_hour", (F.col("at") + 1).cast("long").alias("line"), "x.entry"
-    )
+    # the parts of a chunk follow each other, and so do the rows of a part
+    back = raw.read_raw(spark, out).withColumn("part", F.regexp_extract("path", r"part-(\d+)", 1).cast("long"))
+    keyed = back.select(F.date_format("log_day", "yyyy-MM-dd").alias("log_day"), "log_hour", "part", "position", "entry")
+    order = [F.col("part").asc(), F.col("position").asc()]
+    return position(keyed, ["log_day", "log_hour"], order, F.col("part"), "line").select("log_day", "log_hour", "line", "entry")
 
 
 # ---- benchmark and provider files ------------------------------------------
@@ -206,23 +333,34 @@ def _files(spark: SparkSession, sf_dir: str, label: str, lines: DataFrame, *by:
     return written_once(spark, sf_dir, label, lambda path: lines.repartitionByRange(*(by or ("value",))).write.partitionBy(*by).text(path))
 
 
+def _rename(spark: SparkSession, root: str, ending: str) -> None:
+    """Folders `key=<name>` that a partitioned write has made become `<name><ending>`; there are as many as keys."""
+    for name in chunk_index.names_in(spark, root):
+        if "=" in name:
+            chunk_index.move(spark, f"{root}/{name}", f"{root}/{name.split('=', 1)[1]}{ending}")
+
+
 TRIALS = """SELECT cast(event_id % 30 AS int) AS trial, concat('q', cast(event_id % 5 + 1 AS varchar(20))) AS question, event_type AS model, value AS elapsed_s,
   CASE WHEN value < 4 THEN concat('request timed out after ', cast(event_id AS varchar(20)), 'ms') ELSE NULL END AS error,
   cast(event_id AS int) AS answer_len FROM events """
 
 
-@query("read_trials", TRIALS)
+APP_TRIALS = TRIALS.replace("SELECT cast", "SELECT concat('app', cast(user_id % 7 AS varchar(20))) AS app, cast", 1)
+
+
+@query("read_trials", APP_TRIALS)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trial summaries written as tab-separated reports with a header, then read."""
+    """Trial summaries written as tab-separated reports with a header, one per app and named after it, then read."""
     columns = summary_columns()
 
     def write(path: str) -> None:
-        rows = fx.run_view(spark, sf_dir, TRIALS, "events")
-        full = rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns))
-        tiers.write_report(full, path)
+        rows = fx.run_view(spark, sf_dir, APP_TRIALS, "events")
+        full = rows.select("app", *(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns))
+        tiers.report_text(full).write.partitionBy("app").option("sep", "\t").option("header", "true").option("emptyValue", "").csv(path)
+        _rename(spark, path, ".summary.tsv")
 
     got = bench.read_trials(spark, written_once(spark, sf_dir, "trial-reports", write))
-    return got.select(F.col("trial").cast("int").alias("trial"), "question", "model", "elapsed_s", "error", F.col("answer_len").cast("int").alias("answer_len"))
+    return got.select("app", F.col("trial").cast("int").alias("trial"), "question", "model", "elapsed_s", "error", F.col("answer_len").cast("int").alias("answer_len"))
 
 
 def summary_columns() -> list[str]:
@@ -271,12 +409,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(path: str) -> None:
         asked = fx.run_view(spark, sf_dir, QUESTIONS, "events").select("app", "question").distinct()
         text = F.array_join(F.sort_array(F.collect_set(F.concat(F.lit("# about\n\n  "), "question"))), "\n")
-        files = asked.groupBy("app").agg(text.alias("value")).select("value", F.concat("app", F.lit(".txt")).alias("file"))
-        files.write.partitionBy("file").text(path)
+        files = asked.groupBy("app").agg(text.alias("value"))
+        files.write.partitionBy("app").text(path)
+        for name in chunk_index.names_in(spark, path):  # one file per app, named after it
+            for part in chunk_index.names_in(spark, f"{path}/{name}") if name.startswith("app=") else []:
+                chunk_index.move(spark, f"{path}/{name}/{part}", f"{path}/files/{name[4:]}.txt")
 
-    files = spark.read.text(written_once(spark, sf_dir, "questions", write), wholetext=True)
-    app = F.regexp_extract(F.col("_metadata.file_path"), r"file=([^/]+)\.txt/", 1)
-    return bench.number_questions(files.select(app.alias("app"), F.col("value").alias("text")))
+    return bench.read_questions(spark, written_once(spark, sf_dir, "questions", write) + "/files")
 
 
 @query(
@@ -290,8 +429,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("g"), F.col("item_id").cast("string")).alias("id"), F.when(F.col("item_id") % 3 == 0, "clarify").otherwise("answer").alias("mode"),
             F.when(F.col("item_id") % 2 == 0, F.col("item_id") / 8.0).alias("bench_mean_acc"),
         )
-        one = items.agg(F.to_json(F.struct(F.lit("1").alias("version"), F.collect_list(row).alias("questions"))).alias("value"))
-        one.write.text(path)
+        document = F.to_json(F.struct(F.lit("1").alias("version"), F.collect_list(row).alias("questions"))).alias("value")
+        manifests = items.groupBy(F.floor(F.col("item_id") / 1000).alias("part")).agg(document).select("value")
+        manifests.write.option("maxRecordsPerFile", 1).text(path)  # a document per file
 
     return bench.read_golden(spark, written_once(spark, sf_dir, "golden", write)).select("id", "mode", "accuracy")
 
@@ -302,7 +442,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
       cast(event_id % 4 AS int) AS turns, concat('answer ', event_id) AS response FROM events""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs in files named by question, model and trial; reruns of a cell share its file."""
+    """Runs in files named by question, model and trial; a cell's runs are in several files, by ranges of ids."""
     def write(path: str) -> None:
         turn = F.struct(F.lit(1).alias("turn"), F.lit("call").alias("type"), F.lit("query").alias("name"))
         run = F.struct(
@@ -310,8 +450,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array_repeat(turn, (F.col("event_id") % 4).cast("int")).alias("turns"), F.concat(F.lit("answer "), F.col("event_id").cast("string")).alias("response"),
         )
         name = F.format_string("q%d__%s__t%d.json", (F.col("event_id") % 5 + 1).cast("int"), "event_type", (F.col("event_id") % 30).cast("int"))
-        runs = fx.table(spark, sf_dir, "events").groupBy(name.alias("run")).agg(F.to_json(F.collect_list(run)).alias("value"))
-        runs.write.partitionBy("run").text(path)
+        part = F.floor(F.col("event_id") / 100_000).alias("part")
+        runs = fx.table(spark, sf_dir, "events").groupBy(name.alias("run"), part).agg(F.to_json(F.collect_list(run)).alias("value")).drop("part")
+        # the writer needs a run's documents in one task, but one file each
+        runs.repartition("run").write.option("maxRecordsPerFile", 1).partitionBy("run").text(path)
 
     path = written_once(spark, sf_dir, "transcripts", write)
     return bench.read_transcripts(spark, path).select(

@@ -9,8 +9,10 @@ from logloom import fixtures as fx
 from logloom.functions.text import app_of, classify_error, run_tag_of
 from logloom.operators import quality, sessions, stats, turns
 from logloom.operators.flatten import fill_missing, flatten_entries, upgrade_schema
+from logloom.plans.lifecycle import counts_match
 from logloom.registry.base import FLAT, LOG, ntz, query, rollup_ctes, turn_ctes, with_ctes, written_once
 from logloom.schemas import ROLLUP_INPUTS, WIDE_COLUMNS
+from logloom.session import shared_dir
 from logloom.sources import raw, tiers
 
 WIDE_SQL = ", ".join(WIDE_COLUMNS)
@@ -160,7 +162,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("write_tier", with_ctes(LOG, FLAT, body=f"SELECT {WIDE_SQL} FROM flat"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = written_once(spark, sf_dir, "tier", lambda p: tiers.write_tier(_wide(spark, sf_dir), p))
+    path = shared_dir(spark, "written-tier")  # written at every call
+    tiers.write_tier(_wide(spark, sf_dir), path)
     return tiers.read_partitioned(spark, path).select(*WIDE_COLUMNS)
 
 
@@ -191,10 +194,28 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_ctes(LOG, body="SELECT day, count(*) AS rows_before, count(*) AS rows_after, true AS ok FROM log_lines GROUP BY day"),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from logloom.plans.lifecycle import counts_match
+    """A stored table against its rewrite in place."""
+    before = fx.log_lines(spark, sf_dir)
+    path = shared_dir(spark, "rewritten-lines")
+    tiers.write_tier(before, path, day=F.to_date("day"))
+    tiers.rewrite_in_place(spark, path, lambda df: df.withColumn("entry", F.upper("entry")))
+    return counts_match(before, spark.read.parquet(path).withColumn("day", F.date_format("log_date", "yyyy-MM-dd")), "day")
+
 
+@query(
+    "counts_differ",
+    with_ctes(
+        LOG,
+        body="""SELECT day, count(*) AS rows_before, nullif(count(*) FILTER (WHERE type <> 'system_prompt' AND day <> '2024-01-12'), 0) AS rows_after,
+          coalesce(count(*) = nullif(count(*) FILTER (WHERE type <> 'system_prompt' AND day <> '2024-01-12'), 0), false) AS ok FROM log_lines GROUP BY day""",
+    ),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rewrite that has lost rows, and one whole day, is told apart day by day."""
     before = fx.log_lines(spark, sf_dir)
-    return counts_match(before, before.withColumn("entry", F.upper("entry")), "day")
+    path = shared_dir(spark, "lossy-lines")
+    tiers.write_tier(before.where("type <> 'system_prompt' AND day <> '2024-01-12'"), path, day=F.to_date("day"))
+    return counts_match(before, spark.read.parquet(path).withColumn("day", F.date_format("log_date", "yyyy-MM-dd")), "day")
 
 
 # ---- turns -----------------------------------------------------------------

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from logloom.functions.compat import strip
 from logloom.schemas import GOLDEN_MANIFEST, TRANSCRIPT, TRIAL_SUMMARY
 
-_SUMMARY_FILE = r"([^/]+)\.summary\.tsv$"
+_SUMMARY_FILE = r"([^/]+)\.summary\.tsv(?:/[^/]*)?$"
 _TRANSCRIPT_FILE = r"(q\d+)__([^/]+)__t(\d+)\.json(?:/[^/]*)?$"  # a file, or a folder with its parts
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
-    """Trial summaries of all apps; the app is the file name before `.summary.tsv`."""
+    """Trial summaries of all apps; the app is the name before `.summary.tsv`, of a file or a folder with its parts."""
     df = spark.read.schema(TRIAL_SUMMARY).option("sep", "\t").option("header", "true").option("recursiveFileLookup", "true").csv(path)
     return df.select(F.regexp_extract(F.col("_metadata.file_path"), _SUMMARY_FILE, 1).alias("app"), *df.columns)
 
