@@ -124,45 +124,59 @@ def rank_descending(df: DataFrame, value: str, name: str, pieces: int = 256) ->
     return df.join(ranks, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
 
 
-def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str, pieces: int = 32) -> DataFrame:
+DIGITS_PER_OCTAVE = 256  # first digits of a value between a power of two and the next
+_ENDS = 1 << 40  # digit of what lies beyond every finite value
+
+
+def _digit(value: Column) -> Column:
+    """First digit of a number: never falls as the number rises, and no more than a few million are in use.
+
+    It counts the logarithm in steps, so values of every size are split alike.
+    """
+    size = F.abs(value)
+    steps = (F.floor(F.log2(size) * DIGITS_PER_OCTAVE) + 1100 * DIGITS_PER_OCTAVE).cast("bigint")  # above 0 for the least number
+    finite = size < F.lit(float("inf"))
+    own = F.when(finite, steps).otherwise(_ENDS)
+    return F.when(F.isnan(value), 2 * _ENDS).when(size == 0, 0).when(value < 0, -own).otherwise(own)
+
+
+def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str) -> DataFrame:
     """Interpolated percentile per key, exact, without holding a group in one task.
 
-    Equal values are counted first, spread over (key, value).  A sketch per key
-    cuts the value axis into ranges; only the ranges holding the two values
-    around the wanted rank are ordered.
+    Equal values are counted first, spread over (key, value).  The counts add up to a histogram by
+    first digit, whose size has a bound whatever the data; running sums over it find the one or
+    two digits that hold the wanted ranks, and only their values are put in order.
     """
     solid, ks = _solid_keys(df, keys)
     number = F.col(value).cast("double").alias("__v")
-    freq = solid.where(F.col(value).isNotNull()).groupBy(*ks, number).agg(F.count("*").alias("__n"))
-    steps = [i / pieces for i in range(1, pieces)]
-    sketch = freq.groupBy(*ks).agg(
-        F.percentile_approx("__v", steps, 10 * pieces).alias("__cuts"), F.sum("__n").alias("__total")
-    )
+    freq = solid.where(F.col(value).isNotNull()).groupBy(*ks, number).agg(F.count("*").alias("__n")).withColumn("__d", _digit(F.col("__v")))
+    whole = Window.partitionBy(*ks)
+    earlier = whole.orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
+    target = (F.col("__total") - 1) * F.lit(float(p))
+    digits = freq.groupBy(*ks, "__d").agg(F.sum("__n").alias("__size"))
     if ks:
-        cut = freq.join(sketch, ks)
+        digits = digits.withColumn("__total", F.sum("__size").over(whole))
     else:
-        cut = freq.withColumns({c: sketch.select(c).scalar() for c in ("__cuts", "__total")})
-    target = (F.col("__total") - 1) * F.lit(float(p))
-    parts = [*ks, _BUCKET]
-    cut = cut.withColumn(_BUCKET, _cuts_below(F.col("__cuts"), F.col("__v"))).select(
-        *parts, "__v", "__n", F.floor(target).alias("__lo"), F.ceil(target).alias("__hi"), (target - F.floor(target)).alias("__share")
-    )
-    # At most `pieces` rows per key.
-    sizes = cut.groupBy(*parts).agg(F.sum("__n").alias("__size"), F.max("__lo").alias("__l"), F.max("__hi").alias("__h"))
-    wanted = _before(sizes, ks).where(
-        (F.col(_BEFORE) <= F.col("__h")) & (F.col(_BEFORE) + F.col("__size") > F.col("__l"))
-    ).select(*parts, _BEFORE)
-    inside = Window.partitionBy(*parts).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut.join(wanted, parts).withColumn(
-        "__from", F.col(_BEFORE) + F.coalesce(F.sum("__n").over(inside), F.lit(0))
-    )
+        digits = digits.withColumn("__total", freq.agg(F.sum("__n")).scalar())
+    digits = digits.withColumn(_BEFORE, F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
+    digits = digits.withColumns({"__lo": F.floor(target), "__hi": F.ceil(target), "__share": target - F.floor(target)})
+    holds = (F.col(_BEFORE) <= F.col("__hi")) & (F.col(_BEFORE) + F.col("__size") > F.col("__lo"))
+    wanted = digits.where(holds).select(*ks, "__d", _BEFORE, "__lo", "__hi", "__share")
+    inside = Window.partitionBy(*ks, "__d").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    held = freq.join(wanted, [*ks, "__d"])
+    if ks:  # at most two digits of a key: one shuffle serves the running sums and the result
+        held = held.repartition(*ks)
+    placed = held.withColumn("__from", F.col(_BEFORE) + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
 
     def value_at(rank: str) -> Column:
         here = (F.col("__from") <= F.col(rank)) & (F.col("__from") + F.col("__n") > F.col(rank))
         return F.max(F.when(here, F.col("__v")))
 
     low, high = value_at("__lo"), value_at("__hi")
-    found = placed.groupBy(*ks).agg((low + (high - low) * F.max("__share")).alias(name))
+    found = placed.groupBy(*ks).agg(low.alias("__low"), high.alias("__high"), F.max("__share").alias("__part"))
+    between = F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__part")
+    # equal ends need no way between them, which infinite ones do not have
+    found = found.withColumn(name, F.when(F.col("__low") == F.col("__high"), F.col("__low")).otherwise(between))
     return found.select(*_original(found, keys), name)
 
 

@@ -1,5 +1,7 @@
 """The skew-safe forms must equal the plain window, also on one huge key."""
 
+import random
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -59,3 +61,20 @@ def test_percentile_null_key_and_empty(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None)], "k string, v double")
     assert [tuple(r) for r in exact_percentile(df, ["k"], "v", 0.5, "x").collect()] == [(None, 2.0)]
     assert exact_percentile(df.limit(0), ["k"], "v", 0.5, "x").count() == 0
+
+
+def test_percentiles_of_odd_numbers(spark):
+    """Signs, zeros, far values, ties and values within one digit, against the plain function."""
+    rng = random.Random(4)
+    rows = []
+    for key in ("a", "b", None):
+        for _ in range(200):
+            x = rng.choice([0.0, -0.0, 5e-324, -1e300, 1e300, float("inf"), -2.5, 1.0, rng.random(), 1 + rng.random() / 1e6, -rng.random() * 1e9])
+            rows.append((key, x))
+    df = spark.createDataFrame(rows + [("c", None), ("d", float("inf")), ("e", float("-inf")), ("f", 7.0)], "k string, x double")
+    for p in (0.0, 0.25, 0.5, 0.9, 1.0):
+        want = {r["k"]: r["p"] for r in df.where("x IS NOT NULL").groupBy("k").agg(F.percentile("x", F.lit(p)).alias("p")).collect()}
+        got = {r["k"]: r["p"] for r in exact_percentile(df, ["k"], "x", p, "p").collect()}
+        assert got.keys() == want.keys()
+        for k in got:
+            assert got[k] == pytest.approx(want[k], rel=1e-12, nan_ok=True), (k, p)

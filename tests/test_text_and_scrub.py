@@ -1,10 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions.dialect import repair_arguments, repair_tool_args
-from logloom.functions.scrub import REDACTED, scrub_document, scrub_json, scrub_text
+from logloom.functions.scrub import REDACTED, may_hold_secret, scrub_document, scrub_json, scrub_text
 from logloom.functions.text import app_of, cap, classify_error, compact_view, preview, run_tag_of
 from logloom.operators.quality import residual_secrets, scrub_column, scrub_report
 
@@ -180,3 +181,31 @@ def test_repair_reads_tags_from_left_to_right():
     assert json.loads(repair_arguments("<arg_key>a</arg_key>\n<arg_value>1</arg_value><arg_key> b </arg_key><arg_value> two ")[0]) == {"a": 1, "b": "two"}
     assert json.loads(repair_arguments('{"x": "<parameter=x>[1]</parameter>", "y": 2}')[0]) == {"x": [1], "y": 2}
     assert repair_arguments("<arg_key>a</arg_key> no value") == ("<arg_key>a</arg_key> no value", False)
+
+
+def test_the_gate_lets_through_every_document_that_a_scrub_changes(spark):
+    """Random documents of secret-like parts, nested and escaped; a clean log with token counts is not flagged."""
+    rng = random.Random(3)
+    words = ["token", "tokens", "password", "api_key", "s3-secret", "Bearer", "KEY_ID", "SECRET", "Authorization", "paſſword", "toKen", "passwd"]
+    between = [":", "=", ": ", "\n:", "\t=", "' '", " 'x'", " abc", '": "', '\\": \\"', "\x1c=", " :", "", " "]
+
+    def value(depth):
+        kind = rng.random()
+        if kind < 0.5 or depth > 2:
+            return rng.choice(["x ", "", '"', "{"]) + rng.choice(words) + rng.choice(between) + rng.choice(["hush", "'hush'", "5", "", " hush}"])
+        if kind < 0.6:
+            return rng.randrange(9)
+        if kind < 0.75:
+            return [value(depth + 1) for _ in range(rng.randrange(3))]
+        own = {rng.choice([*words, "a", "content", "arguments"]): value(depth + 1) for _ in range(rng.randrange(3))}
+        return own if kind < 0.9 else json.dumps(own, ensure_ascii=rng.random() < 0.5)
+
+    docs = []
+    for _ in range(6000):
+        own = {rng.choice([*words, "a", "content", "arguments"]): value(0) for _ in range(rng.randrange(1, 3))}
+        text = json.dumps(own, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        docs.append(text.replace("tok", "\\u0074ok") if rng.random() < 0.05 else text[:-1] if rng.random() < 0.05 else text)
+    flagged = spark.createDataFrame([(d,) for d in docs], "t string").select("t", may_hold_secret(F.col("t")).alias("f")).collect()
+    assert [r["t"] for r in flagged if not r["f"] and scrub_document(r["t"]) != r["t"]] == []
+    clean = ['{"tokens": {"prompt_tokens": 5, "total_tokens": 7}, "note": "the key of a token"}', '{"monkey": 1, "max_tokens": 2}']
+    assert spark.createDataFrame([(d,) for d in clean], "t string").where(may_hold_secret(F.col("t"))).count() == 0
