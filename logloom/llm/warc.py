@@ -10,7 +10,8 @@ Reading takes any selection of index rows, sorts them by archive and offset, and
 neighbouring ranges at once: gaps up to ``MAX_GAP`` are read over, a range grows to
 ``MAX_RANGE``.  Rows are dealt to tasks by archive and stretch, so a large archive is shared.
 
-Archives go to any file system that pyarrow opens by URI (local, S3, GCS, ABFS, HDFS).
+Archives go to any file system that pyarrow opens by URI (local, S3, GCS, ABFS, HDFS); Hadoop's names
+for S3 are translated.
 
 Cases: a null payload is empty; a null URL is left out, line breaks in one are percent-encoded;
 a null page id is the least of none: such a row is a response only if no row with its payload
@@ -95,6 +96,16 @@ def parse(member: bytes) -> dict:
     }
 
 
+# Schemes that Hadoop has names of its own for.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def archive_uri(directory: str) -> str:
+    """A folder as pyarrow names it."""
+    scheme, mark, rest = directory.partition("://")
+    return f"{_SCHEMES.get(scheme, scheme)}{mark}{rest}" if mark else directory
+
+
 def write_archives(
     pages: DataFrame, directory: str, page_id: str = "page_id", url: str = "url", payload: str = "html",
     min_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES,
@@ -108,13 +119,15 @@ def write_archives(
         rows.where(F.octet_length("payload") >= min_bytes)
         .groupBy(F.col("sha1").alias("of")).agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("times")).where("times > 1")
     )
+    # a table of its own: a join with an aggregate on the join key is not split, and a payload may be on a third of all pages
+    firsts = staged(firsts, "warc-firsts")
     linked = rows.join(firsts, F.col("sha1") == F.col("of"), "left").select(
         "page_id", "url", "payload", "sha1", "first_id",
         (F.col("of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))).alias("revisit"),
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(directory)
+        store, root = fs.FileSystem.from_uri(archive_uri(directory))
         out, name, at = None, None, 0
         try:
             for batch in batches:
@@ -149,7 +162,7 @@ def write_archives(
 def read_records(index: DataFrame, directory: str, max_gap: int = MAX_GAP, max_range: int = MAX_RANGE) -> DataFrame:
     """The records that the rows of `index` name (columns of RECORD); the payload of a revisit is null."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(directory)
+        store, root = fs.FileSystem.from_uri(archive_uri(directory))
         opened: tuple[str, object] | None = None
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]

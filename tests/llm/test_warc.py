@@ -1,9 +1,11 @@
 """Archives: exact round trip, revisits, selections and coalesced reads."""
 
 import gzip
+import hashlib
 
 import pytest
 from logloom.llm import warc as w
+from pyspark.sql import functions as F
 from logloom.session import shared_dir
 from pyarrow import fs
 
@@ -61,3 +63,45 @@ def test_selection_and_empty(spark):
     assert w.read_records(index.limit(0), directory).count() == 0
     empty, where = written(spark, [])
     assert empty.count() == 0 and w.read_records(empty, where).count() == 0
+
+
+def test_hadoop_schemes_are_translated():
+    assert w.archive_uri("s3a://bucket/a/b") == "s3://bucket/a/b" and w.archive_uri("s3n://b") == "s3://b"
+    assert [w.archive_uri(x) for x in ("/tmp/x", "file:/tmp/x", "file:///x", "gs://b/x", "hdfs://h:1/x")] == [
+        "/tmp/x", "file:/tmp/x", "file:///x", "gs://b/x", "hdfs://h:1/x"
+    ]
+
+
+def test_a_payload_on_a_third_of_all_pages_is_split(spark):
+    """With small thresholds the plan of the write shows a skew split."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    hot = "".join(hashlib.sha512(str(i).encode()).hexdigest() for i in range(50))  # does not shrink in the shuffle
+    pages = spark.range(0, 4000, 1, 8).select(
+        F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, F.lit(hot)).otherwise(F.col("id").cast("string")).alias("html")
+    )
+    plans = []
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        real = w.staged
+
+        def seen(df, label):
+            out = real(df, label)
+            if label == "warc-index":
+                df.write.format("noop").mode("overwrite").save()
+                collected = df.collect()
+                plans.append(df._jdf.queryExecution().executedPlan().toString() if collected else "")
+            return out
+
+        w.staged = seen
+        index = w.write_archives(pages, "file:" + w.shared_dir(spark, "split-archives"))
+    finally:
+        w.staged = real
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert "skew=true" in plans[0] and index.count() == 4000
