@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logloom.functions.compat import blank_to_null
+from logloom.functions.compat import blank_to_null, spread_nulls
 from logloom.functions.scrub import scrub_text
 from logloom.operators.capture import prompt_hash
 from logloom.operators.flatten import flatten_entries
@@ -131,23 +131,24 @@ def stream_balance(entries: DataFrame, width: str = FLUSH, lateness: str = "10 m
 def stream_pair(entries: DataFrame, lateness: str = "10 minutes", budget: str = UPSTREAM_BUDGET) -> DataFrame:
     """Requests with their response, or alone once the upstream budget has run out.
 
-    State is bounded by the watermark on both sides and the budget.
+    State is bounded by the watermark on both sides and the budget.  Requests without an id match
+    nothing; they are spread over the state partitions, and responses without one keep no state.
     """
     requests = entries.where(F.col("type") == "request").select(
-        "request_id", F.col("ts").alias("request_ts"), "session_id", "model"
+        "request_id", F.col("ts").alias("request_ts"), "session_id", "model", spread_nulls("request_id", "ts", "session_id").alias("__key")
     ).withWatermark("request_ts", lateness)
-    responses = entries.where(F.col("type") == "response").select(
+    responses = entries.where((F.col("type") == "response") & F.col("request_id").isNotNull()).select(
         F.col("request_id").alias("__rid"), F.col("ts").alias("response_ts"), "latency_ms", "error"
     ).withWatermark("response_ts", lateness)
     on = (
-        (F.col("request_id") == F.col("__rid"))
+        (F.col("__key") == F.col("__rid"))
         & (F.col("response_ts") >= F.col("request_ts"))
         & (F.col("response_ts") <= F.col("request_ts") + F.expr(f"INTERVAL {budget}"))
     )
     outcome = F.when(F.col("response_ts").isNull(), "incomplete").when(
         blank_to_null(F.col("error")).isNotNull(), "error"
     ).otherwise("ok")
-    return requests.join(responses, on, "left_outer").drop("__rid").withColumn("outcome", outcome)
+    return requests.join(responses, on, "left_outer").drop("__rid", "__key").withColumn("outcome", outcome)
 
 
 def stream_prompts(messages: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:

@@ -167,3 +167,20 @@ def test_counters_and_report_files(spark, tmp_path):
     tiers.write_report(df.coalesce(1), str(tmp_path / "r"))
     text = "".join(p.read_text() for p in (tmp_path / "r").glob("part-*"))
     assert text.splitlines()[0] == "trial\terror" and "1\ta b " + "c" * 96 in text.splitlines() and "2\t" in text.splitlines()
+
+
+def test_a_cell_join_reads_the_folders_of_its_region_only(spark, tmp_path):
+    from logloom.operators.cells import cell_join
+    from logloom.sources.cell_tables import read_cells, write_cells
+
+    path = str(tmp_path / "cells")
+    cells = spark.range(4000).select((F.col("id") % 16).alias("h0"), F.col("id").alias("cell"), F.lit(1.0).alias("value"))
+    write_cells(cells, path)
+    zones = spark.range(4000).select((F.col("id") % 16).alias("h0"), F.col("id").alias("cell"), F.concat(F.lit("z"), (F.col("id") % 16).cast("string")).alias("zone"))
+    zones.write.parquet(str(tmp_path / "zones"))
+    joined = cell_join(read_cells(spark, path), spark.read.parquet(str(tmp_path / "zones")).where("zone IN ('z3', 'z5')"))
+    assert {(r["zone"], r["total"]) for r in joined.collect()} == {("z3", 250.0), ("z5", 250.0)}
+    plan = joined._jdf.queryExecution().executedPlan()
+    assert "SubqueryBroadcast dynamicpruning" in plan.toString()
+    read = spark.read.parquet(path).where("h0 IN (3, 5)").select(F.input_file_name()).distinct().count()
+    assert read < spark.read.parquet(path).select(F.input_file_name()).distinct().count()
