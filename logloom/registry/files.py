@@ -134,6 +134,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.groupBy("day").agg(hours, F.sum("length").alias("bytes"))
 
 
+@query(
+    "list_prefixes",
+    with_ctes(LOG, FLUSH_CTE, body="SELECT log_day AS day, count(DISTINCT hour) AS hours, sum(strlen(entry) + 1)::BIGINT AS bytes FROM flushed GROUP BY log_day"),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, listed by the tasks, a day's folder each."""
+    root = _chunks(spark, sf_dir)
+    chunks = lifecycle.raw_objects(lifecycle.relative_to(providers.list_prefixes(spark, root), root))
+    hours = F.count_distinct(raw.chunk_hour(F.col("path"))).alias("hours")
+    return chunks.groupBy("day").agg(hours, F.sum("length").alias("bytes"))
+
+
 # Credentials in flat fields of dated lines and in undated ones.
 LEAKS = (('"user_message_this_turn":"m', '"user_message_this_turn":"password=hush'), ('"timestamp":"soon"', '"timestamp":"soon","note":"token : hush"'))
 

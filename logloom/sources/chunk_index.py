@@ -53,10 +53,15 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise RuntimeError(f"{source} could not be moved to {target}")
 
 
-def names_in(spark: SparkSession, path: str) -> list[str]:
-    """Names directly below a folder; none where it does not exist."""
+def entries_in(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """Names directly below a folder and whether each is a folder; none where there is no folder."""
     target, files = _path(spark, path)
-    return sorted(s.getPath().getName() for s in files.listStatus(target)) if files.exists(target) else []
+    found = files.listStatus(target) if files.exists(target) and files.getFileStatus(target).isDirectory() else []
+    return sorted((s.getPath().getName(), s.isDirectory()) for s in found)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    return [name for name, _ in entries_in(spark, path)]
 
 
 def size_of(spark: SparkSession, path: str) -> int:

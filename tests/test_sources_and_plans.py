@@ -184,3 +184,20 @@ def test_a_cell_join_reads_the_folders_of_its_region_only(spark, tmp_path):
     assert "SubqueryBroadcast dynamicpruning" in plan.toString()
     read = spark.read.parquet(path).where("h0 IN (3, 5)").select(F.input_file_name()).distinct().count()
     assert read < spark.read.parquet(path).select(F.input_file_name()).distinct().count()
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_tasks_list_what_the_driver_would(spark, tmp_path, depth):
+    from logloom.plans.lifecycle import relative_to
+    from logloom.sources.providers import list_objects, list_prefixes
+
+    for name in ("2024-01-01/00-a.jsonl", "2024-01-01/01-a.jsonl", "2024-01-02/chunk=00-b.jsonl/part-0", "top.txt", "t/daily/log_date=2024-01-01/x.parquet", "_hidden/x", "t/.y/z"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x" * len(name))
+    (tmp_path / "empty").mkdir()
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        want = relative_to(list_objects(spark, root), root)
+        got = relative_to(list_prefixes(spark, root, depth), root)
+        key = lambda df: sorted((r["path"], r["length"], int(r["mtime"].timestamp())) for r in df.collect())
+        assert key(got) == key(want) and got.count() == 5
+    assert list_prefixes(spark, str(tmp_path / "empty")).count() == 0
