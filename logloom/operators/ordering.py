@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logloom.functions.compat import spread_nulls
+
 _BUCKET = "__bucket"
 _BEFORE = "__before"
 _FAR_FUTURE = "9999-12-31 00:00:00"
@@ -72,6 +74,44 @@ def _before(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sizes.withColumn(_BEFORE, F.coalesce(F.sum("__size").over(window), F.lit(0)).cast("bigint"))
 
 
+def next_event(df: DataFrame, events: DataFrame, key: str, ts: str, out: str, unit: str = "hour") -> DataFrame:
+    """`df` with the time of the nearest event of the same key at or after its own time.
+
+    `events` is (key, ts) under the same names; `df` may hold other columns.  One row comes out per row
+    of `df`, however often a key occurs on either side.  Rows and events of a key are cut into time
+    buckets.  A row without an event left in its bucket takes the first event of a later one,
+    out of a table of one row per (key, bucket) that holds times only.  A row without a key or
+    a time has no event; the ones without a key are spread.
+    """
+    cut = time_bucket(F.col(ts), unit)
+    salt = [c for c, dtype in df.dtypes if c != key and not dtype.startswith(("map", "variant"))]
+    rows = df.withColumns({"__key": spread_nulls(key, *salt), _BUCKET: cut, "__row": F.lit(True), "__event": F.lit(None).cast(df.schema[ts].dataType)})
+    seen = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(
+        F.col(key).alias("__key"), cut.alias(_BUCKET), F.col(ts).alias("__event")
+    )
+    firsts = seen.groupBy("__key", _BUCKET).agg(F.min("__event").alias("__first"))
+    asked = rows.select("__key", _BUCKET).distinct().withColumn("__first", F.lit(None).cast(df.schema[ts].dataType))
+    later = Window.partitionBy("__key").orderBy(F.col(_BUCKET).asc()).rowsBetween(1, Window.unboundedFollowing)
+    carried = (
+        firsts.unionByName(asked)
+        .groupBy("__key", _BUCKET)
+        .agg(F.min("__first").alias("__first"))
+        .select("__key", _BUCKET, F.min("__first").over(later).alias("__carried"))
+    )
+    # Events stand before the rows of the same instant when time runs backwards, so these see them.
+    both = rows.withColumn("__at", F.col(ts)).unionByName(
+        seen.distinct().withColumns({"__at": F.col("__event"), "__row": F.lit(False)}), allowMissingColumns=True
+    )
+    back = (
+        Window.partitionBy("__key", _BUCKET)
+        .orderBy(F.col("__at").desc_nulls_last(), F.col("__row").asc())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    found = both.withColumn("__here", F.last("__event", ignorenulls=True).over(back)).where("__row")
+    nearest = F.when(F.col(ts).isNotNull(), F.coalesce("__here", "__carried")).alias(out)
+    return found.join(carried, ["__key", _BUCKET], "left").select(*df.columns, nearest)
+
+
 def position(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.compat import jstr, spread_nulls
 from logloom.operators.flatten import upgrade_schema
-from logloom.operators.ordering import position, time_bucket
+from logloom.operators.ordering import next_event, position, time_bucket
 from logloom.schemas import TURN_COLUMNS
 
 SCOPES = ("day", "month")
@@ -37,12 +37,16 @@ def index_turns(requests: DataFrame, scope: str = "month") -> DataFrame:
     return position(keyed, ["session_key", "period"], order, time_bucket(F.col("ts")), "turn_idx")
 
 
-def pair_turns(entries: DataFrame, scope: str = "month") -> DataFrame:
+def pair_turns(entries: DataFrame, scope: str = "month", nearest: bool = False) -> DataFrame:
     """One row per request with its response, if any.
 
     The index is given before the join, so a response logged twice repeats the
     turn and does not renumber the session.  Responses without a request do not
     appear.  Takes legacy or wide entries.
+
+    Request ids are short and may collide: n requests and m responses that share one give n x m rows.
+    With `nearest` a request takes the first response of its id that is not earlier than itself, and
+    there is one row per request.  Of several responses at that instant the one with the least entry counts.
     """
     wide = upgrade_schema(entries)
     requests = wide.where(F.col("type") == "request").select(
@@ -51,6 +55,7 @@ def pair_turns(entries: DataFrame, scope: str = "month") -> DataFrame:
         "user_message_this_turn", "message_count", "enable_thinking", "tool_results",
     )
     responses = wide.where((F.col("type") == "response") & F.col("request_id").isNotNull()).select(
+        "entry",
         F.col("request_id").alias("__rid"),
         F.col("ts").alias("response_ts"),
         jstr("entry", "$.content").alias("assistant_content"),
@@ -58,6 +63,8 @@ def pair_turns(entries: DataFrame, scope: str = "month") -> DataFrame:
         "tool_calls", "has_tool_calls", "has_content", "latency_ms", "tokens", "error",
     )
     indexed = index_turns(requests, scope).withColumnRenamed("ts", "request_ts")
+    if nearest:
+        return _pair_nearest(indexed, responses).select("period", *TURN_COLUMNS)
     paired = indexed.join(
         responses,
         spread_nulls("request_id", "session_key", "request_ts") == F.col("__rid"),
@@ -66,6 +73,16 @@ def pair_turns(entries: DataFrame, scope: str = "month") -> DataFrame:
     return paired.select("period", *TURN_COLUMNS)
 
 
+def _pair_nearest(indexed: DataFrame, responses: DataFrame) -> DataFrame:
+    """Requests with the nearest later response; only times are compared before the join that brings the text."""
+    times = responses.select(F.col("__rid").alias("request_id"), F.col("response_ts").alias("request_ts"))
+    timed = next_event(indexed, times, "request_id", "request_ts", "__answered")
+    rest = [c for c in responses.columns if c not in ("__rid", "response_ts", "entry")]
+    one = responses.groupBy("__rid", "response_ts").agg(F.min(F.struct("entry", *rest)).alias("__r"))
+    on = (spread_nulls("request_id", "session_key", "request_ts") == F.col("__rid")) & (F.col("__answered") == F.col("response_ts"))
+    return timed.join(one.select("__rid", "response_ts", "__r.*"), on, "left")
+
+
 def pair_inner(entries: DataFrame) -> DataFrame:
     """Answered requests only: question, tool calls and latency per pair."""
     wide = upgrade_schema(entries)

@@ -237,6 +237,31 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.pair_turns(fx.legacy_entries(spark, sf_dir), "month")
 
 
+_NEAREST = """near AS (
+  SELECT n.period, n.session_key, n.session_id, n.turn_idx, n.ts AS request_ts, r.ts AS response_ts, n.request_id, n.origin,
+    n.client, n.provider, n.model, n.user_question, n.user_message_this_turn, n.message_count, n.enable_thinking, n.tool_results,
+    json_extract_string(r.entry, '$.content') AS assistant_content, json_extract_string(r.entry, '$.reasoning_content') AS reasoning_content,
+    r.tool_calls, r.has_tool_calls, r.has_content, r.latency_ms, r.tokens, r.error
+  FROM numbered n LEFT JOIN LATERAL (
+    SELECT * FROM flat f WHERE f.type = 'response' AND f.request_id = n.request_id AND f.ts >= n.ts ORDER BY f.ts, f.entry LIMIT 1) r ON true)"""
+
+
+@query("turns_nearest", with_ctes(*turn_ctes("month")[:4], _NEAREST, body="SELECT * FROM near"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.pair_turns(_consolidated(spark, sf_dir), "month", nearest=True)
+
+
+# Ids cut to their last three characters, so that requests and responses share them.
+_SHORT = LOG.replace("log_lines AS (", "log_lines AS (SELECT * REPLACE (right(request_id, 3) AS request_id) FROM (", 1) + ")"
+
+
+@query("turns_colliding_ids", with_ctes(_SHORT, *turn_ctes("month")[1:4], _NEAREST, body="SELECT * FROM near"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few ids, each shared by many requests: one row per request all the same."""
+    short = _consolidated(spark, sf_dir).withColumn("request_id", F.substring("request_id", -3, 3))
+    return turns.pair_turns(short, "month", nearest=True)
+
+
 @query(
     "pair_inner",
     with_ctes(

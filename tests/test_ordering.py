@@ -1,12 +1,14 @@
 """The skew-safe forms must equal the plain window, also on one huge key."""
 
 import random
+import re
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from logloom.operators.ordering import exact_percentile, exact_percentiles, position, rank_descending, time_bucket
+from logloom.operators.ordering import exact_percentile, exact_percentiles, next_event, position, rank_descending, time_bucket
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +80,40 @@ def test_percentiles_of_odd_numbers(spark):
         assert got.keys() == want.keys()
         for k in got:
             assert got[k] == pytest.approx(want[k], rel=1e-12, nan_ok=True), (k, p)
+
+
+@pytest.mark.parametrize("unit", ["minute", "day"])
+def test_next_event_equals_a_search_over_all_events(spark, unit):
+    rng = random.Random(7)
+    start = datetime(2024, 1, 1)
+
+    def times(n):
+        return [(rng.choice(["a", "a", "a", "b", "c", None]), rng.choice([None, *[start + timedelta(seconds=rng.randrange(0, 9000, 30)) for _ in range(6)]])) for _ in range(n)]
+
+    asked, events = times(300), times(40)
+    rows = spark.createDataFrame([(i, k, t, "x") for i, (k, t) in enumerate(asked)], "id int, k string, t timestamp, carried string")
+    seen = spark.createDataFrame(events, "k string, t timestamp")
+    got = {r["id"]: r["next"] for r in next_event(rows, seen, "k", "t", "next", unit).collect()}
+    want = {}
+    for i, (k, t) in enumerate(asked):
+        later = [e for ek, e in events if k is not None and ek == k and t is not None and e is not None and e >= t]
+        want[i] = min(later, default=None)
+    assert got == want
+    assert any(want.values()) and next_event(rows, seen.limit(0), "k", "t", "next").where("next is not null").count() == 0
+    assert next_event(rows.limit(0), seen, "k", "t", "next").columns == ["id", "k", "t", "carried", "next"]
+
+
+def test_next_event_shuffles_the_wide_rows_once(spark):
+    rows = spark.createDataFrame([("a", datetime(2024, 1, 1), "text")], "k string, t timestamp, text string")
+    with_off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in with_off}
+    for k, v in with_off.items():
+        spark.conf.set(k, v)
+    try:
+        query = next_event(rows, rows.select("k", "t"), "k", "t", "next")._jdf.queryExecution()
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(query, "formatted")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    exchanged = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert sum("text#" in columns for columns in exchanged) == 1

@@ -101,6 +101,20 @@ def test_repeated_request_id_fans_out_without_renumbering(spark):
     assert sorted((r["request_id"], r["turn_idx"]) for r in t.collect()) == [("d", 1), ("d", 1), ("e", 2)]
 
 
+def test_nearest_pairing_gives_one_row_per_request(spark):
+    lines = [
+        req("r", "2024-01-05T10:00:00Z"), req("r", "2024-01-05T12:00:00Z"), req("r", "2024-01-07T10:00:00Z"), req(None, "2024-01-05T10:00:00Z"),
+        resp("r", "2024-01-05T09:00:00Z", latency_ms=1), resp("r", "2024-01-05T12:00:00Z", latency_ms=3), resp("r", "2024-01-05T12:00:00Z", latency_ms=2),
+        resp("r", "2024-01-06T10:00:00Z", latency_ms=4), resp(None, "2024-01-05T10:00:00Z", latency_ms=5),
+    ]
+    wide = flatten_entries(spark.createDataFrame([(x,) for x in lines], "entry string"))
+    got = [(str(r["request_ts"]), r["request_id"], r["latency_ms"]) for r in pair_turns(wide, nearest=True).collect()]
+    assert sorted(got, key=str) == sorted([
+        ("2024-01-05 10:00:00", None, None), ("2024-01-05 10:00:00", "r", 2), ("2024-01-05 12:00:00", "r", 2), ("2024-01-07 10:00:00", "r", None),
+    ], key=str)
+    assert pair_turns(wide).count() == 3 * 4 + 1
+
+
 def test_null_request_ids_never_match(spark):
     lines = [req(None, "2024-01-01T00:00:00Z"), req(None, "2024-01-01T00:00:05Z"), resp(None, "2024-01-01T00:00:01Z")]
     t = pair_turns(flatten_entries(spark.createDataFrame([(x,) for x in lines], "entry string"))).collect()
