@@ -10,7 +10,10 @@ depend on the order of rows.
 A threshold is the median plus a multiple of the distance from the median to a quantile far
 enough out to see the spread of ordinary documents (``REACH``): the upper quartile for symbols,
 in which junk may hold a fifth of a group; the ninth decile for letters and word length (the
-first for short words); the 99th percentile for repetition, which most documents lack.  Only
+first for short words); the 99th percentile for repetition, which most documents lack.  Most
+documents have no symbols at all; where the upper quartile does not differ from the median, the
+limit is where the sketch falls apart best into a low and a high part (the split with the
+greatest variance between the parts, on the logarithmic scale; ``split_of``).  Only
 documents that pass the base rules enter the sketches.  ``FLOORS`` are small and serve where a
 group has no spread, since then no multiple of it is a distance.  A (language, source) with
 fewer than ``MIN_GROUP`` rows merges into the sketch of its language, and a language that is
@@ -50,8 +53,11 @@ REACH = {
     "symbol_rate": (0.75, 6.0), "upper_rate": (0.9, 10.0), "dup_line_rate": (0.99, 2.0), "repeat_rate": (0.99, 2.0),
     "long_words": (0.9, 10.0), "short_words": (0.1, 6.0),
 }
+# Rates that most documents lack: limited by the split of the sketch where REACH shows no spread.
+SPLIT = ("symbol_rate",)
+ABSENT = 1e-3  # rates below it are alike in a split
 # Least distance of a threshold from the median; the sign is the side on which outliers are dropped.
-FLOORS = {"symbol_rate": 0.05, "upper_rate": 0.02, "dup_line_rate": 0.2, "repeat_rate": 0.1, "long_words": 0.5, "short_words": -0.5}
+FLOORS = {"symbol_rate": 0.02, "upper_rate": 0.02, "dup_line_rate": 0.2, "repeat_rate": 0.1, "long_words": 0.5, "short_words": -0.5}
 
 _UPPER = bytes(range(65, 91))
 _BLANK_LINE = re.compile(r"[\x20\x09-\x0D]*\Z")
@@ -162,8 +168,34 @@ def merged(sketch: DataFrame, groups: list[str]) -> DataFrame:
     return sketch.groupBy(*groups, "rate", "bucket").agg(F.sum("n").alias("n"))
 
 
+def split_of(buckets: Column, size: Column) -> Column:
+    """Lower end of the high part of a sketch, split where the variance between both parts is greatest.
+
+    `buckets` is the sorted list of (bucket, n), of bounded length; null if all values share a bucket.
+    """
+    absent = int(np.ceil(np.log(ABSENT) / np.log(_gamma())))
+    at = lambda b: F.greatest(b["bucket"], F.lit(absent)).cast("double")
+    total = F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + b["n"] * at(b))
+
+    def step(acc: Column, b: Column) -> Column:
+        above = size - acc["n"]
+        apart = acc["x"] / acc["n"] - (total - acc["x"]) / above
+        found = F.when(acc["n"] > 0, F.struct((acc["n"] * above * apart * apart).alias("v"), b["bucket"].alias("bucket")))
+        better = found["v"] > F.coalesce(acc["best"]["v"], F.lit(0.0))
+        return F.struct(
+            (acc["n"] + b["n"]).alias("n"), (acc["x"] + b["n"] * at(b)).alias("x"),
+            F.when(better, found).otherwise(acc["best"]).alias("best"),
+        )
+
+    start = F.struct(
+        F.lit(0.0).alias("n"), F.lit(0.0).alias("x"), F.lit(None).cast("struct<v: double, bucket: int>").alias("best")
+    )
+    best = F.aggregate(buckets, start, step)["best"]["bucket"]
+    return F.pow(F.lit(_gamma()), best - 1)
+
+
 def quantiles(sketch: DataFrame, groups: list[str], shares: dict[str, float]) -> DataFrame:
-    """groups, rate, size and a column per quantile.  A sketch has a bounded number of buckets."""
+    """groups, rate, size, a column per quantile, and split.  A sketch has a bounded number of buckets."""
     listed = sketch.groupBy(*groups, "rate").agg(
         F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("buckets"), F.sum("n").alias("size")
     )
@@ -177,7 +209,8 @@ def quantiles(sketch: DataFrame, groups: list[str], shares: dict[str, float]) ->
         )
         return bucket_value(walked["bucket"])
 
-    return listed.select(*groups, "rate", "size", *(at(s).alias(name) for name, s in shares.items()))
+    split = split_of(F.col("buckets"), F.col("size")).alias("split")
+    return listed.select(*groups, "rate", "size", *(at(s).alias(name) for name, s in shares.items()), split)
 
 
 def thresholds(sketch: DataFrame, groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -190,7 +223,7 @@ def thresholds(sketch: DataFrame, groups: tuple[str, str] = ("lang", "source"))
     fine = quantiles(sketch, list(groups), shares)
     coarse = quantiles(merged(sketch, [groups[0]]), [groups[0]], shares)
     whole = quantiles(merged(sketch, []), [], shares)
-    values = lambda: F.struct(*shares)
+    values = lambda: F.struct(*shares, "split")
     coarse = coarse.select(F.col(groups[0]).alias("of"), F.col("rate").alias("of_rate"), F.col("size").alias("coarse_size"), values().alias("coarse"))
     whole = whole.select(F.col("rate").alias("any_rate"), values().alias("whole"))
     chosen = (
@@ -206,6 +239,8 @@ def thresholds(sketch: DataFrame, groups: tuple[str, str] = ("lang", "source"))
     floor = by_rate(lambda rate: F.lit(FLOORS[rate]))
     # negative on the lower side, like the floor
     spread = by_rate(lambda rate: F.lit(REACH[rate][1]) * (F.col("q")[names[REACH[rate][0]]] - F.col("q.q50")))
+    apart = F.when(F.col("rate").isin(*SPLIT) & (spread == 0), F.col("q.split") - F.col("q.q50"))
+    spread = F.coalesce(apart, spread)
     limit = F.col("q.q50") + F.when(floor > 0, F.greatest(spread, floor)).otherwise(F.least(spread, floor))
     return chosen.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("rate", limit.alias("limit")))).alias("limits"))
 

@@ -51,6 +51,7 @@ def test_sketch_quantiles_are_accurate_and_mergeable(spark):
     shares = {"a": 0.1, "b": 0.5, "c": 0.95}
     whole = q.quantiles(q.sketches(frame, []), [], shares).first()
     parts = q.quantiles(q.merged(q.sketches(frame, ["g"]), []), [], shares).first()
+    assert whole["split"] is not None
     assert whole == parts and whole["size"] == len(values)
     ordered = np.sort([v for _, v in values])
     for name, share in shares.items():
@@ -101,3 +102,37 @@ def test_floors_only_serve_where_there_is_no_spread(spark):
     limits = q.thresholds(q.sketches(listed, ["lang", "source"])).select("limits").collect()
     for rate in ("upper_rate", "dup_line_rate", "repeat_rate", "long_words", "short_words"):
         assert len({r.limits[rate] for r in limits}) > 1
+
+
+def plain_split(values):
+    """The first value above the best of all cuts, and its bucket's lower end."""
+    step = np.log(q._gamma())
+    bucket = np.ceil(np.log(np.maximum(values, q.SMALLEST)) / step).astype(int)
+    place = np.maximum(bucket, int(np.ceil(np.log(q.ABSENT) / step)))
+    best = (0.0, None)
+    for cut in sorted(set(bucket))[1:]:
+        low, high = place[bucket < cut], place[bucket >= cut]
+        v = len(low) * len(high) * (low.mean() - high.mean()) ** 2
+        if v > best[0] * (1 + 1e-12):
+            best = (v, cut)
+    return None if best[1] is None else q._gamma() ** (best[1] - 1)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_split_against_all_cuts(spark, seed):
+    rng = np.random.default_rng(seed)
+    values = np.concatenate([np.zeros(200), rng.lognormal(-5, 0.6, 20 * seed), rng.lognormal(-1.5, 0.3, 30)])
+    frame = spark.createDataFrame([(float(v), "symbol_rate") for v in values], "value double, rate string")
+    got = q.quantiles(q.sketches(frame, []), [], {"q50": 0.5}).first()["split"]
+    assert got == pytest.approx(plain_split(values))
+    # The far part is above the limit, the near one below it but for the tail of its spread.
+    assert (values[-30:] > got).all() and (values[:-30] <= got).mean() > 0.98
+    same = q.quantiles(q.sketches(frame.where("value = 0"), []), [], {"q50": 0.5}).first()
+    assert same["split"] is None
+
+
+def test_no_floor_decides_the_symbols(spark):
+    counts = q.measured(table(spark, "/root/testdata/sf0.1", "documents"), ["doc_id", "lang", "source"]).where(~q.base_failed())
+    listed = counts.select("lang", "source", F.lit("symbol_rate").alias("rate"), q.rates()["symbol_rate"].alias("value"))
+    limits = [r.limits["symbol_rate"] for r in q.thresholds(q.sketches(listed, ["lang", "source"])).collect()]
+    assert len(set(limits)) > 1 and min(limits) > q.FLOORS["symbol_rate"]
