@@ -39,7 +39,7 @@ def _drain(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     target = shared_dir(spark, label)
     run = streams.append_chunks(stream, f"{target}/out", f"{target}/checkpoint")
     run.awaitTermination()
-    return spark.read.parquet(f"{target}/out")
+    return streams.read_prompts(spark, f"{target}/out")
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,4 +110,27 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = spark.readStream.schema("role string, content string").parquet(path)
     target = shared_dir(spark, "stream-prompts")
     streams.stream_prompts(said, f"{target}/out", f"{target}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{target}/out")
+    return streams.read_prompts(spark, f"{target}/out")
+
+
+@query(
+    "compact_prompts",
+    with_ctes(
+        SAID, EXCHANGES,
+        f"s AS ({SYSTEM})",
+        body=f"SELECT DISTINCT sha256(body) AS system_sha256, {scrub_sql('body')} AS content FROM s",
+    ),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of two streams over the same messages, compacted: every prompt once."""
+
+    def write(path: str) -> None:
+        fx.exchanges(spark, sf_dir).select(F.inline("messages")).select("role", "content").write.parquet(path)
+
+    path = written_once(spark, sf_dir, "stream-messages", write)
+    target = shared_dir(spark, "compact-prompts")
+    for checkpoint in ("first", "second"):
+        said = spark.readStream.schema("role string, content string").option("maxFilesPerTrigger", 4).parquet(path)
+        streams.stream_prompts(said, f"{target}/out", f"{target}/{checkpoint}").awaitTermination()
+    streams.compact_prompts(spark, f"{target}/out")
+    return streams.read_prompts(spark, f"{target}/out")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,7 +14,7 @@ from logloom.operators.stats import balance_columns, count_by_type
 from logloom.schemas import WIDE_COLUMNS
 from logloom.sources import chunk_index as ci
 from logloom.sources.raw import is_document, split_malformed, with_chunk_name
-from logloom.sources.tiers import DAY, grain_path
+from logloom.sources.tiers import DAY, grain_path, rewrite_in_place
 
 # Fixed values of the log writers: flush interval and upstream budget.
 FLUSH = "60 seconds"
@@ -151,27 +151,64 @@ def stream_pair(entries: DataFrame, lateness: str = "10 minutes", budget: str =
     return requests.join(responses, on, "left_outer").drop("__rid", "__key").withColumn("outcome", outcome)
 
 
-def stream_prompts(messages: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+PROMPTS = "system_sha256 string, content string"
+RANGE = "hash_range"
+
+
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """The dictionary that `stream_prompts` keeps: hash and scrubbed prompt, one row per prompt."""
+    return spark.read.schema(f"{PROMPTS}, {RANGE} string").parquet(path).drop(RANGE)
+
+
+def hash_range(digest: Column, digits: int = 2) -> Column:
+    """Folder of a hash: its first hexadecimal digits, after a letter that keeps the value a text."""
+    return F.concat(F.lit("h"), F.left(digest, F.lit(digits)))
+
+
+def stream_prompts(
+    messages: DataFrame, path: str, checkpoint: str, every: str | None = None, digits: int = 2
+) -> StreamingQuery:
     """Appends every system prompt to a dictionary table at its first sight.
 
     `messages` is (role, content, ...).  One prompt may come with most requests,
     so a batch is first reduced by an aggregate that combines before the
-    shuffle; only its distinct prompts meet the table.  A repeated batch finds
-    its prompts there already and adds nothing.  Credentials are removed before
-    a prompt is stored; the hash is that of the prompt as it was sent.
+    shuffle; only its distinct prompts, written aside, meet the table.  The dictionary is stored by
+    hash range (16 to the power of `digits` folders).  A batch reads the hashes of the ranges that its
+    own prompts fall into; one without new prompts writes nothing.  A repeated batch finds its prompts
+    there already and adds nothing.  `compact_prompts` merges the files of many batches.
+    Credentials are removed before a prompt is stored; the hash is that of the prompt as it was sent.
     """
     spark = messages.sparkSession
+    if not 1 <= digits <= 3:
+        raise ValueError(f"digits must be 1 to 3, not {digits}")
     prompts = messages.where((F.col("role") == "system") & F.col("content").isNotNull()).select(
         prompt_hash(F.col("content")).alias("system_sha256"), "content"
     )
-    spark.createDataFrame([], prompts.schema).write.mode("append").parquet(path)
+    stored = f"{PROMPTS}, {RANGE} string"
+    spark.createDataFrame([], stored).write.mode("append").partitionBy(RANGE).parquet(path)
+    aside = f"{checkpoint.rstrip('/')}-incoming"
 
     def merge(batch: DataFrame, _: int) -> None:
-        known = batch.sparkSession.read.schema(prompts.schema).parquet(path).select("system_sha256")
-        fresh = batch.groupBy("system_sha256").agg(F.min("content").alias("content"))
-        fresh = fresh.join(known, "system_sha256", "left_anti").withColumn("content", scrub_text(F.col("content")))
-        fresh.write.mode("append").parquet(path)
+        session = batch.sparkSession
+        sent = batch.groupBy("system_sha256").agg(F.min("content").alias("content"))
+        sent.withColumn(RANGE, hash_range(F.col("system_sha256"), digits)).write.mode("overwrite").parquet(aside)
+        sent = session.read.schema(stored).parquet(aside)
+        touched = [r[0] for r in sent.select(RANGE).distinct().collect()]  # no more than there are folders
+        if touched:
+            session.catalog.refreshByPath(path)
+            known = session.read.schema(stored).parquet(path).where(F.col(RANGE).isin(touched)).select("system_sha256")
+            fresh = sent.join(known, "system_sha256", "left_anti").withColumn("content", scrub_text(F.col("content")))
+            if not fresh.isEmpty():
+                fresh.repartition(RANGE).write.mode("append").partitionBy(RANGE).parquet(path)
+        ci.remove(session, aside)
 
     writer = prompts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
+
+
+def compact_prompts(spark: SparkSession, path: str) -> int:
+    """Rewrites the dictionary in the order of its hashes, few files a range; returns its rows.  Not beside a running stream."""
+    if not any(n.startswith(f"{RANGE}=") for n in ci.names_in(spark, path)):
+        return 0
+    return rewrite_in_place(spark, path, lambda df: df, partition=RANGE, order="system_sha256")

@@ -78,3 +78,30 @@ def test_prompts_seen_once_across_batches(spark, tmp_path):
     streams.stream_prompts(said, str(tmp_path / "d"), str(tmp_path / "cp2")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "d"))
     assert sorted(r["content"] for r in out.collect()) == ["p1", "p2"]
+    assert streams.compact_prompts(spark, str(tmp_path / "d")) == 2
+    assert streams.read_prompts(spark, str(tmp_path / "d")).columns == ["system_sha256", "content"]
+
+
+def test_prompt_dictionary_adds_files_only_for_new_prompts(spark, tmp_path):
+    src, target = tmp_path / "m", tmp_path / "d"
+
+    def files():
+        return sorted(str(f.relative_to(target)) for f in target.rglob("*.parquet"))
+
+    def run(*prompts):
+        spark.createDataFrame([("system", p) for p in prompts], "role string, content string").coalesce(1).write.mode("append").parquet(str(src))
+        said = spark.readStream.schema("role string, content string").parquet(str(src))
+        streams.stream_prompts(said, str(target), str(tmp_path / "cp")).awaitTermination()
+
+    run()
+    assert files() == [] and streams.read_prompts(spark, str(target)).count() == 0 and streams.compact_prompts(spark, str(target)) == 0
+    run(*[f"p{i}" for i in range(300)])
+    first = files()
+    assert len({f.split("/")[0] for f in first}) == len(first) > 100
+    run("p1", "p2", "p2")
+    assert files() == first
+    run("p1", "new")
+    assert len(files()) == len(first) + 1
+    assert streams.compact_prompts(spark, str(target)) == 301
+    assert len(files()) <= len(first) + 1
+    assert {r["content"] for r in streams.read_prompts(spark, str(target)).collect()} == {"new", *[f"p{i}" for i in range(300)]}
