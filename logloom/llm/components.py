@@ -14,12 +14,13 @@ def _toward_minimum(links: DataFrame, both_ways: bool) -> DataFrame:
     """Every neighbour of a node is linked to the least of the node and its neighbours.
 
     With `both_ways` only larger neighbours move (large star); else the links of a node to
-    smaller ones do (small star).  The least is aggregated first and joined back, so that a
-    node with very many links is split like any skewed join key.
+    smaller ones do (small star).  The least is aggregated first, stored, and joined back: as a
+    stored table it leaves Spark free to split the links of a node that has very many of them,
+    which an aggregate on the join key in the same plan would not.
     """
     if both_ways:
         links = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = links.groupBy(F.col("a").alias("of")).agg(F.least(F.min("b"), F.first("a")).alias("least"))
+    least = staged(links.groupBy(F.col("a").alias("of")).agg(F.least(F.min("b"), F.first("a")).alias("least")), "least")
     moved = links.join(least, F.col("a") == F.col("of"))
     if both_ways:
         return moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
@@ -32,8 +33,10 @@ def _toward_minimum(links: DataFrame, both_ways: bool) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """From links (a, b) of one sortable type: node and component (the least node reachable).
 
-    Nodes without a link to another node do not occur.  Each round is written to the shared
-    folder; the rounds needed grow with the logarithm of the longest chain.
+    Nodes without a link to another node do not occur: links with a null end and links of a node to
+    itself are left out, repeated and reversed links count once, and an empty table gives no rows.
+    Each half round is written to the shared folder; the rounds needed grow with the logarithm of
+    the longest chain.
     """
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -44,7 +47,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not seen[0]:
             break
-        current = staged(_toward_minimum(_toward_minimum(current, True), False), "links")
+        larger = staged(_toward_minimum(current, True), "links")
+        current = staged(_toward_minimum(larger, False), "links")
         if (now := state(current)) == seen:
             break
         seen = now

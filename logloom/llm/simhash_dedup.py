@@ -338,7 +338,9 @@ def near_components(fingerprints: DataFrame, errors: int = ERRORS, part_leaves:
     labelled = leaves.join(found, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component")
     )
-    ids = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # Stored, so that a component with very many fingerprints can be split over tasks in the join.
+    labelled = staged(labelled, "labelled")
+    ids = staged(labelled.groupBy("component").agg(F.min("first_id").alias("component_id")), "components")
     return labelled.join(ids, "component").select("fingerprint", "component_id")
 
 

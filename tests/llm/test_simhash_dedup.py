@@ -7,7 +7,8 @@ import pytest
 import xxhash
 from logloom.llm import simhash_dedup as d
 from logloom.llm.common import table
-from logloom.llm.components import connected_components
+from pyspark.sql import functions as F
+from logloom.llm.components import _toward_minimum, connected_components
 
 
 def plain_fingerprint(text):
@@ -144,3 +145,29 @@ def test_query(spark):
         least[roots[v]] = min(i, least.get(roots[v], i))
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in d.op7_simhash_dedup(spark, "/root/testdata/sf0.001").collect()}
     assert got == {i: (f"{v:016x}", least[roots[v]]) for i, v in prints.items()}
+
+
+@pytest.mark.parametrize("both_ways", [True, False])
+def test_the_centre_of_a_star_is_split_over_tasks(spark, both_ways):
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        # A star of 60,000 links, seen from its centre: the centre is the largest node for the small star.
+        far = spark.range(1, 60_001, 1, 8).select(F.col("id").alias("leaf"), F.lit(0 if both_ways else 70_000).alias("centre").cast("long"))
+        near = spark.range(100_000, 100_400, 1, 8).select(F.col("id").alias("leaf"), (F.col("id") + 1000).alias("centre"))
+        ends = far.unionAll(near)
+        links = ends.select(F.greatest("leaf", "centre").alias("a"), F.least("leaf", "centre").alias("b"))
+        moved = _toward_minimum(links, both_ways)
+        rows = moved.collect()
+        plan = moved._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plan
+    assert len({r.a for r in rows}) >= 60_000
