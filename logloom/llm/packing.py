@@ -36,7 +36,7 @@ from logloom.llm.token_counts import load, tokenizer_path
 
 CAPACITY = 2048
 CLOSING_ID = 1
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 BUCKET_ROWS = 8_000
 
 # An ASCII or Latin-1 letter, then the punctuation that ends a word.  The letter ends a run of
@@ -86,20 +86,25 @@ class WordIds:
     """Token ids, as little-endian bytes, of words between ASCII blanks, remembered up to a bound.
 
     The word tokenizer drops white space and never joins what it separates, so the ids of a
-    text are those of its words in a row.
+    text are those of its words in a row.  Words are kept in two generations of half the bound:
+    a full one replaces the older one, and what is met there moves to the new one, so the frequent
+    words stay known.
     """
 
     def __init__(self, path: str, bound: int = REMEMBERED):
         self.tokenizer, self.bound = load(path), bound
         self.model = self.tokenizer.model
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {b"": b""}
         # plain letters may go to the vocabulary directly where that is what the tokenizer does
         whole = [e.ids for e in self.tokenizer.encode_batch_fast(_PROBES, add_special_tokens=False)]
         self.direct = whole == [self._letter_ids(p) for p in _PROBES]
 
     def _letter_ids(self, letters: str) -> list[int]:
-        written = letters.lower().encode().decode("latin-1").translate(_CHARACTERS)
+        written = letters.lower()
+        if not written.isascii():  # ASCII letters stand for themselves
+            written = written.encode().decode("latin-1").translate(_CHARACTERS)
         return [token.id for token in self.model.tokenize(written)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -120,15 +125,15 @@ class WordIds:
 
     def ids(self, text: bytes) -> bytes:
         words = text.split()
-        known = self.words
-        new = [w for w in set(words) if w not in known]
+        new = [w for w in set(words) if w not in self.words]
         if new:
-            if len(known) + len(new) > self.bound:
-                known.clear()
-                self.stems = {b"": b""}
-                new = list(set(words))
-            self._learn(new)
-        return b"".join(map(known.__getitem__, words))
+            if len(self.words) + len(new) > self.bound // 2:
+                self.older, self.words, self.stems = self.words, {}, {b"": b""}
+                new = set(words)
+            older = self.older
+            self.words.update((w, older[w]) for w in new if w in older)
+            self._learn([w for w in new if w not in older])
+        return b"".join(map(self.words.__getitem__, words))
 
 
 @cache

@@ -157,3 +157,13 @@ def test_plan_uses_every_piece_once(counts):
             assert low == at and high > low
             at = high
         assert at == c
+
+
+def test_words_forgotten_and_met_again_keep_their_ids():
+    path = t.tokenizer_path("word_bpe_49k.json")
+    reader = p.WordIds(path, bound=12)
+    texts = [f"The Über-straße, word{i % 7} naïve{i % 5}! IT'S <s> {i * 37} ok..." for i in range(40)] + ["", " \n", "the the THE"]
+    for text in texts:
+        whole = p.load(path).encode(text, add_special_tokens=False).ids
+        assert reader.ids(text.encode()) == p._packed(whole)
+        assert len(reader.words) <= 12 + len(set(text.split()))
