@@ -9,9 +9,9 @@ Training uses a bounded sample: per class at most ``SAMPLE_PER_CLASS`` labelled
 with the least hashed ids, of texts up to ``SAMPLE_BYTES`` bytes.  A part of it is held back
 for early stopping.  Calibration then covers every usable labelled row, of any length: the rows
 are scored where they lie, and histograms of the logit by language and class come back.  The
-logit is shifted so that 0.5 is the best cut, and a threshold is fitted per language (a language
-with few toxic rows takes the common one).  Language never enters the score; the thresholds only
-serve ``flagged``.
+logit is stored, so each text is scored once, and shifted so that 0.5 is the best cut; a
+threshold is fitted per language (a language with few toxic rows takes the common one).
+Language never enters the score; the thresholds only serve ``flagged``.
 
 Scoring reads every whole text in blocks of words and keeps running maxima, so memory does not
 grow with the text.  An embedding meets a filter tap in a table that each worker multiplies
@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import table, unused
+from logloom.llm.common import staged, table, unused
 
 SLOTS = 1 << 16
 WIDTHS = (1, 2, 3)
@@ -295,21 +295,22 @@ def usable_labels(labels: DataFrame) -> DataFrame:
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, max_bytes: int = SAMPLE_BYTES):
     """The bounded sample as pandas (text, toxic, lang), and the share of toxic rows among all usable labels.
 
-    Rows whose crc32(doc_id as text) mod 5 is 0 are never used.  The ids are chosen from the
-    labels alone and broadcast (at most twice `per_class`), so no text is shuffled.
+    Rows whose crc32(doc_id as text) mod 5 is 0 are never used.  Only ids with a text that is
+    short enough use up the sample; they are found by a join of ids alone and the chosen ones
+    (at most twice `per_class`) broadcast, so no text is shuffled.
     """
     usable = usable_labels(labels)
     share = usable.agg(F.avg("toxic")).first()[0] or 0.0
-    order = F.xxhash64("doc_id")
+    short = docs.where(F.octet_length("text") <= max_bytes)
+    able = short.select("doc_id").join(usable.distinct().withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"))
+    able = able.select("of", "toxic").distinct()
     picked = None
     for c in (0, 1):
-        own = usable.where(F.col("toxic") == c).groupBy("doc_id", "toxic").count().orderBy(order, "doc_id").limit(per_class)
+        own = able.where(F.col("toxic") == c).orderBy(F.xxhash64("of"), "of").limit(per_class)
         picked = own if picked is None else picked.unionAll(own)
-    picked = picked.select(F.col("doc_id").alias("of"), "toxic")
-    rows = docs.select("doc_id", "text", "lang").where(F.octet_length("text") <= max_bytes)
-    sample = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("of"))
-    found = sample.select("doc_id", "text", "toxic", "lang").toPandas().drop_duplicates(["doc_id", "toxic"])
-    return found.sort_values(["doc_id", "toxic"], kind="stable"), float(share)
+    sample = short.select("doc_id", "text", "lang").join(F.broadcast(picked), F.col("doc_id") == F.col("of"))
+    found = sample.select("doc_id", "text", "toxic", "lang").toPandas().sort_values(["doc_id", "toxic", "text"], kind="stable")
+    return found.drop_duplicates(["doc_id", "toxic"]), float(share)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, dict[str, float]]:
@@ -318,44 +319,79 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, dict[str, float]]:
     return calibrate(docs, labels, model, thresholds)
 
 
-def logit_histogram(docs: DataFrame, labels: DataFrame, model: Model) -> pd.DataFrame:
-    """(lang, toxic, logit, n) over all usable labelled rows; its size depends on the number of languages alone.
-
-    Scores are taken before the labels are joined, so that no text is shuffled.
-    """
-    known = usable_labels(labels).distinct().select(F.col("doc_id").alias("of"), "toxic")
-    scored = docs.select("doc_id", "lang", scores(F.col("text"), model, docs.sparkSession).alias("score"))
-    logit = F.greatest(F.least(F.log(F.col("score") / (1 - F.col("score"))), F.lit(LOGIT_REACH)), F.lit(-LOGIT_REACH))
-    logit = F.when(F.col("score") >= 1, LOGIT_REACH).when(F.col("score") <= 0, -LOGIT_REACH).otherwise(logit)
-    counted = scored.join(known, F.col("doc_id") == F.col("of")).groupBy("lang", "toxic", F.floor(logit * LOGIT_STEPS).alias("bucket"))
+def counted_logits(scored: DataFrame, labels: DataFrame, logit: str) -> pd.DataFrame:
+    """(lang, toxic, logit, n) over all usable labelled rows; its size depends on the number of languages alone."""
+    known = usable_labels(labels).distinct().select(F.col("doc_id").alias("__of"), "toxic")
+    narrow = scored.select("doc_id", "lang", F.greatest(F.least(F.col(logit), F.lit(LOGIT_REACH)), F.lit(-LOGIT_REACH)).alias("logit"))
+    counted = narrow.join(known, F.col("doc_id") == F.col("__of")).groupBy("lang", "toxic", F.floor(F.col("logit") * LOGIT_STEPS).alias("bucket"))
     found = counted.agg(F.count(F.lit(1)).alias("n")).toPandas()
     found["logit"] = (found["bucket"].astype("float64") + 0.5) / LOGIT_STEPS
     return found.sort_values(["bucket", "toxic"], kind="stable")
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, model: Model, thresholds: dict[str, float]) -> tuple[Model, dict[str, float]]:
-    """`model` with its shift, and the thresholds, from all usable labelled rows."""
-    if model.fixed is not None:
-        return model, thresholds
-    found = logit_histogram(docs, labels, model)
+def logit_histogram(docs: DataFrame, labels: DataFrame, model: Model) -> pd.DataFrame:
+    """`counted_logits` of texts not scored yet.  Scores are taken before the labels are joined, so no text is shuffled."""
+    scored = docs.select("doc_id", "lang", logits(F.col("text"), model, docs.sparkSession).alias("logit"))
+    return counted_logits(scored, labels, "logit")
+
+
+def cuts(found: pd.DataFrame) -> tuple[float, dict[str, float]]:
+    """From counted logits: the best common cut, and the thresholds (as scores once it is taken off)."""
     if found["toxic"].nunique() < 2:
-        return model, thresholds
+        return 0.0, {"": 0.5}
     cut_of = lambda x: _best_cut(x["logit"].to_numpy(), x["toxic"].to_numpy(np.float64), x["n"].to_numpy(np.float64))
     common = cut_of(found)
-    model.shift -= common
     thresholds = {"": 0.5}
     for lang, own in found.groupby("lang"):
         sizes = own.groupby("toxic")["n"].sum()
         if lang and min(sizes.get(0, 0), sizes.get(1, 0)) >= MIN_TOXIC:
             thresholds[str(lang)] = float(1 / (1 + np.exp(-np.clip(cut_of(own) - common, -50, 50))))
+    return common, thresholds
+
+
+def calibrate(docs: DataFrame, labels: DataFrame, model: Model, thresholds: dict[str, float]) -> tuple[Model, dict[str, float]]:
+    """`model` with its shift, and the thresholds, from all usable labelled rows."""
+    if model.fixed is not None:
+        return model, thresholds
+    common, thresholds = cuts(logit_histogram(docs, labels, model))
+    model.shift -= common
     return model, thresholds
 
 
+def fit_and_score(docs: DataFrame, labels: DataFrame, keep: list[str], score: str) -> tuple[DataFrame, dict[str, float]]:
+    """The columns `keep` of every row of `docs` with its calibrated score, and the thresholds.
+
+    Each text is scored once: the logits are stored, the cuts are taken from them, and the shift,
+    which is a constant, is added afterwards.
+    """
+    sample, share = training_sample(docs, labels)
+    model, thresholds = train(sample["text"].tolist(), sample["toxic"].tolist(), share)
+    if model.fixed is not None:
+        return docs.select(*keep, F.lit(float(model.fixed)).alias(score)), thresholds
+    held = staged(docs.select(*keep, logits(F.col("text"), model, docs.sparkSession).alias(score)), "logits")
+    common, thresholds = cuts(counted_logits(held, labels, score))
+    shifted = F.greatest(F.least(F.col(score) - F.lit(common), F.lit(50.0)), F.lit(-50.0))
+    return held.withColumn(score, 1 / (1 + F.exp(-shifted))), thresholds
+
+
 @lru_cache(maxsize=2)
 def _scorer(packed: bytes) -> Scorer:
     return Scorer(pickle.loads(packed))
 
 
+def logits(text: Column, model: Model, spark: SparkSession) -> Column:
+    """The logit of every whole text, with the model's shift, as a column."""
+    shared = spark.sparkContext.broadcast(pickle.dumps(model))
+
+    @F.pandas_udf("double")
+    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = _scorer(shared.value)
+        for part in parts:
+            yield pd.Series([scorer.logit(t or "") for t in part], dtype="float64")
+
+    return found(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def scores(text: Column, model: Model, spark: SparkSession) -> Column:
     """The score of every whole text, as a column."""
     shared = spark.sparkContext.broadcast(pickle.dumps(model))
@@ -380,16 +416,13 @@ def toxic_by_language(score: Column, lang: Column, thresholds: dict[str, float])
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are not toxic by their language's threshold; columns unchanged."""
-    model, thresholds = fit(docs, labels)
     score = unused(docs, "__score")
-    scored = docs.withColumn(score, scores(F.col("text"), model, docs.sparkSession))
+    scored, thresholds = fit_and_score(docs, labels, docs.columns, score)
     return scored.where(~toxic_by_language(F.col(score), F.col("lang"), thresholds)).select(*docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model, thresholds = fit(docs, table(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", "lang", scores(F.col("text"), model, spark).alias("score"))
+    scored, thresholds = fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id", "lang"], "score")
     return scored.select(
         "doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),

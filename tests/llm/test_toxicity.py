@@ -76,6 +76,23 @@ def test_sample_leaves_out_the_held_rows(spark):
     assert 0.3 < share < 0.7
 
 
+def test_labels_without_usable_texts_leave_the_sample_whole(spark):
+    docs, labels = labelled(spark, [(i, None if i < 100 else "x" * 50 if i < 150 else f"text {i}", i % 2) for i in range(200)])
+    labels = labels.unionAll(labels.selectExpr("doc_id + 1000", "toxic"))
+    sample, _ = t.training_sample(docs, labels, per_class=15, max_bytes=20)
+    assert sorted(sample.groupby("toxic").size()) == [15, 15] and sample["doc_id"].between(150, 199).all()
+
+
+def test_one_scoring_pass_gives_the_calibrated_scores(spark):
+    rows = [(i, f"vile word{i % 7}" if i % 3 == 0 else f"kind word{i % 11}", int(i % 3 == 0)) for i in range(150)] + [(None, None, 0)]
+    docs, labels = labelled(spark, rows)
+    model, thresholds = t.fit(docs, labels)
+    once, same = t.fit_and_score(docs, labels, docs.columns, "__score")
+    twice = docs.withColumn("__score", t.scores(F.col("text"), model, spark))
+    key = lambda df: sorted((r.doc_id or -1, round(r["__score"], 9)) for r in df.collect())
+    assert key(once) == key(twice) and same == thresholds
+
+
 def test_thresholds_come_from_all_labelled_rows(spark):
     """A language whose toxic rows are few, and all too long for the sample, gets its own threshold."""
     rows = [(i, f"vile word{i % 7}" if i % 3 == 0 else f"kind word{i % 11}", "en", int(i % 3 == 0)) for i in range(300)]
