@@ -39,7 +39,7 @@ def _drain(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     target = shared_dir(spark, label)
     run = streams.append_chunks(stream, f"{target}/out", f"{target}/checkpoint")
     run.awaitTermination()
-    return streams.read_prompts(spark, f"{target}/out")
+    return spark.read.schema(stream.schema).parquet(f"{target}/out")
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,3 +105,12 @@ def test_prompt_dictionary_adds_files_only_for_new_prompts(spark, tmp_path):
     assert streams.compact_prompts(spark, str(target)) == 301
     assert len(files()) <= len(first) + 1
     assert {r["content"] for r in streams.read_prompts(spark, str(target)).collect()} == {"new", *[f"p{i}" for i in range(300)]}
+
+
+def test_a_drained_stream_keeps_its_own_columns(spark):
+    """What the registered streams read back is the stream's table, whatever its columns, and not the prompt dictionary's."""
+    from logloom.registry import streams as registered
+
+    stream = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 3).load().select(F.col("value").alias("n"), "timestamp")
+    out = registered._drain(stream, spark, "drained")
+    assert out.columns == ["n", "timestamp"] and out.schema == stream.schema and sorted(r.n for r in out.collect()) == [0, 1, 2]
