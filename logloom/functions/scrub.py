@@ -78,7 +78,7 @@ def scrub_text(c: Column) -> Column:
 
 _RULES = [(re.compile(pattern), replacement.replace("{1}", r"\1")) for pattern, replacement in TEXT_RULES]
 _SENSITIVE = re.compile(SENSITIVE_KEYS, re.IGNORECASE)
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]', re.DOTALL)
+_TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|[{}\[\],:]', re.DOTALL)
 _CLOSES = {"}": "{", "]": "["}
 
 
@@ -102,7 +102,11 @@ def _clean_literal(literal: str, key: str | None) -> str:
     """A JSON string literal under `key`, or its replacement."""
     if key is not None and _SENSITIVE.fullmatch(key):
         return json.dumps(REDACTED)
-    value = json.loads(literal)
+    value = json.loads(literal) if "\\" in literal else literal[1:-1]
+    if value.isascii() and "\\" not in value:  # an embedded document spells no character by an escape
+        lower = value.lower()
+        if not any(word in lower for word in HINTS):
+            return literal
     embedded = key in EMBEDDED_JSON_KEYS and value.lstrip()[:1] in ("{", "[") and _is_json(value)
     clean = _edited(value) if embedded else scrub_plain(value)
     return literal if clean == value else json.dumps(clean, ensure_ascii=literal.isascii())
@@ -173,13 +177,34 @@ SECRET_GATE = "(?iU)" + "|".join((
 ))
 
 
+# The same for ASCII text in lower case, by the literal word that a match holds: without case folding and with a
+# literal first each pattern is a fast search.  A key/value name counts by its last part, as nothing is anchored.
+_G, _THEN = _GAP.replace("A-F", ""), rf"""[\\"']*{_GAP.replace("A-F", "")}*[:=]"""
+WORD_GATES = {
+    "token": rf"token{_THEN}",
+    "password": rf"password{_THEN}",
+    "secret": rf"secret(?:{_THEN}|{_G}+')",
+    "key": rf"(?:(?:s3|api|secret[_-]?access)[_-]?key|access[_-]?key[_-]?id){_THEN}|key_id{_G}+'",
+    "aws": rf"aws[_-]?access{_THEN}",
+    "passwd": rf'"passwd\\*"{_G}*:',
+    "authorization": rf'"authorization\\*"{_G}*:',
+    "bearer": rf'"bearer\\*"{_G}*:|bearer{_G}+[a-z0-9._\-]',
+    "\\u": r"\\u(?:00[2-7][0-9a-f]|017f|212a)",
+}
+
+
 def may_hold_secret(c: Column) -> Column:
     """Native test of a document, false only where no rule can apply.
 
-    Substring tests come first; only text that holds one of the words meets the pattern.  A count
-    like `"tokens": 5` holds a word and is no secret, and passes here.
+    Substring tests come first; only text that holds one of the words meets its pattern.  A count
+    like `"tokens": 5` holds a word and is no secret, and passes here.  Text beyond ASCII, where
+    letters fold in other ways, meets the pattern for all.
     """
-    return (_hinted(c) | c.contains("\\u")) & c.rlike(SECRET_GATE)
+    lower, hit = F.lower(c), F.lit(False)
+    for word, pattern in WORD_GATES.items():
+        hit = hit | (lower.contains(word) & lower.rlike(pattern))
+    beyond = (_hinted(c) | c.contains("\\u")) & c.rlike(SECRET_GATE)
+    return F.when(F.octet_length(c) == F.length(c), hit).otherwise(beyond)
 
 
 def scrub_json(c: Column) -> Column:

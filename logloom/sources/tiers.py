@@ -174,18 +174,19 @@ def rewrite_jsonl(spark: SparkSession, raw: DataFrame, how: Callable[[Column], C
     rewrites the lines of changed chunks only, usually a small part.  A chunk of
     any size is written by several tasks, in parts that follow each other.
     """
+    keys = ["root", "log_day", "chunk"]
     tested = raw.select("path", F.col("entry").alias("__was"), how(F.col("entry")).alias("__now"))
     changed = F.count_if(~F.col("__was").eqNullSafe(F.col("__now")))
     counts = shared_dir(spark, "chunk-counts")
     tested.groupBy("path").agg(F.count("*").alias("lines"), changed.alias("changed_lines")).write.parquet(counts)
     report = spark.read.parquet(counts)
 
-    touched = report.where(F.col("changed_lines") > 0).select("path")
+    # a chunk's place is worked out once, and not for every line of it
+    touched = report.where(F.col("changed_lines") > 0).select("path", *[c.alias(n) for n, c in chunk_place(F.col("path")).items()])
     position = F.col("position") if "position" in raw.columns else F.lit(None).cast("long")
-    keys = ["root", "log_day", "chunk"]
     (
-        raw.join(touched, "path", "left_semi")
-        .select("entry", *[c.alias(n) for n, c in chunk_place(F.col("path")).items()], position.alias("position"))
+        raw.withColumn("__position", position).select("path", "entry", "__position").join(touched, "path")
+        .select("entry", *keys, F.col("__position").alias("position"))
         .repartitionByRange(*keys, "position")
         .sortWithinPartitions(*keys, "position")
         .select(how(F.col("entry")).alias("value"), *keys)

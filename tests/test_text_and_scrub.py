@@ -209,3 +209,18 @@ def test_the_gate_lets_through_every_document_that_a_scrub_changes(spark):
     assert [r["t"] for r in flagged if not r["f"] and scrub_document(r["t"]) != r["t"]] == []
     clean = ['{"tokens": {"prompt_tokens": 5, "total_tokens": 7}, "note": "the key of a token"}', '{"monkey": 1, "max_tokens": 2}']
     assert spark.createDataFrame([(d,) for d in clean], "t string").where(may_hold_secret(F.col("t"))).count() == 0
+
+
+def test_the_word_gates_say_what_the_gate_for_all_text_says(spark):
+    """ASCII text meets one literal-first pattern per word it holds; whatever is spelled, the verdict is the same."""
+    from logloom.functions.scrub import SECRET_GATE, WORD_GATES, _hinted
+
+    rnd = random.Random(5)
+    pieces = ['"', '\\"', "'", ":", "=", " ", "\\n", "\\u0041", "\\u017f", "\\", "Tokens", "{", "\t", "\x1c", "_", "-", "s3", "id", "x", "ſ", "é",
+              *WORD_GATES, "SECRET", "Key", "access", "api", "auth_", "KEY_ID", "Bearer"]
+    docs = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 9))) for _ in range(20_000)]
+    c = F.col("t")
+    told = spark.createDataFrame([(d,) for d in docs], "t string").select(
+        ((_hinted(c) | c.contains("\\u")) & c.rlike(SECRET_GATE)).alias("was"), may_hold_secret(c).alias("now")
+    ).groupBy("was", "now").count().collect()
+    assert {(r.was, r.now) for r in told} == {(True, True), (False, False)}
