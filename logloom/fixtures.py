@@ -51,12 +51,29 @@ def written_once(spark: SparkSession, sf_dir: str, label: str, write: Callable[[
     return _WRITTEN[key]
 
 
-def stored(spark: SparkSession, sf_dir: str, label: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table, spread over enough files to be read in parallel."""
+def stored(spark: SparkSession, sf_dir: str, label: str, make: Callable[[], DataFrame], deal: bool = True) -> DataFrame:
+    """A derived table, spread over enough files to be read in parallel.
+
+    With `deal` its rows are dealt to that many files; rows that come spread already (a join's, or those of
+    another stored table) need not be sorted and shuffled for it.
+    """
     files = spark.sparkContext.defaultParallelism
-    return spark.read.parquet(
-        written_once(spark, sf_dir, label, lambda path: make().repartition(files).write.parquet(path))
-    )
+
+    def write(path: str) -> None:
+        rows = make()
+        (rows.repartition(files) if deal else rows).write.parquet(path)
+
+    return spark.read.parquet(written_once(spark, sf_dir, label, write))
+
+
+def stored_view(spark: SparkSession, sf_dir: str, label: str, sql: str, name: str) -> DataFrame:
+    """A stored view of one table.  The table's short rows are dealt out, not the long texts made of them."""
+
+    def make() -> DataFrame:
+        rows = table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism)
+        return spark.sql(_bind(sql, (name,)), **{name: rows})
+
+    return stored(use_utc(spark), sf_dir, label, make, deal=False)
 
 
 # Raw log lines, one per event: even events are requests, odd events answer the
@@ -127,7 +144,7 @@ FROM (
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ts, day, type, request_id, origin, path, entry) of every log line."""
-    return stored(use_utc(spark), sf_dir, "log-lines", lambda: run_view(spark, sf_dir, LOG_LINES, "events"))
+    return stored_view(spark, sf_dir, "log-lines", LOG_LINES, "events")
 
 
 def legacy_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +251,7 @@ FROM (SELECT event_id, event_type, cast(event_id AS varchar(20)) AS n FROM event
 """
 
 def tool_args(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(use_utc(spark), sf_dir, "tool-args", lambda: run_view(spark, sf_dir, TOOL_ARGS, "events"))
+    return stored_view(spark, sf_dir, "tool-args", TOOL_ARGS, "events")
 
 
 # Log records with credentials in every place the structural scrub looks at.
@@ -252,7 +269,7 @@ FROM (SELECT event_id, event_type, cast(event_id AS varchar(20)) AS n FROM event
 """
 
 def secret_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(use_utc(spark), sf_dir, "secret-records", lambda: run_view(spark, sf_dir, SECRET_RECORDS, "events"))
+    return stored_view(spark, sf_dir, "secret-records", SECRET_RECORDS, "events")
 
 
 # Object listing of a bucket: raw chunks per hour, tier files for some days, and

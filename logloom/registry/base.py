@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom import fixtures as fx
 from logloom.fixtures import written_once  # noqa: F401
-from logloom.session import ship, use_utc
+from logloom.session import ship, use_small_splits, use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name!r} is registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(use_utc(ship(spark)), sf_dir)
+            return fn(use_small_splits(use_utc(ship(spark))), sf_dir)
 
         run.__module_of__ = fn.__module__.rpartition(".")[2]
         QUERIES[name] = run

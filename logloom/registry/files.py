@@ -50,9 +50,12 @@ def _flushed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated.unionAll(undated)
 
 
+LINES_OF_A_TASK = 250_000
+
+
 def _write_chunks(lines: DataFrame, path: str) -> None:
     named = lines.select(F.col("entry").alias("value"), "log_day", F.concat("hour", F.lit("-00-00-host-1-a.jsonl")).alias("chunk"))
-    named.repartitionByRange("log_day", "chunk").write.partitionBy("log_day", "chunk").text(path)
+    tiers.by_range(named, lines.count() // LINES_OF_A_TASK + 1, "log_day", "chunk").write.partitionBy("log_day", "chunk").text(path)
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> str:

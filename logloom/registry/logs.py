@@ -28,7 +28,7 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide tier as the pipeline leaves it."""
-    return fx.stored(spark, sf_dir, "wide-tier", lambda: _wide(spark, sf_dir))
+    return fx.stored(spark, sf_dir, "wide-tier", lambda: _wide(spark, sf_dir), deal=False)
 
 
 def _turns(spark: SparkSession, sf_dir: str, scope: str = "month") -> DataFrame:
@@ -41,7 +41,7 @@ def _rollup(spark: SparkSession, sf_dir: str, scope: str = "month") -> DataFrame
 
 def _stored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turn tier as the pipeline leaves it; session reports start from it."""
-    return fx.stored(spark, sf_dir, "turn-tier", lambda: _turns(spark, sf_dir))
+    return fx.stored(spark, sf_dir, "turn-tier", lambda: _turns(spark, sf_dir), deal=False)
 
 
 def _stored_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,15 @@ def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-TASK_BYTES = 128 << 20  # stored bytes that one task of an ordered write takes
+# Stored bytes that one task of an ordered write takes: in memory a compressed record is about twenty times as large.
+TASK_BYTES = 16 << 20
+LINE_BYTES = 128 << 20  # the same for lines of text, which are not compressed
+
+
+def by_range(df: DataFrame, tasks: int, *keys: Column | str) -> DataFrame:
+    """Range-partitioned by the session's number of tasks, or by `tasks` if they are more."""
+    many = tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(tasks, *keys) if many else df.repartitionByRange(*keys)
 
 
 def write_tier(
@@ -67,11 +75,8 @@ def write_tier(
     """
     dated = df.withColumn(DAY, F.to_date(ts) if day is None else day)
     keys = [F.col(DAY), time_bucket(F.col(ts)), *[F.col(c) for c in order]]
-    tasks = (size or 0) // TASK_BYTES + 1
-    many = tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = dated.repartitionByRange(tasks, *keys) if many else dated.repartitionByRange(*keys)
     (
-        ranged.sortWithinPartitions(DAY, *order)
+        by_range(dated, (size or 0) // TASK_BYTES + 1, *keys).sortWithinPartitions(DAY, *order)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
@@ -140,7 +145,7 @@ def rewrite_in_place(
         raise RuntimeError(f"{path}: {after} rows staged of {before}; original untouched")
     if partition:
         keys = [F.col(partition), F.col(order)]
-        out = staged.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy(partition)
+        out = by_range(staged, size_of(spark, staging) // TASK_BYTES + 1, *keys).sortWithinPartitions(*keys).write.partitionBy(partition)
         out = out.option("partitionOverwriteMode", "dynamic")
     else:
         out = staged.repartitionByRange(F.col(order)).sortWithinPartitions(order).write
@@ -178,16 +183,21 @@ def rewrite_jsonl(spark: SparkSession, raw: DataFrame, how: Callable[[Column], C
     tested = raw.select("path", F.col("entry").alias("__was"), how(F.col("entry")).alias("__now"))
     changed = F.count_if(~F.col("__was").eqNullSafe(F.col("__now")))
     counts = shared_dir(spark, "chunk-counts")
-    tested.groupBy("path").agg(F.count("*").alias("lines"), changed.alias("changed_lines")).write.parquet(counts)
-    report = spark.read.parquet(counts)
+    size = F.sum(F.octet_length("__was")).alias("__bytes")
+    tested.groupBy("path").agg(F.count("*").alias("lines"), changed.alias("changed_lines"), size).write.parquet(counts)
+    counted = spark.read.parquet(counts)
+    report = counted.drop("__bytes")
+    rewritten = counted.where("changed_lines > 0").agg(F.coalesce(F.sum("__bytes"), F.lit(0))).first()[0]
 
     # a chunk's place is worked out once, and not for every line of it
     touched = report.where(F.col("changed_lines") > 0).select("path", *[c.alias(n) for n, c in chunk_place(F.col("path")).items()])
     position = F.col("position") if "position" in raw.columns else F.lit(None).cast("long")
     (
-        raw.withColumn("__position", position).select("path", "entry", "__position").join(touched, "path")
-        .select("entry", *keys, F.col("__position").alias("position"))
-        .repartitionByRange(*keys, "position")
+        by_range(
+            raw.withColumn("__position", position).select("path", "entry", "__position").join(touched, "path")
+            .select("entry", *keys, F.col("__position").alias("position")),
+            rewritten // LINE_BYTES + 1, *keys, "position",
+        )
         .sortWithinPartitions(*keys, "position")
         .select(how(F.col("entry")).alias("value"), *keys)
         .write.mode("errorifexists")

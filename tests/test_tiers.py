@@ -297,3 +297,25 @@ def test_mixed_schemas_read_by_name(spark, tmp_path, entries):
     entries.write.parquet(str(tmp_path / "b"))
     both = tiers.read_mixed(spark, str(tmp_path / "a"), str(tmp_path / "b"))
     assert both.count() == 2 * len(LINES) and both.where("latency_ms = 1500").count() == 5
+
+
+def test_short_rows_are_dealt_and_not_the_lines_made_of_them(spark, monkeypatch):
+    """The log lines are put together after the shuffle that spreads the events; tiers made of stored rows need no such shuffle."""
+    from logloom import fixtures as fx
+    from logloom.registry import logs
+
+    asked = {}
+    monkeypatch.setattr(fx, "stored", lambda s, d, label, make, deal=True: asked.update({label: (make, deal)}) or spark.range(1))
+    fx.log_lines(spark, "/root/testdata/sf0.001")
+    make, deal = asked["log-lines"]
+    plan = make()._jdf.queryExecution().optimizedPlan().toString()
+    assert not deal and plan.index("timestamp") < plan.index("Repartition") and "props" not in plan[: plan.index("Repartition")]
+    logs._consolidated(spark, "/root/testdata/sf0.001"), logs._stored_turns(spark, "/root/testdata/sf0.001")
+    assert not asked["wide-tier"][1] and not asked["turn-tier"][1]
+
+
+def test_ordered_writes_take_more_tasks_for_more_bytes(spark):
+    rows = spark.range(1000)
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tiers.by_range(rows, 3 * few, "id").rdd.getNumPartitions() == 3 * few
+    assert tiers.TASK_BYTES <= 16 << 20 and spark.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
