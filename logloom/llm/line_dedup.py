@@ -42,9 +42,17 @@ def html_lines(html: Column) -> Column:
     return F.split(html, HTML_BREAK, -1)
 
 
+# The characters of BLANKS, for a trim, which needs no pattern; a line's end is the end of the text, whatever terminator it holds.
+BLANK_CHARACTERS = " \t\n\x0b\f\r"
+
+
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANK_CHARACTERS))
+
+
 def _key(line: Column) -> Column:
     """Digest of the line without outer blanks; null for a line of blanks alone."""
-    bare = F.regexp_replace(line, rf"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    bare = _bare(line)
     return F.when(bare != "", F.md5(bare))
 
 
@@ -111,7 +119,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: its lines with words, those dropped, and the digest of the rest."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     marked = drop_boilerplate(pages, host_of(F.col("url")), html_lines(string_or_empty(F.col("html"))))
-    text = lambda c: F.filter(c, lambda x: F.regexp_like(x, F.lit(rf"[^{BLANKS}]")))
+    text = lambda c: F.filter(c, lambda x: _bare(x) != "")
     worded = marked.select("page_id", host_of(F.col("url")).alias("host"), text(F.col("__lines")).alias("a"), text(F.col("__kept")).alias("b"))
     return worded.select(
         "page_id", "host", F.size("a").cast("long").alias("n_lines"), (F.size("a") - F.size("b")).cast("long").alias("n_dropped"),

@@ -1,5 +1,6 @@
 """Site-relative line frequencies against plain counting."""
 
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -50,3 +51,14 @@ def test_empty_table_and_n_chars(spark):
 ])
 def test_host(spark, url, host):
     assert spark.createDataFrame([(url,)], "u string").select(d.host_of(F.col("u"))).first()[0] == host
+
+
+def test_outer_blanks_are_trimmed_as_the_contract_names_them(spark):
+    """Every blank goes from both ends and no other character; a blank before a Unicode line terminator at the end is inside the line."""
+    from logloom.llm.common import BLANKS
+    from logloom.llm.line_dedup import BLANK_CHARACTERS, _bare
+
+    assert sorted(BLANK_CHARACTERS) == [chr(c) for c in range(128) if re.fullmatch(f"[{BLANKS}]", chr(c))]
+    lines = ["", " \t\n\x0b\f\r", " a b\t", "a \u0085", " a ", "a  ", "\x1ca\x1c", " é\n\n"]
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", _bare(F.col("x")).alias("b")).collect()
+    assert {r.x: r.b for r in got} == {x: x.strip(BLANK_CHARACTERS) for x in lines}
