@@ -8,16 +8,22 @@ from pyspark.sql import types as T
 
 # Chunk names: YYYY-MM-DD/HH-MM-SS-host-pid-id.jsonl below any root.  A rewritten
 # chunk is a folder of that name (log_day=.../chunk=...) with parts.
-_CHUNK = r"(\d{4}-\d{2}-\d{2})/(?:(\d{2})-[^/]*|chunk=(\d{2})-[^/]*/[^/]*)$"
+_CHUNK = r"\d{4}-\d{2}-\d{2}/(?:\d{2}-[^/]*|chunk=\d{2}-[^/]*/[^/]*)$"
+
+
+def _below_root(path: Column) -> Column:
+    """The path from its day on, '' where it is no chunk's: the one search that a line's day and hour share."""
+    return F.regexp_extract(path, _CHUNK, 0)
 
 
 def chunk_day(path: Column) -> Column:
-    return F.try_to_date(F.nullif(F.regexp_extract(path, _CHUNK, 1), F.lit("")), "yyyy-MM-dd")
+    return F.try_to_date(F.nullif(F.substring(_below_root(path), 1, 10), F.lit("")), "yyyy-MM-dd")
 
 
 def chunk_hour(path: Column) -> Column:
-    plain, rewritten = (F.nullif(F.regexp_extract(path, _CHUNK, i), F.lit("")) for i in (2, 3))
-    return F.coalesce(plain, rewritten).cast("int")
+    found = _below_root(path)
+    rewritten = F.substring(found, 12, 6) == "chunk="
+    return F.nullif(F.when(rewritten, F.substring(found, 18, 2)).otherwise(F.substring(found, 12, 2)), F.lit("")).cast("int")
 
 
 def with_chunk_name(lines: DataFrame, *more: str) -> DataFrame:

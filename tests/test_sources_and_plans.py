@@ -201,3 +201,19 @@ def test_tasks_list_what_the_driver_would(spark, tmp_path, depth):
         key = lambda df: sorted((r["path"], r["length"], int(r["mtime"].timestamp())) for r in df.collect())
         assert key(got) == key(want) and got.count() == 5
     assert list_prefixes(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_day_and_hour_of_a_chunk_come_from_one_search(spark):
+    """Plain chunks, rewritten ones, and names that only look like either."""
+    from logloom.sources import raw
+
+    paths = {
+        "s3a://b/2024-01-05/10-00-05-h-1-aa.jsonl": ("2024-01-05", 10), "/r/log_day=2024-01-05/chunk=09-00-05-h.jsonl/part-0.txt": ("2024-01-05", 9),
+        "2024-01-05/chunk=9-0/part": (None, None), "2024-01-05/ab-0.jsonl": (None, None), "/r/2024-13-45/10-x": (None, 10), "10-2024-01-01": (None, None),
+        "chunk=10-2024-01-01/part": (None, None), "/2024-01-01/10-x/part": (None, None), "": (None, None), "/2024-01-01/2024-01-02/07-": ("2024-01-02", 7),
+    }
+    c = F.col("p")
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", raw.chunk_day(c).cast("string").alias("d"), raw.chunk_hour(c).alias("h"))
+    assert {r.p: (r.d, r.h) for r in df.collect()} == paths
+    both = spark.range(1).select(raw.chunk_day(F.lit("x")), raw.chunk_hour(F.lit("x")))._jdf.queryExecution().logical().toString()
+    assert both.count(raw._CHUNK) == both.count("regexp_extract(x, " + raw._CHUNK + ", 0)") > 0
