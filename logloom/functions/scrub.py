@@ -1,11 +1,12 @@
 """Removal of credentials from text and from JSON documents.
 
 `scrub_text` is three chained native regular expressions and stays inside
-generated code.  `scrub_json` edits documents of unknown shape, so it is an
-Arrow UDF; a native test decides which rows have anything to look at, and only
-those rows' text is handed to Python.  There a document is not rebuilt: its
-tokens are scanned once, and only the string literals that hold a credential
-are replaced, so everything else stays byte for byte, however deep it lies.
+generated code.  `scrub_json` edits documents of unknown shape; a native test
+decides which rows have anything to look at.  Of those, documents whose strings
+stand as they are spelled (no escapes) are edited natively, the others in an
+Arrow UDF.  There a document is not rebuilt: its tokens are scanned once, and
+only the string literals that hold a credential are replaced, so everything
+else stays byte for byte, however deep it lies.
 """
 
 from __future__ import annotations
@@ -157,9 +158,17 @@ def scrub_document(text: str | None) -> str | None:
     return _edited(text) if _is_json(text) else scrub_plain(text)
 
 
+# What the first character of a text says to the UDF: to be scrubbed, or scrubbed natively and only to be passed on.
+_TO_SCRUB, _SCRUBBED = "?", "="
+
+
+def _answer(text: str) -> str:
+    return text[1:] if text[0] == _SCRUBBED else scrub_document(text[1:])
+
+
 @F.pandas_udf(T.StringType())
 def _scrub_documents(docs: pd.Series) -> pd.Series:
-    return docs.map(scrub_document, na_action="ignore")
+    return docs.map(_answer, na_action="ignore")
 
 
 # White space inside a document, as itself or in JSON escapes of any nesting.
@@ -177,37 +186,82 @@ SECRET_GATE = "(?iU)" + "|".join((
 ))
 
 
+# Stands for the marker in text that does not hold this character itself.
+_MARK = "\x01"
+# After a word: its value is the marker already and the rule changes nothing.  Either nothing is quoted and the value ends
+# behind the marker, however deep it is escaped; or name and value stand between quotes of one depth; or the SQL form.
+_DONE = rf"""(?! *[:=] *{_MARK}(?:["', }}]|\\+["nrt]))(?!(\\*)" *: *\1"{_MARK}\1")(?! '{_MARK}')"""
 # The same for ASCII text in lower case, by the literal word that a match holds: without case folding and with a
 # literal first each pattern is a fast search.  A key/value name counts by its last part, as nothing is anchored.
 _G, _THEN = _GAP.replace("A-F", ""), rf"""[\\"']*{_GAP.replace("A-F", "")}*[:=]"""
 WORD_GATES = {
-    "token": rf"token{_THEN}",
-    "password": rf"password{_THEN}",
-    "secret": rf"secret(?:{_THEN}|{_G}+')",
-    "key": rf"(?:(?:s3|api|secret[_-]?access)[_-]?key|access[_-]?key[_-]?id){_THEN}|key_id{_G}+'",
-    "aws": rf"aws[_-]?access{_THEN}",
-    "passwd": rf'"passwd\\*"{_G}*:',
-    "authorization": rf'"authorization\\*"{_G}*:',
-    "bearer": rf'"bearer\\*"{_G}*:|bearer{_G}+[a-z0-9._\-]',
+    "token": rf"token{_DONE}{_THEN}",
+    "password": rf"password{_DONE}{_THEN}",
+    "secret": rf"secret{_DONE}(?:{_THEN}|{_G}+')",
+    "key": rf"(?:(?:s3|api|secret[_-]?access)[_-]?key|access[_-]?key[_-]?id){_DONE}{_THEN}|key_id(?! '{_MARK}'){_G}+'",
+    "aws": rf"aws[_-]?access{_DONE}{_THEN}",
+    "passwd": rf'"passwd{_DONE}\\*"{_G}*:',
+    "authorization": rf'"authorization{_DONE}\\*"{_G}*:',
+    "bearer": rf'"bearer{_DONE}\\*"{_G}*:|bearer{_G}+[a-z0-9._\-]',
     "\\u": r"\\u(?:00[2-7][0-9a-f]|017f|212a)",
 }
 
 
 def may_hold_secret(c: Column) -> Column:
-    """Native test of a document, false only where no rule can apply.
+    """Native test of a document, false only where no rule changes anything.
 
     Substring tests come first; only text that holds one of the words meets its pattern.  A count
-    like `"tokens": 5` holds a word and is no secret, and passes here.  Text beyond ASCII, where
-    letters fold in other ways, meets the pattern for all.
+    like `"tokens": 5` holds a word and is no secret, and passes here, as does a value that is
+    redacted already.  Text beyond ASCII, where letters fold in other ways, meets the pattern for all.
     """
-    lower, hit = F.lower(c), F.lit(False)
+    marked, hit = F.lower(F.replace(c, F.lit(REDACTED), F.lit(_MARK))), F.lit(False)
     for word, pattern in WORD_GATES.items():
-        hit = hit | (lower.contains(word) & lower.rlike(pattern))
+        hit = hit | (marked.contains(word) & marked.rlike(pattern))
     beyond = (_hinted(c) | c.contains("\\u")) & c.rlike(SECRET_GATE)
-    return F.when(F.octet_length(c) == F.length(c), hit).otherwise(beyond)
+    # the condition looks at the same text as the gates, so that it is made once a row and not once a word
+    return F.when((F.octet_length(marked) == F.length(marked)) & ~c.contains(_MARK), hit).otherwise(beyond)
+
+
+# The text rules for a document whose strings are spelled without escapes.  A match holds no double quote, so it lies
+# within one string; a string before a colon is a name, and names stay.  The names of the key/value rule are reduced to
+# their last parts, as in the gate: what is replaced is the run behind the separator.
+_IN_VALUE = r'(?=[^"]*+" *+(?!:))'
+PLAIN_RULES = (
+    (
+        r"""(?i)((?=[sptak])(?:secret(?:[_-]?access[_-]?key)?|password|token|(?:s3|api)[_-]?key|access[_-]?key[_-]?id|aws[_-]?access)"""
+        rf"""'? *+[:=] *+'?)[^"' ,}}]++{_IN_VALUE}""",
+        "$1" + REDACTED,
+    ),
+    (rf"""(?i)\b(KEY_ID|SECRET) +'[^'"]++'{_IN_VALUE}""", "$1 '" + REDACTED + "'"),
+    (rf"(?i)(Bearer +)[A-Za-z0-9._\-]++{_IN_VALUE}", "$1" + REDACTED),
+)
+_SENSITIVE_NAME = rf'(?i)"(?=[sapbt])(?:{SENSITIVE_KEYS})" *+:'
+
+
+def _is_plain(c: Column) -> Column:
+    """Whether a text is one JSON document of printable ASCII without escapes and without a sensitive name.
+
+    The strict parser stops after the first value, so another one is put behind: a string that only an
+    escape can spell is the second of two where, and only where, the text before it is one whole value.
+    """
+    both = F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"\\u0001"]')))
+    whole = F.try_variant_get(both, "$[1]", "string") == "\u0001"
+    return ~c.contains("\\") & ~c.rlike(r"\P{Print}") & ~c.rlike(_SENSITIVE_NAME) & F.coalesce(whole, F.lit(False))
+
+
+def _scrub_plain_document(c: Column) -> Column:
+    (key_value, put), (sql, put_sql), (bearer, put_bearer) = PLAIN_RULES
+    clean = F.regexp_replace(c, key_value, put)
+    clean = F.when(c.contains("'"), F.regexp_replace(clean, sql, put_sql)).otherwise(clean)
+    return F.when(F.lower(c).contains("bearer"), F.regexp_replace(clean, bearer, put_bearer)).otherwise(clean)
 
 
 def scrub_json(c: Column) -> Column:
-    """Redact credentials by key name and by text rule inside a JSON document."""
-    suspicious = F.when(may_hold_secret(c), c)
+    """Redact credentials by key name and by text rule inside a JSON document.
+
+    Texts scrubbed natively pass through the UDF as well: what is decided before it, once a row,
+    would else be decided again behind it.
+    """
+    native = F.concat(F.lit(_SCRUBBED), _scrub_plain_document(c))
+    suspicious = F.when(may_hold_secret(c), F.when(_is_plain(c), native).otherwise(F.concat(F.lit(_TO_SCRUB), c)))
     return F.coalesce(_scrub_documents(suspicious), c)

@@ -255,10 +255,12 @@ def scrub_raw(spark: SparkSession, raw_root: str, today: str, root: str | None =
     if changed.isEmpty():
         return report
     rewritten = read_raw(spark, aside)
-    wanted, got = changed.agg(F.sum("lines")).first()[0], rewritten.count()
+    wanted = changed.agg(F.sum("lines")).first()[0]
+    again = scrub_report(rewritten, "entry", ["path"]).agg(F.coalesce(F.sum("rows_scanned"), F.lit(0)), F.sum("rows_changed"))
+    got, unclean = again.first()  # in one reading
     if wanted != got:
         raise RuntimeError(f"{raw_root}: {got} lines rewritten of {wanted}; originals untouched")
-    if not residual_secrets(rewritten, "entry", ["path"], scrub_json).isEmpty():
+    if unclean:
         raise RuntimeError(f"{raw_root}: rewritten chunks are not clean; originals untouched")
     _publish(spark, changed, aside, root)
     return report
@@ -278,8 +280,12 @@ def _publish(spark: SparkSession, changed: DataFrame, aside: str, root: str | No
             if not inside:  # left by a run that was cut off
                 ci.remove(spark, target)
             source = f"{aside}/root={row['root']}/log_day={row['log_day'] or '__HIVE_DEFAULT_PARTITION__'}/chunk={row['chunk']}"
-            for part in ci.names_in(spark, source):
-                ci.move(spark, f"{source}/{part}", f"{target}/{part}")
+            parts = ci.names_in(spark, source)
+            if not inside:  # the whole folder by one name
+                ci.move(spark, source, target)
+            for part in parts:
+                if inside:
+                    ci.move(spark, f"{source}/{part}", f"{target}/{part}")
                 entered.append((f"{target}/{part}", None, 0, 0, row["log_day"] and date.fromisoformat(row["log_day"])))
         ci.remove(spark, row["path"])
     if root:

@@ -55,7 +55,11 @@ LINES_OF_A_TASK = 250_000
 
 def _write_chunks(lines: DataFrame, path: str) -> None:
     named = lines.select(F.col("entry").alias("value"), "log_day", F.concat("hour", F.lit("-00-00-host-1-a.jsonl")).alias("chunk"))
-    tiers.by_range(named, lines.count() // LINES_OF_A_TASK + 1, "log_day", "chunk").write.partitionBy("log_day", "chunk").text(path)
+    tasks = lines.count() // LINES_OF_A_TASK + 1
+    many = tasks > int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # by hash: a chunk is in one task by range as well, and ranges would work out every line twice
+    dealt = named.repartition(tasks, "log_day", "chunk") if many else named.repartition("log_day", "chunk")
+    dealt.write.partitionBy("log_day", "chunk").text(path)
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> str:

@@ -17,7 +17,7 @@ def _below_root(path: Column) -> Column:
 
 
 def chunk_day(path: Column) -> Column:
-    return F.try_to_date(F.nullif(F.substring(_below_root(path), 1, 10), F.lit("")), "yyyy-MM-dd")
+    return F.substring(_below_root(path), 1, 10).try_cast("date")
 
 
 def chunk_hour(path: Column) -> Column:

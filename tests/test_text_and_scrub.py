@@ -224,3 +224,30 @@ def test_the_word_gates_say_what_the_gate_for_all_text_says(spark):
         ((_hinted(c) | c.contains("\\u")) & c.rlike(SECRET_GATE)).alias("was"), may_hold_secret(c).alias("now")
     ).groupBy("was", "now").count().collect()
     assert {(r.was, r.now) for r in told} == {(True, True), (False, False)}
+
+
+def test_a_redacted_document_is_not_looked_at_again(spark):
+    """A value that is the marker already costs no Python; one that only looks like it is still redacted."""
+    done = ['{"a": "password=[REDACTED]"}', '{"api_key": "[REDACTED]"}', '{"a": "{\\"s3_secret\\": \\"[REDACTED]\\"}"}', '{"a": "KEY_ID \'[REDACTED]\'", "token" : "[REDACTED]"}',
+            '{"a": "Bearer [REDACTED]\\ntoken: [REDACTED]\\n"}']
+    still = ['{"a": "password=[redacted]"}', '{"a": "password=[REDACTED]x"}', '{"token": "[REDACTED] x"}', '{"token": "[REDACTED]\\" x"}', '{"a": "token: [REDACTED]\\/x"}',
+             '{"a": "SECRET  \'[REDACTED]\'"}', '{"token": ["x"]}', '{"a": "token: \\u0001"}', '{"a": "token: \x01"}']
+    kept = [r.t for r in spark.createDataFrame([(d,) for d in done + still], "t string").where(may_hold_secret(F.col("t"))).collect()]
+    assert kept == still and all(scrub_document(d) == d for d in done) and all(scrub_document(d) != d for d in still)
+
+
+def test_documents_without_escapes_are_scrubbed_natively_as_in_python(spark):
+    from logloom.functions.scrub import _is_plain, _scrub_plain_document
+
+    rnd = random.Random(7)
+    pieces = ["token", "Password", "SECRET", "KEY_ID", "s3_key", "secret_access_key", "access-key-id", "aws_secret", "Bearer", "x", "1", ":", "=", " ", "  ", "'", ",", "}", "{", "[",
+              "]", "[REDACTED]", ";", "-"]
+    text = lambda: "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 8)))
+    docs = [json.dumps({text() + "_": text(), "content": rnd.choice([text(), "[1, {}]", None]), "list": [text(), {"n": 1.5, "k": text()}]}) for _ in range(5_000)]
+    whole = len(docs)
+    docs += [d[:-1] for d in docs[:500]] + [d + d for d in docs[:500]] + [d + "]" for d in docs[:500]]
+    docs += ['{"token": "x"}', '{"a": "token=é"}', '{"a": "token=x\\n"}', '{"a": "token=x\t"}']
+    c = F.col("t")
+    told = spark.createDataFrame(list(enumerate(docs)), "i int, t string").select("i", "t", _is_plain(c).alias("plain"), _scrub_plain_document(c).alias("now"), scrub_json(c).alias("any")).collect()
+    assert all(r["any"] == scrub_document(r.t) and (not r.plain or r.now == r["any"]) for r in told)
+    assert all(r.plain == (r.i < whole) for r in told) and sum(r.plain and r.now != r.t for r in told) > 500
